@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm import langid, quality, token_count
+from sextant.llm import langid, packing, quality, sstable, token_count
 from sextant.llm.common import table
 
 
@@ -54,6 +54,17 @@ def _quality_sql() -> str:
     FROM m"""
 
 
+def op3_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.assign(digests)
+
+
+def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = sstable.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return sstable.read_shards(shards)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -65,6 +76,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_pattern_packing": op3_pattern_packing,
+    "op5_token_shards": op5_token_shards,
     "op6_token_counts": op6_token_counts,
     "op9_quality_rules": op9_quality_rules,
     "op10_language_id": op10_language_id,
