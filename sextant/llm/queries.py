@@ -11,10 +11,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm import langid, packing, quality, sstable, token_count
+from sextant.llm import langid, packing, quality, simhash, sstable, token_count
 from sextant.llm.common import table
 
 
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pattern_packing": op3_pattern_packing,
     "op5_token_shards": op5_token_shards,
     "op6_token_counts": op6_token_counts,
+    "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_language_id": op10_language_id,
 }
