@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces remembered per process: two generations of at most this many.
-CACHED = 400_000
+CACHED = 250_000
 #: Unicode's White_Space outside ASCII.
 _WIDE = "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Marks a piece that has no space before it.
@@ -34,7 +34,7 @@ GLUED = "\x01"
 _ODD_SPACED = f"  | \n|\n |\n\n|^[ \n]|[ \n]$|[\t\x0b\x0c\r{GLUED}{_WIDE}]"
 #: Letters, then punctuation: every tokenizer known here cuts between the two.
 _LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
-_STEM = re.compile(f"([{_LETTERS}]+)([.,!?;:%&#$*|()]*)")
+_TAIL = f"([{_LETTERS}])([.,!?;:%&#$*|]+)( |$)"
 
 
 def byte_letters() -> dict[int, str]:
@@ -84,8 +84,12 @@ class TextEncoder:
         if self.spaced:
             marked = pc.replace_substring(texts, "\n", f" {GLUED}\n {GLUED}")
             marked = pc.binary_join_element_wise(pa.scalar(GLUED, pa.large_string()), marked, pa.scalar("", pa.large_string()))
+            marked = pc.replace_substring_regex(marked, _TAIL, f"\\1 {GLUED}\\2\\3")
         else:
             marked = pc.replace_substring(texts, "\n", " ")
+            wide = pc.match_substring_regex(marked, "[^\\x00-\xff]")  # other letters keep the library's own rules of case
+            marked = pc.if_else(wide, marked, pc.utf8_lower(marked))
+            marked = pc.replace_substring_regex(marked, _TAIL, "\\1 \\2\\3")
         marked = pc.if_else(pa.array(whole), pa.scalar("", pa.large_string()), marked)
         lists = pc.split_pattern(marked, " ")
         coded = lists.flatten().dictionary_encode()
@@ -103,62 +107,43 @@ class TextEncoder:
         flat = np.frombuffer(b"".join(ids), "<u4")
         length = size[index]
         ends = np.concatenate([[0], np.cumsum(length)])
-        where = np.repeat(start[index] - ends[:-1], length) + np.arange(ends[-1])
-        return flat[where], ends[first]
+        shift = (start[index] - ends[:-1]).astype(np.int32 if ends[-1] < 1 << 31 else np.int64)
+        where = np.repeat(shift, length)
+        where += np.arange(ends[-1], dtype=where.dtype)
+        return flat.take(where), ends[first]
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         if len(self.now) > self.cached:
             self.before, self.now = self.now, {"": b""}
-        get = self.now.get
-        out = [get(p) for p in pieces]
-        self._learn([p for p, ids in zip(pieces, out, strict=True) if ids is None])
-        return [get(p) if ids is None else ids for p, ids in zip(pieces, out, strict=True)]
+        now = self.now
+        out = list(map(now.get, pieces))
+        unknown = [k for k, ids in enumerate(out) if ids is None]
+        missing = [pieces[k] for k in unknown]
+        if self.before:
+            known = list(map(self.before.get, missing))
+            now.update((p, ids) for p, ids in zip(missing, known, strict=True) if ids is not None)
+            missing = [p for p, ids in zip(missing, known, strict=True) if ids is None]
+        self._learn(missing)
+        for k in unknown:
+            out[k] = now[pieces[k]]
+        return out
 
     def _learn(self, unknown: list[str]) -> None:
-        """Ids of unknown pieces: remembered ones, joined parts, or the library's.
-
-        A piece of letters and punctuation is taken apart (and put in lower case
-        where case is dropped), for its letters are often known."""
-        now, before, match, mark = self.now, self.before, _STEM.fullmatch, GLUED if self.spaced else ""
-        joined: list[tuple[str, str, str]] = []
-        stems: set[str] = set()
-        others: set[str] = set()
-        for piece in unknown:
-            if (ids := before.get(piece)) is not None:
-                now[piece] = ids
-                continue
-            glued = bool(mark) and piece[0] == mark
-            m = match(piece, 1) if glued else match(piece)
-            if m is None:
-                others.add(piece)
-                continue
-            stem, tail = m.groups()
-            if self.dropped:
-                stem = stem.lower()
-            if glued:
-                stem = mark + stem
-            if tail:
-                tail = mark + tail
-                if tail not in now:
-                    others.add(tail)
-            if stem != piece:
-                joined.append((piece, stem, tail))
-            if stem not in now:
-                if (ids := before.get(stem)) is not None:
-                    now[stem] = ids
-                else:
-                    stems.add(stem)
-        order = list(others)
-        if self.spaced:
-            now.update(zip(order, self._library([p[1:] if p[0] == mark else " " + p for p in order]), strict=True))
-        else:
-            now.update(zip(order, self._library(order), strict=True))
-        order, letters = list(stems), self.letters
-        plain = [p[1:] if p[0] == mark else " " + p for p in order] if self.spaced else order
-        written = [p.encode().decode("latin-1").translate(letters) for p in plain]
-        now.update(zip(order, self._library(written, self.model), strict=True))
-        for piece, stem, tail in joined:
-            now[piece] = now[stem] + now[tail]
+        """Ids of pieces never seen: runs of letters from the bare model, others
+        from the whole tokenizer."""
+        match, plain = re.compile(f"{GLUED}?[{_LETTERS}]+" if self.spaced else f"[{_LETTERS}]+").fullmatch, self._plain
+        letters = [p for p in unknown if match(p)]
+        others = [p for p in unknown if not match(p)]
+        table = self.letters
+        written = [plain(p.lower() if self.dropped else p).encode().decode("latin-1").translate(table) for p in letters]
+        self.now.update(zip(letters, self._library(written, self.model), strict=True))
+        self.now.update(zip(others, self._library([plain(p) for p in others]), strict=True))
+
+    def _plain(self, piece: str) -> str:
+        """A piece as it stands in its text."""
+        if not self.spaced:
+            return piece
+        return piece[1:] if piece[0] == GLUED else " " + piece
 
     def _library(self, pieces: list[str], tokenizer=None) -> list[bytes]:
         out = []
