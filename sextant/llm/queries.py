@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm import chat, langid, packing, quality, simhash, sstable, substring, token_count, topk
+from sextant.llm import chat, langid, mixing, packing, quality, simhash, sstable, substring, token_count, topk
 from sextant.llm.common import table
 
 
@@ -65,6 +65,65 @@ def _quality_sql() -> str:
     FROM m"""
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def _mix_sql(m: mixing.Mixture) -> str:
+    def case(table: dict, name: str, default: object) -> str:
+        quote = lambda x: f"'{x}'" if isinstance(x, str) else str(x)
+        whens = " ".join(f"WHEN {name} = '{k}' THEN {quote(v)}" for k, v in table.items())
+        return f"CASE {whens} ELSE {quote(default)} END" if whens else quote(default)
+
+    def nested(tables: dict, name: str) -> str:
+        whens = " ".join(f"WHEN domain = '{d}' THEN {case(t, name, m.default)}" for d, t in tables.items())
+        return f"CASE {whens} ELSE {m.default} END" if whens else str(m.default)
+
+    def share(source: str, parent: str, name: str) -> str:
+        """Shares of the children in source (parent, name, weight, capacity, budget)."""
+        return f"""
+      SELECT {parent}, {name}, CASE WHEN is_full THEN capacity ELSE (weight * (budget - taken) // open)::BIGINT END AS share
+      FROM (SELECT *, sum(CASE WHEN is_full THEN capacity ELSE 0 END) OVER (PARTITION BY {parent}) AS taken,
+                   sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER (PARTITION BY {parent}) AS open
+            FROM (SELECT *, up_c * weight + capacity * (all_w - up_w) <= budget::HUGEINT * weight AS is_full
+                  FROM (SELECT *, sum(weight) OVER (PARTITION BY {parent}) AS all_w,
+                               sum(capacity) OVER u AS up_c, sum(weight) OVER u AS up_w
+                        FROM (SELECT *, CASE WHEN weight > 0 THEN capacity::DOUBLE / weight ELSE 0 END AS level FROM {source})
+                        WINDOW u AS (PARTITION BY {parent} ORDER BY level, {name} ROWS UNBOUNDED PRECEDING))))"""
+
+    key = f"('0x' || substr(md5('{m.seed}:' || epochs || ':' || coalesce(doc_id::VARCHAR, '{mixing.NONE}')), 1, 15))::BIGINT"
+    return f"""
+    WITH docs AS (
+      SELECT doc_id, coalesce(lang, '{mixing.NONE}') AS lang, coalesce(source, '{mixing.NONE}') AS source,
+             {case(m.domains, f"coalesce(source, '{mixing.NONE}')", m.other)} AS domain,
+             len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens
+      FROM documents),
+    leaf AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens FROM docs GROUP BY ALL),
+    weighted AS (
+      SELECT *, 0 AS root, {case(m.domain_weights, "domain", m.default)} AS wd, {nested(m.language_weights, "lang")} AS wl,
+             {nested(m.source_weights, "source")} AS ws FROM leaf),
+    capped AS (SELECT *, CASE WHEN wd > 0 AND wl > 0 AND ws > 0 THEN tokens * {m.max_epochs} ELSE 0 END AS cap FROM weighted),
+    d_in AS (
+      SELECT root, domain, max(wd) AS weight, sum(cap) AS capacity,
+             (SELECT sum(tokens) * {m.budget[0]} // {m.budget[1]} FROM leaf) AS budget FROM capped GROUP BY root, domain),
+    d AS ({share("d_in", "root", "domain")}),
+    l_in AS (
+      SELECT c.domain, c.lang, max(wl) AS weight, sum(cap) AS capacity, max(d.share) AS budget
+      FROM capped c JOIN d ON c.domain = d.domain GROUP BY c.domain, c.lang),
+    l AS ({share("l_in", "domain", "lang")}),
+    s_in AS (
+      SELECT c.domain, c.lang, c.domain || '/' || c.lang AS node, c.source, ws AS weight, cap AS capacity, l.share AS budget
+      FROM capped c JOIN l ON c.domain = l.domain AND c.lang = l.lang),
+    s AS ({share("s_in", "node", "source")}),
+    plan AS (
+      SELECT leaf.*, CASE WHEN tokens > 0 THEN share // tokens ELSE 0 END AS epochs, CASE WHEN tokens > 0 THEN share % tokens ELSE 0 END AS rest
+      FROM leaf JOIN s ON s.node = leaf.domain || '/' || leaf.lang AND s.source = leaf.source),
+    keyed AS (SELECT docs.*, epochs, rest, {key} AS key FROM docs JOIN plan USING (domain, lang, source)),
+    summed AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key) AS upto FROM keyed),
+    times AS (SELECT *, epochs + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS times FROM summed)
+    SELECT doc_id, domain, lang, source, n_tokens, unnest(range(times::BIGINT))::INT AS epoch FROM times WHERE times > 0"""
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = F.lit("</s>[INST] ok [/INST]")
@@ -131,6 +190,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mix_sources": op1_mix_sources,
     "op2_chat_formatting": op2_chat_formatting,
     "op4_vector_topk": op4_vector_topk,
     "op3_pattern_packing": op3_pattern_packing,
@@ -143,6 +203,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_mix_sources": _mix_sql(mixing.PRODUCTION),
     "op2_chat_formatting": _chat_sql(),
     "op4_vector_topk": _TOPK_SQL,
     "op9_quality_rules": _quality_sql(),
