@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces remembered per process: two generations of at most this many.
-CACHED = 250_000
+CACHED = 160_000
 #: Unicode's White_Space outside ASCII.
 _WIDE = "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Marks a piece that has no space before it.
