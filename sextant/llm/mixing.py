@@ -25,6 +25,9 @@ from sextant.llm.common import materialise, words_of
 NONE = "(none)"
 #: A leaf's order has 60 bits; their first 12 number its slices.
 KEY_BITS, SLICE_BITS = 60, 12
+#: Tables of a row per leaf are broadcast up to this many leaves, counted first;
+#: beyond it they are joined by shuffles, whose hot leaves adaptive execution splits.
+BROADCAST_LEAVES = 100_000
 
 
 @dataclass(frozen=True)
@@ -134,20 +137,25 @@ def _leaf_columns(mixture: Mixture, id_col: str, lang_col: str, source_col: str)
     return [domain.alias("domain"), F.coalesce(F.col(lang_col).cast("string"), F.lit(NONE)).alias("lang"), source.alias("source"), F.col(id_col).alias("m_id")]
 
 
-def cutoffs(rows: DataFrame, shares: DataFrame, mixture: Mixture) -> DataFrame:
+def _small(df: DataFrame, leaves: int) -> DataFrame:
+    """df, of at most one row per leaf, to be broadcast if the leaves are few enough."""
+    return F.broadcast(df) if leaves <= BROADCAST_LEAVES else df
+
+
+def cutoffs(rows: DataFrame, shares: DataFrame, mixture: Mixture, leaves: int = BROADCAST_LEAVES + 1) -> DataFrame:
     """For each leaf: its whole epochs, and the last key of the prefix that the
     next epoch adds (-1: none).  Documents of equal key are taken together."""
     leaf = ["domain", "lang", "source"]
     some = F.col("tokens") > 0
     plan = shares.select(*leaf, F.when(some, F.expr("share div tokens")).otherwise(F.lit(0).cast("bigint")).alias("epochs"), F.when(some, F.col("share") % F.col("tokens")).otherwise(F.lit(0).cast("bigint")).alias("rest"))
-    keyed = rows.join(plan.filter("rest > 0"), leaf).withColumn("key", order_key(mixture.seed, F.col("epochs"), F.col("m_id")))
+    keyed = rows.join(_small(plan.filter("rest > 0"), leaves), leaf).withColumn("key", order_key(mixture.seed, F.col("epochs"), F.col("m_id")))
     keyed = keyed.withColumn("slice", F.shiftright("key", KEY_BITS - SLICE_BITS))
     sums = keyed.groupBy(*leaf, "rest", "slice").agg(F.sum("n_tokens").alias("n"))
     before = F.sum("n").over(Window.partitionBy(*leaf).orderBy("slice")) - F.col("n")
     edge = sums.withColumn("before", before).filter((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("n") > F.col("rest")))
     edge = edge.select(*leaf, "slice", "before")
     running = F.sum("n_tokens").over(Window.partitionBy(*leaf).orderBy("key").rangeBetween(Window.unboundedPreceding, 0))
-    inside = keyed.join(edge, [*leaf, "slice"]).withColumn("upto", F.col("before") + running).filter(F.col("upto") <= F.col("rest"))
+    inside = keyed.join(_small(edge, leaves), [*leaf, "slice"]).withColumn("upto", F.col("before") + running).filter(F.col("upto") <= F.col("rest"))
     last = inside.groupBy(*leaf).agg(F.max("key").alias("last"))
     start = F.shiftleft(F.col("slice").cast("bigint"), KEY_BITS - SLICE_BITS) - 1
     cut = plan.join(edge.select(*leaf, "slice"), leaf, "left").join(last, leaf, "left")
@@ -170,11 +178,12 @@ def mix(docs: DataFrame, mixture: Mixture = PRODUCTION, id_col: str = "doc_id",
     leaf = ["domain", "lang", "source"]
     leaves = materialise(rows.groupBy(*leaf).agg(F.sum("n_tokens").alias("tokens")), "mix-leaves")
     shares = materialise(allocate(leaves, mixture), "mix-shares")
-    cuts = materialise(cutoffs(rows, shares, mixture), "mix-cuts")
+    n_leaves = shares.count()
+    cuts = materialise(cutoffs(rows, shares, mixture, n_leaves), "mix-cuts")
     if carry:
         rows = docs.select(*node, F.lit(None).cast("bigint").alias("n_tokens"), *[F.col(c).alias(f"c_{k}") for k, c in enumerate(carry)])
     key = order_key(mixture.seed, F.col("epochs"), F.col("m_id"))
     times = (F.col("epochs") + F.when(key <= F.col("cutoff"), 1).otherwise(0)).cast("int")
-    chosen = rows.join(cuts, leaf).withColumn("times", times).filter("times > 0")
+    chosen = rows.join(_small(cuts, n_leaves), leaf).withColumn("times", times).filter("times > 0")
     out = chosen.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
     return out.select(F.col("m_id").alias("doc_id"), *leaf, "n_tokens", "epoch", *[f"c_{k}" for k in range(len(carry))])
