@@ -36,7 +36,7 @@ from sextant.llm.fmindex import FMIndex
 WINDOW = 13
 GRAM = 5
 #: Documents of a batch.
-DOC_ROWS = 1_000
+DOC_ROWS = 500
 #: Words of one FM-index; groups of an anchor are not split.
 SHARD_WORDS = 200_000
 #: Different fragments of an anchor beyond which it is split by window.
