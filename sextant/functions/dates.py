@@ -34,7 +34,8 @@ def _pick(text: Column, pattern: str, y: int, m: int, d: int, lo: int, hi: int,
         year = F.when(F.length(F.regexp_extract(text, pattern, y)) <= 2, year + century).otherwise(year)
     month = month_number(F.regexp_extract(text, pattern, m)) if named else _int(text, pattern, m)
     day = _int(text, pattern, d)
-    return F.when(valid(year, month, day, lo, hi), joined(year, month, day))
+    parts = F.array(F.struct(year.alias("y"), month.alias("m"), day.alias("d")))  # each part is computed once
+    return F.transform(parts, lambda p: F.when(valid(p["y"], p["m"], p["d"], lo, hi), joined(p["y"], p["m"], p["d"])))[0]
 
 
 def parse(text: Column, lo: int = 1000, hi: int = 9999, century: int = 1900) -> Column:

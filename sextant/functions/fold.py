@@ -7,6 +7,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def plain_text(s: str) -> str:
@@ -38,21 +39,21 @@ def title_words(s: str) -> str:
     return "".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def plain(s: pd.Series) -> pd.Series:
     return s.map(plain_text, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def gkey(kind: pd.Series, name: pd.Series) -> pd.Series:
     return pd.Series([None if n is None else fold_key(k, n) for k, n in zip(kind, name, strict=True)], dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def title(s: pd.Series) -> pd.Series:
     return s.map(title_words, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
