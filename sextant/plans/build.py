@@ -15,6 +15,7 @@ from sextant.operators import mentions as M
 from sextant.operators import relations as R
 from sextant.operators.documents import dedupe
 from sextant.schema import GAZETTEER, PATTERN, STRUCTURED
+from sextant.scratch import cut
 from sextant.sources import archives, discover, formats
 
 
@@ -64,18 +65,19 @@ def resolve_refs(refs: DataFrame, aliases: DataFrame) -> DataFrame:
     return joined.withColumn("key", F.coalesce(F.nullif("key", F.lit("")), "k_key", "mail_key", F.concat("type", F.lit(":"), "name"))).drop("k_type", "k_alias", "k_key", "address", "mail_key")
 
 
-def index(extracted: DataFrame, knowledge: Knowledge, config: CorpusConfig, words: frozenset[str] = frozenset(), checkpoint=lambda df, name: df) -> dict[str, DataFrame]:
-    """All tables of a corpus.  ``checkpoint(df, name)`` may persist a stage."""
+def index(extracted: DataFrame, knowledge: Knowledge, config: CorpusConfig, words: frozenset[str] = frozenset(), checkpoint=lambda df, name: cut(df)) -> dict[str, DataFrame]:
+    """All tables of a corpus.  ``checkpoint(df, name)`` persists a stage: later
+    stages read a stage several times, and its lineage must not grow into theirs."""
     spark, settings = extracted.sparkSession, config["index"]
     docs = checkpoint(metadata.document_metadata(extracted, knowledge, config.data), "documents")
     text_hash = F.sha1(F.array_join(F.col("page_list")["text"], "\n").cast("binary"))
     kept = dedupe(docs.select("relpath", text_hash.alias("sha1")))
-    documents = docs.join(kept.select("relpath", "duplicates"), "relpath")
+    documents = checkpoint(docs.join(kept.select("relpath", "duplicates"), "relpath"), "kept")
     ids = documents.select("id", "relpath")
     pages = documents.select(F.col("id").alias("doc_id"), F.explode("page_list").alias("p")).select("doc_id", F.col("p.n").alias("page_no"), F.col("p.text").alias("text"), F.col("p.ocr").alias("ocr"))
     pages = checkpoint(pages.withColumn("page_uid", F.xxhash64("doc_id", "page_no")), "pages")
     cleaned = pages.withColumn("text", metadata.strip_boilerplate(F.col("text"), knowledge.strip))
-    table = knowledge.entity_table(spark)
+    table = checkpoint(knowledge.entity_table(spark), "knowledge")
     aliases = matcher.alias_table(table)
     raw = matcher.match_pages(cleaned, aliases, words, caps_matching=settings["allcaps_matching"]).withColumn("src", F.lit(GAZETTEER))
     parts = [raw.select("key", "doc_id", "page_no", "count", "src")]
@@ -93,7 +95,7 @@ def index(extracted: DataFrame, knowledge: Knowledge, config: CorpusConfig, word
     mentions_raw = parts[0]
     for more in parts[1:]:
         mentions_raw = mentions_raw.unionByName(more)
-    facts = checkpoint(M.mention_facts(M.drop_covered(mentions_raw)), "facts")
+    facts = checkpoint(M.mention_facts(M.drop_covered(checkpoint(mentions_raw, "mentions_raw"))), "facts")
     stats = M.entity_ids(M.entity_stats(facts, documents))
     new = resolved.groupBy("key").agg(F.min("name").alias("n_name"), F.min("type").alias("n_type"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("aliases", F.array().cast("array<string>")))))).alias("n_aliases"))
     entities = stats.join(table.select("key", "name", "type", "aliases", "description"), "key", "left").join(new, "key", "left").select(
@@ -107,7 +109,7 @@ def index(extracted: DataFrame, knowledge: Knowledge, config: CorpusConfig, word
     keyed = resolve_refs(ends.select("doc_id", "relation", "rid", "end", "e.*"), aliases)
     a = keyed.filter("end = 0").select("doc_id", "rid", F.col("relation").alias("type"), F.col("key").alias("src_key"))
     b = keyed.filter("end = 1").select("doc_id", "rid", F.col("key").alias("dst_key"))
-    evidence = R.relation_docs(a.join(b, ["doc_id", "rid"]), entities.select("key", "id"))
+    evidence = checkpoint(R.relation_docs(a.join(b, ["doc_id", "rid"]), entities.select("key", "id")), "relation_docs")
     meta = spark.createDataFrame([("packs", ",".join(knowledge.packs)), ("ner", str(settings["ner"])), ("title", config.data["title"] or config.id)], "k string, v string")
     meta = meta.unionAll(documents.agg(F.lit("documents").alias("k"), F.count(F.lit(1)).cast("string").alias("v"))).unionAll(pages.agg(F.lit("pages").alias("k"), F.count(F.lit(1)).cast("string").alias("v")))
     return {

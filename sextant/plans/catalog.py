@@ -29,7 +29,11 @@ class Catalog:
         p, fs = self._fs(f"{self.root}/{corpus}/_CURRENT")
         if not fs.exists(p):
             return None
-        return self.spark.sparkContext.textFile(p.toString()).first().strip()
+        stream = fs.open(p)
+        try:
+            return str(self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")).strip()
+        finally:
+            stream.close()
 
     def write(self, corpus: str, tables: dict[str, DataFrame]) -> str:
         """All tables as a new version, then the pointer: by rename, in one step."""

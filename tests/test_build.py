@@ -8,6 +8,7 @@ from sextant.knowledge import demo
 from sextant.knowledge.pack import Pack, merge, order
 from sextant.plans import build
 from sextant.plans.catalog import Catalog
+from sextant.scratch import cut
 from sextant.sources import discover
 from tests import fixtures
 
@@ -19,9 +20,9 @@ def corpus(spark, tmp_path_factory):
     cfg = C.from_dict("demo", {"root": root, "title": "Demo", "index": {"min_edge_docs": 1}})
     knowledge = merge(["base"], demo.PACKS)
     extracted, listing = build.extract(spark, cfg)
-    extracted, listing = extracted.cache(), listing.cache()
-    tables = build.index(extracted, knowledge, cfg, checkpoint=lambda df, name="": df.cache())
-    return cfg, extracted, listing, {k: v.cache() for k, v in tables.items()}
+    extracted, listing = cut(extracted), cut(listing)
+    tables = build.index(extracted, knowledge, cfg)
+    return cfg, extracted, listing, tables
 
 
 def test_discovery(corpus):
