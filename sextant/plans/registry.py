@@ -8,14 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sextant.functions import text as TX
+from sextant.operators import codenames as CN
 from sextant.operators import documents as D
 from sextant.operators import edges as E
 from sextant.operators import globalindex as G
 from sextant.operators import graph as GR
 from sextant.operators import mentions as M
 from sextant.operators import relations as R
+from sextant.operators import search as SE
+from sextant.operators import themes as TH
 from sextant.operators import timeline as T
+from sextant.operators.codenames import CONFUSED
 from sextant.plans import star
+from sextant.scratch import cut
+from sextant.sources import formats as FM
+from sextant.sources import records as RC
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -351,3 +359,160 @@ def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def top_per_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = star.read(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("type"), F.col("l_suppkey").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy("type").orderBy(F.desc("n"), "id"))).filter("rank <= 12")
+
+
+# ------------------------------------------------------------------ text: identifiers, themes, vocabulary
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return star.read(spark, sf_dir, "documents")
+
+
+@_query("""SELECT doc_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{2,}'), lambda x: lower(rtrim(x, '.'))))) AS email FROM documents""")
+def identifiers_email(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", F.explode(TX.emails(F.col("text"))).alias("email"))
+
+
+@_query("""SELECT doc_id, unnest(list_distinct(list_transform(list_filter(list_transform(regexp_extract_all(text, '\\+[0-9][0-9 ().\\-]{7,18}[0-9]'),
+lambda x: regexp_replace(x, '[^0-9]', '', 'g')), lambda x: length(x) BETWEEN 9 AND 15), lambda x: '+' || x))) AS phone FROM documents""")
+def identifiers_phone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", F.explode(TX.phones(F.col("text"))).alias("phone"))
+
+
+_IBANS = ("DE89370400440532013000", "GB29NWBK60161331926819", "GB29NWBK60161331926818", "NO9386011117947", "MT84MALT011000012345MTLCAST001S", "DE00000000000000000000", "XX12")
+
+
+@_query(" UNION ALL ".join(f"SELECT '{x}' AS iban, {ok} AS valid" for x, ok in zip(_IBANS, ("true", "true", "false", "true", "true", "false", "false"), strict=True)))
+def iban_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(x,) for x in _IBANS], "iban string").select("iban", TX.iban_valid(F.col("iban")).alias("valid"))
+
+
+_THEMES = [TH.Theme("licensing", (r"licen[cs]e\w*", "copyright"), ("GPL", "MIT")), TH.Theme("rights", ("rights? reserved",))]
+
+
+@_query("""WITH h AS (
+  SELECT doc_id, 'idea:licensing' AS key, len(regexp_extract_all(text, '(?i)(?:licen[cs]e\\w*)|(?:copyright)')) + len(regexp_extract_all(text, '(?:GPL)|(?:MIT)')) AS hits,
+         len(regexp_extract_all(text, '(?i)(?:licen[cs]e\\w*)|(?:copyright)|(?:GPL)|(?:MIT)')) AS merged, text FROM documents
+  UNION ALL SELECT doc_id, 'idea:rights', len(regexp_extract_all(text, '(?i)rights? reserved')), len(regexp_extract_all(text, '(?i)rights? reserved')), text FROM documents),
+c AS (SELECT *, length(regexp_replace(substr(text, 1, 20000), '[^\\p{L}]', '', 'g')) AS letters, length(regexp_replace(substr(text, 1, 20000), '[^\\p{Lu}]', '', 'g')) AS upper FROM h)
+SELECT doc_id, key, n AS count FROM (SELECT doc_id, key, CASE WHEN letters >= 40 AND upper >= letters * 0.85 THEN merged ELSE hits END::INT AS n FROM c) WHERE n >= 2""")
+def theme_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _docs(spark, sf_dir).select("doc_id", F.lit(1).alias("page_no"), "text")
+    return TH.theme_mentions(pages, _THEMES, 2).select("doc_id", "key", F.col("count").cast("int").alias("count"))
+
+
+_CAPS = """p AS (SELECT doc_id, text, length(regexp_replace(substr(text, 1, 20000), '[^\\p{L}]', '', 'g')) AS l, length(regexp_replace(substr(text, 1, 20000), '[^\\p{Lu}]', '', 'g')) AS u FROM documents),
+w AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(text, '[\\p{L}\\p{N}_]+'), lambda x: regexp_full_match(x, '[A-Za-z]{5,}'))) AS w FROM p WHERE NOT (l >= 40 AND u >= l * 0.85)),
+stats AS (SELECT upper(w) AS token, count(*) FILTER (w = upper(w)) AS caps_n, count(DISTINCT doc_id) FILTER (w = upper(w)) AS docs, count(*) FILTER (w <> upper(w)) AS other_n FROM w GROUP BY 1)"""
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", F.lit(1).alias("page_no"), "text", F.lit(0).alias("ocr"))
+
+
+@_query(f"WITH {_CAPS} SELECT * FROM stats")
+def codename_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return CN.token_stats(_pages(spark, sf_dir)).select("token", "caps_n", "docs", "other_n")
+
+
+@_query(f"""WITH {_CAPS}, v AS (SELECT token, caps_n + other_n AS freq FROM stats),
+d AS (SELECT token, freq, unnest(list_distinct(list_concat([token], list_transform(range(1, length(token) + 1), lambda k: substr(token, 1, (k - 1)::INT) || substr(token, (k + 1)::INT))))) AS d FROM v),
+m AS (SELECT DISTINCT c.token AS w, c.freq AS fw, b.token AS v, b.freq AS fv FROM d c JOIN d b ON c.d = b.d AND c.token <> b.token WHERE c.freq BETWEEN 1 AND 3 AND b.freq >= 10 AND b.freq >= 3 * c.freq)
+SELECT DISTINCT w AS token FROM m WHERE fv >= 20 * fw OR length(w) <> length(v) OR (
+  len(list_filter(range(1, length(w) + 1), lambda k: substr(w, k::INT, 1) <> substr(v, k::INT, 1))) = 1
+  AND len(list_filter(range(1, length(w) + 1), lambda k: list_contains([{", ".join(f"'{a}', '{a[::-1]}'" for a in CONFUSED)}], substr(w, k::INT, 1) || substr(v, k::INT, 1)))) = 1)""")
+def misreading_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = cut(CN.token_stats(_pages(spark, sf_dir)).select("token", (F.col("caps_n") + F.col("other_n")).alias("freq")))
+    return CN.misreadings(stats.filter(F.col("freq").between(1, 3)), stats.withColumn("known", F.lit(False)))
+
+
+# ------------------------------------------------------------------ HTML, links, records
+_TEXT_SQL = """trim(regexp_replace(regexp_replace(
+  replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>', ' ', 'g'),
+  '(?i)<br\\s*/?>|</p>|</div>|</h\\d>|</li>|</tr>', chr(10), 'g'), '<[^>]+>', ' ', 'g'),
+  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', chr(160)), '&amp;', '&'),
+  '[ \\t\\r\\f\\x0B]+', ' ', 'g'), '\\n\\s*\\n+', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13))"""
+
+
+@_query(f"SELECT page_id, {_TEXT_SQL} AS text FROM pages")
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return star.read(spark, sf_dir, "pages").select("page_id", TX.html_to_text(F.col("html")).alias("text"))
+
+
+@_query("""SELECT DISTINCT unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS href FROM pages""")
+def link_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return star.read(spark, sf_dir, "pages").select(F.explode(TX.links(F.col("html"))).alias("href")).distinct()
+
+
+@_query("""SELECT page_id, array_to_string(list_transform(list_filter(string_split(url_decode(regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*', ''), '[?#].*$', '')), '/'),
+lambda x: x NOT IN ('', '.', '..')), lambda x: substr(regexp_replace(x, '[^\\p{L}\\p{N}._ ()\\-]', '_', 'g'), 1, 180)), '/') AS path FROM pages""")
+def url_dest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return star.read(spark, sf_dir, "pages").select("page_id", TX.dest_path(F.col("url")).alias("path"))
+
+
+@_query("""WITH r AS (SELECT *, (row_number() OVER (ORDER BY p_partkey) - 1) // 100 AS page FROM part)
+SELECT page::INT + 1 AS page_no, '[parts]' || chr(10) || 'key' || chr(9) || 'name' || chr(10) || string_agg(p_partkey || chr(9) || p_name, chr(10) ORDER BY p_partkey) AS text FROM r GROUP BY page""")
+def table_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = star.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("row"), F.concat_ws("\t", F.col("p_partkey").cast("string"), "p_name").alias("line"))
+    page = F.floor((F.row_number().over(Window.orderBy("row")) - 1) / 100).cast("int") + 1
+    lines = part.withColumn("page_no", page).groupBy("page_no").agg(F.array_sort(F.collect_list(F.struct("row", "line")))["line"].alias("ls"))
+    return lines.select("page_no", F.concat(F.lit("[parts]\nkey\tname\n"), F.array_join("ls", "\n")).alias("text"))
+
+
+@_query("""SELECT 'orders#' || o_orderkey AS relpath, substr(sha1('orders#' || o_orderkey), 1, 12) AS id, o_orderstatus || ' order' AS title, strftime(o_orderdate, '%Y-%m-%d') AS doc_date,
+'status: ' || o_orderstatus || chr(10) || 'priority: ' || o_orderpriority AS text, sha1('orders#' || o_orderkey || chr(0) || 'status: ' || o_orderstatus || chr(10) || 'priority: ' || o_orderpriority) AS sha1 FROM orders""")
+def record_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = star.read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("key"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.date_format("o_orderdate", "MM/dd/yyyy HH:mm").alias("date"))
+    config = RC.RecordConfig("orders", "key", ("status", "priority"), True, "{status} order", "date")
+    return RC.row_documents(rows, config, "orders").select("relpath", "id", "title", "doc_date", "text", "sha1")
+
+
+_CHAT = """t AS (SELECT conv_id, 'c' || conv_id % 40 AS conversation, TIMESTAMP '2020-01-01' + to_days((conv_id % 10)::INT) + to_minutes((turn + 10 * (conv_id // 40))::BIGINT) AS ts, coalesce(role, '') AS sender, text FROM conversations WHERE trim(text) <> '')"""
+
+
+def _chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as chat messages with invented times."""
+    c = star.read(spark, sf_dir, "conversations").filter("trim(text) <> ''")
+    when = F.expr("timestamp'2020-01-01' + make_interval(0, 0, 0, int(conv_id % 10), 0, int(turn + 10 * (conv_id div 40)), 0)")
+    return c.select(when.alias("ts"), F.coalesce("role", F.lit("")).alias("sender"), F.when(F.col("role") == "user", "assistant").otherwise("user").alias("recipient"), F.concat(F.lit("c"), (F.col("conv_id") % 40).cast("string")).alias("chat"), "text")
+
+
+@_query(f"""WITH {_CHAT}, r AS (SELECT *, strftime(ts, '%Y-%m-%d') AS day, row_number() OVER (PARTITION BY conversation, strftime(ts, '%Y-%m-%d') ORDER BY ts, sender, text) AS k FROM t)
+SELECT conversation, day, ((k - 1) // 5)::INT + 1 AS part, count(*) AS n, string_agg('[' || strftime(ts, '%H:%M:%S') || '] ' || sender || ': ' || text, chr(10) ORDER BY k) AS text FROM r GROUP BY ALL""")
+def chat_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return RC.conversations(_chat(spark, sf_dir), 5).select("conversation", "day", "part", "n", "text")
+
+
+@_query(f"WITH {_CHAT} SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day, sender, CASE WHEN sender = 'user' THEN 'assistant' ELSE 'user' END AS recipient FROM t WHERE sender <> '' AND sender <> CASE WHEN sender = 'user' THEN 'assistant' ELSE 'user' END")
+def messaged_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return RC.messaged(_chat(spark, sf_dir).withColumn("chat", F.lit("")))
+
+
+@_query()
+def text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FM.text_pages(_docs(spark, sf_dir), "doc_id", "text")
+
+
+@_query("SELECT (doc_id % 7)::VARCHAR AS value, count(*) AS n, sum(n_chars)::BIGINT AS pages FROM documents GROUP BY 1 ORDER BY n DESC, value LIMIT 5")
+def overview_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.counts_by(_docs(spark, sf_dir).withColumn("v", (F.col("doc_id") % 7).cast("string")), "v", 5, "n_chars")
+
+
+# ------------------------------------------------------------------ search
+@_query("""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), l AS (SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY doc_id),
+s AS (SELECT count(*) AS n FROM documents), a AS (SELECT sum(dl) / (SELECT n FROM s) AS avg FROM l),
+q AS (SELECT term, count(*) AS df FROM tf WHERE term IN ('license', 'reserved') GROUP BY term),
+hits AS (SELECT doc_id FROM tf WHERE term IN ('license', 'reserved') GROUP BY doc_id)
+SELECT doc_id, round(-sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg))), 6) AS score
+FROM tf JOIN q USING (term) JOIN l USING (doc_id) JOIN hits USING (doc_id), s, a GROUP BY doc_id""")
+def bm25_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    index = SE.simple_postings(docs, "doc_id", "text").cache()
+    tree = SE.Op("OR", SE.Phrase(("license",)), SE.Phrase(("reserved",)))
+    return SE.bm25(index, tree, SE.statistics(docs, index, "doc_id")).select(F.col("uid").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@_query()
+def bm25_porter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    index = SE.postings(docs, "doc_id", "text").cache()
+    return SE.bm25(index, SE.parse('licensed OR "rights reserved" OR NEAR(all reserved, 3) NOT oran*'), SE.statistics(docs, index, "doc_id"))
