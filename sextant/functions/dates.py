@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Names of months; the written forms and patterns below are fixed values.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 _NAMES = "January|February|March|April|May|June|July|August|September|October|November|December"
 _SHORT = "|".join(MONTHS)

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The patterns of this module are fixed values.
 #: A token starts with a letter or digit of any script; inside it may have ' & . - !
 TOKEN = r"[\p{L}\p{N}](?:[\p{L}\p{N}]|['’&.\-!])*"
 DOTTED = r"^(?:[A-Za-z]\.){2,}$"

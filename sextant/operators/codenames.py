@@ -10,7 +10,9 @@ from sextant.functions.text import is_all_caps
 
 #: Letters that optical recognition confuses, as pairs.  Fixed values.
 CONFUSED = "MW MN NH HR HN DO OQ OC CG PF FE BS BE BR RP RK LI IT UV VW VY KX EC OU".split()
+#: Parts of marking banners, and shapes of garbled ones.  Fixed values.
 BANNER = "SECRE|NOFOR|CLASSIF|CONFID|UNCLAS|FOUO|RELTO|OFFICIAL|COMINT|ORCON"
+GARBLED = "^(?:[TSIUWVHCLO1]*REL|[TSIHUW]+)$"
 
 
 def words(pages: DataFrame, min_letters: int = 5, split_caps: bool = True) -> DataFrame:
@@ -104,7 +106,7 @@ def detect(pages: DataFrame, known: DataFrame, markings: DataFrame, stop: tuple[
     share = F.col("caps_n") / (F.col("caps_n") + F.col("other_n"))
     ordinary = F.col("token").isin(*english) if english else F.lit(False)
     ok = F.when(ordinary, (share >= 0.97) & (F.col("docs") >= 3) & (F.col("other_n") <= 2)).otherwise(share >= 0.85)
-    rows = stats.filter((F.col("docs") >= 2) & ~F.col("token").rlike(BANNER) & ~F.col("token").rlike("^(?:[TSIUWVHCLO1]*REL|[TSIHUW]+)$") & ok)
+    rows = stats.filter((F.col("docs") >= 2) & ~F.col("token").rlike(BANNER) & ~F.col("token").rlike(GARBLED) & ok)
     if stop:
         rows = rows.filter(~F.col("token").isin(*stop))
     rows = rows.join(known.select("token").distinct(), "token", "left_anti")

@@ -10,6 +10,7 @@ from sextant.functions import dates as DT
 from sextant.functions.text import basename, java_regex, map_get, normalise_space, without_extension
 from sextant.knowledge.pack import Knowledge, OriginRule
 
+#: Embedded titles that say nothing.  Fixed values.
 JUNK_TITLE = (
     r"(?i)^(?:microsoft|untitled|slide ?\d|presentation|document\d*|powerpoint|pdf|title|print|[^\p{L}\p{N}_]*$|[\w\-]+\.(?:pdf|ppt|pptx|doc|docx)$|[a-f0-9\-]{16,}$)"
 )
@@ -85,6 +86,7 @@ def origin(text: Column, path: Column, kind: Column, rules: list[OriginRule], ht
 
 def author_line(text: Column) -> Column:
     """FROM: and the line after it, unless that is a run date."""
+    # the pattern is a fixed value
     head, pattern = F.substring(text, 1, 3000), r"FROM:\s*\n?\s*([^\n]{3,120})\n\s*([^\n]{0,120})"
     a, b = (normalise_space(F.regexp_extract(head, pattern, k)) for k in (1, 2))
     b = F.when(F.lower(b).startswith("run date"), "").otherwise(b)

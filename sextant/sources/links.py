@@ -13,7 +13,7 @@ def absolute(base: Column, href: Column) -> Column:
     """A link as an absolute URL: full, root-relative or relative to the page's folder."""
     host = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
     folder = F.regexp_replace(F.regexp_replace(base, r"[?#].*$", ""), r"(?<=[^/]/)[^/]*$", "")
-    return F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href).when(href.startswith("/"), F.concat(host, href)).otherwise(F.concat(F.regexp_replace(folder, "/?$", "/"), href))
+    return F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href).when(href.startswith("/"), F.concat(host, href)).otherwise(F.concat(F.regexp_replace(folder, "/+$", ""), F.lit("/"), href))
 
 
 def page_links(pages: DataFrame, extensions: tuple[str, ...] = (), pattern: str | None = None) -> DataFrame:
