@@ -33,25 +33,27 @@ NGRAM = 4
 DIRECT = 8_192
 
 
-def fingerprint(text: bytes | None, ngram: int = NGRAM) -> int:
-    """SimHash of the ngram-word shingles of a text, A-Z in lower case.
-
-    A bit is one if over half the shingles' XXH64 values have it; a text of
-    fewer words is one shingle, one without words has fingerprint zero."""
+def shingle_hashes(text: bytes | None, ngram: int) -> np.ndarray:
+    """XXH64 of every ngram-word shingle, repeats included; a text of fewer words
+    is one shingle, one without words has none."""
     from xxhash import xxh64_intdigest
 
     words = (text or b"").lower().split()
     n = len(words)
     if not n:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if n <= ngram:
-        return xxh64_intdigest(joined, SEED)
+        return np.array([xxh64_intdigest(joined, SEED)], np.uint64)
     length = np.fromiter(map(len, words), np.int64, n)
     end = np.cumsum(length + 1) - 1
     start = end - length
     spans = zip(start[: n - ngram + 1].tolist(), end[ngram - 1 :].tolist(), strict=True)
-    hashes = np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in spans), np.uint64, n - ngram + 1)
+    return np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in spans), np.uint64, n - ngram + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A bit is one if over half the values have it."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -60,6 +62,12 @@ def fingerprint(text: bytes | None, ngram: int = NGRAM) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes | None, ngram: int = NGRAM) -> int:
+    """SimHash of the ngram-word shingles of a text, A-Z in lower case; a text
+    without words has fingerprint zero."""
+    return majority(shingle_hashes(text, ngram))
+
+
 def fingerprints(docs: DataFrame, ngram: int = NGRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fp`` (the fingerprint as a signed 64-bit integer) of every row."""
     small_batches(docs.sparkSession)
@@ -206,3 +214,149 @@ def near_duplicates(docs: DataFrame, ngram: int = NGRAM, max_bits: int = MAX_BIT
     placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     groups = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.join(placed.join(groups, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+# ------------------------------------------------------------------ by similarity
+#: A wide fingerprint: lanes of 64 bits, each from its own mixing of the shingles' hashes.
+LANES = 8
+#: Odd multipliers of the lanes, by the golden ratio's bits.
+_MIXERS = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) & (2**64 - 1) for k in range(LANES)], np.uint64)
+#: Keys per fingerprint, each the joint value of three of its 64 bytes.
+KEYS = 128
+#: Bits of the first lane in which a pair may differ before it is verified on all.
+SKETCH_BITS = 20
+#: Bits beyond the expected number in which a pair may differ, about one standard deviation.
+TOLERANCE = 8
+
+
+def wide_fingerprint(text: bytes | None, ngram: int = 5) -> list[int]:
+    """Lanes of a wide SimHash, as signed 64-bit integers."""
+    hashes = shingle_hashes(text, ngram)
+    out = []
+    for mixer in _MIXERS:
+        mixed = hashes * mixer
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(32)
+        value = majority(mixed)
+        out.append(value - (1 << 64) if value >> 63 else value)
+    return out
+
+
+def differing_share(similarity: float) -> float:
+    """Share of bits in which texts of equal length and this Jaccard similarity differ."""
+    overlap = 2 * similarity / (1 + similarity)
+    return float(np.arccos(overlap) / np.pi)
+
+
+def _triples(seed: int = 5) -> np.ndarray:
+    rng = np.random.default_rng(seed)
+    chosen: set[tuple[int, ...]] = set()
+    while len(chosen) < KEYS:
+        chosen.add(tuple(sorted(rng.choice(8 * LANES, 3, replace=False).tolist())))
+    return np.array(sorted(chosen))
+
+
+def _index_forest(found: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of sketches that link, joined breadth first."""
+    left, right = [], []
+    rest = np.arange(len(found))
+    while len(rest):
+        frontier, rest = [rest[0]], rest[1:]
+        while frontier and len(rest):
+            one = frontier.pop()
+            near = np.bitwise_count(found[rest] ^ found[one]) <= max_bits
+            if near.any():
+                reached = rest[near]
+                left.append(np.full(len(reached), one))
+                right.append(reached)
+                frontier.extend(reached)
+                rest = rest[~near]
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, ngram: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, component_id`` of every row: groups of texts whose word shingles
+    have about the given Jaccard similarity or more, directly or by a chain.
+
+    Texts of similarity s differ in a share of their SimHash bits that
+    ``differing_share`` gives; 512 bits tell it to about 0.016.  That many bits
+    leave no byte equal for certain, so the index of positional bytes is
+    probabilistic here: a pair of similarity 0.8 shares one of 128 keys of three
+    bytes with probability 0.92, one of 0.9 with 0.999.  Pairs that meet are
+    compared on a sketch of 64 bits, joined to a forest where many share a key,
+    and verified on all bits.  Equal fingerprints always group; texts without words
+    have fingerprint zero.  Rows that repeat an id stay rows of their own.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    rows = docs.select(F.col(id_col).alias("f_id"), F.col(text_col).cast("binary").alias("f_text"))
+    lanes = [f"l{k}" for k in range(LANES)]
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([wide_fingerprint(t, ngram) for t in batch.column(1).to_pylist()], np.int64).reshape(-1, LANES)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(found[:, k]) for k in range(LANES)]], names=["doc_id", *lanes])
+
+    ddl = ", ".join(f"{x} bigint" for x in lanes)
+    held = materialise(rows.mapInArrow(prints, f"doc_id {rows.schema['f_id'].dataType.simpleString()}, {ddl}"), "wide-fingerprints")
+    grouped = held.groupBy(*lanes).agg(F.min("doc_id").alias("least"))
+    distinct = materialise(grouped.select(F.monotonically_increasing_id().alias("node"), "least", *lanes), "distinct-wide")
+    triples = _triples()
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node = batch.column(0).to_numpy()
+            words = np.stack([batch.column(k + 1).to_numpy() for k in range(LANES)], 1).astype("<i8")
+            part = words.view(np.uint8).reshape(len(node), 8 * LANES).astype(np.int64)
+            value = part[:, triples[:, 0]] << 16 | part[:, triples[:, 1]] << 8 | part[:, triples[:, 2]]
+            value |= np.arange(KEYS, dtype=np.int64) << 24
+            yield pa.RecordBatch.from_arrays([pa.array(value.ravel()), pa.array(np.repeat(node, KEYS)), pa.array(np.repeat(words[:, 0], KEYS))], names=["k", "node", "sketch"])
+
+    small_batches(spark, 2_000)
+    index = distinct.select("node", *lanes).mapInArrow(keys, "k bigint, node bigint, sketch bigint").repartition("k").sortWithinPartitions("k")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = [np.zeros(0, np.int64)] * 3
+
+        def pairs(k: np.ndarray, node: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
+            cuts = np.append(np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])), len(k)) if len(k) else np.zeros(1, np.int64)
+            size, bits = np.diff(cuts), sketch.view(np.uint64)
+            left, right = [], []
+            for step in range(1, _SHORT):
+                runs = np.flatnonzero((size > step) & (size <= _SHORT))
+                if not len(runs):
+                    break
+                n = size[runs] - step
+                at = np.repeat(cuts[runs] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                near = at[np.bitwise_count(bits[at] ^ bits[at + step]) <= SKETCH_BITS]
+                left.append(near)
+                right.append(near + step)
+            for run in np.flatnonzero(size > _SHORT):
+                a, b = _index_forest(bits[cuts[run] : cuts[run + 1]], SKETCH_BITS)
+                left.append(a + cuts[run])
+                right.append(b + cuts[run])
+            if left:
+                a, b = node[np.concatenate(left)], node[np.concatenate(right)]
+                yield from _edges(np.minimum(a, b), np.maximum(a, b))
+
+        for batch in batches:
+            rows_ = [np.concatenate([o, c.to_numpy()]) for o, c in zip(open_, batch.columns, strict=True)]
+            if len(rows_[0]):
+                whole = int(np.searchsorted(rows_[0], rows_[0][-1]))  # the last key's run may go on
+                yield from pairs(*(x[:whole] for x in rows_))
+                open_ = [x[whole:] for x in rows_]
+        yield from pairs(*open_)
+
+    small_batches(spark, 50_000)
+    met = materialise(index.mapInArrow(meet, "a bigint, b bigint").distinct(), "met")
+    limit = int(64 * LANES * differing_share(similarity) + TOLERANCE)
+    one, other = (distinct.select(F.col("node").alias(n), *[F.col(x).alias(f"{n}_{x}") for x in lanes]) for n in ("a", "b"))
+    differing = sum((F.bit_count(F.col(f"a_{x}").bitwiseXOR(F.col(f"b_{x}"))) for x in lanes), F.lit(0))
+    linked = met.join(one, "a").join(other, "b").filter(differing <= limit).select("a", "b")
+    roots = components(linked)
+    placed = distinct.join(roots.withColumnRenamed("node", "r_node"), F.col("node") == F.col("r_node"), "left").withColumn("root", F.coalesce("root", "node"))
+    groups = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    small_batches(spark)
+    return held.join(placed.join(groups, "root").select(*lanes, "component_id"), lanes).select("doc_id", "component_id")

@@ -220,6 +220,26 @@ def test_forest_of_a_crowded_key(monkeypatch):
     assert all(near(left, right)) and classes(list(zip(left.tolist(), right.tolist(), strict=True))) == classes(every)
 
 
+def test_similar_documents(spark, awkward, nothing):
+    rnd = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(400)]
+    base = [[rnd.choice(vocabulary) for _ in range(rnd.randrange(150, 400))] for _ in range(40)]
+    docs = [(k, " ".join(w)) for k, w in enumerate(base)]
+    for k in range(20):  # copies with few words changed: similarity over 0.9
+        w = list(base[k])
+        for _ in range(max(1, len(w) // 200)):
+            w[rnd.randrange(len(w))] = "changed"
+        docs.append((100 + k, " ".join(w)))
+    docs += [(200 + k, " ".join(base[k][: len(base[k]) // 2] + [rnd.choice(vocabulary) for _ in range(200)])) for k in range(20, 40)]  # half in common
+    docs += [(300 + k, docs[5][1].upper()) for k in range(60)]  # many copies
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)).collect()}
+    assert all(got[100 + k] == k for k in range(20)) and all(got[300 + k] == 5 for k in range(60))
+    assert all(got[k] == k for k in range(40)) and all(got[200 + k] == 200 + k for k in range(20, 40))
+    groups = [(r["doc_id"], r["component_id"]) for r in simhash.similar_documents(awkward).collect()]
+    assert len(groups) == awkward.count() and dict(groups)[2] == 1 and dict(groups)[4] == dict(groups)[5] == 3 and dict(groups)[10] == 10
+    assert simhash.similar_documents(nothing).count() == 0
+
+
 # ------------------------------------------------------------------ 8 substring dedup
 def repeats_reference(docs, window):
     first = {}
