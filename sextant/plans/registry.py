@@ -15,6 +15,7 @@ from sextant.operators import edges as E
 from sextant.operators import globalindex as G
 from sextant.operators import graph as GR
 from sextant.operators import mentions as M
+from sextant.operators import metadata as MD
 from sextant.operators import relations as R
 from sextant.operators import search as SE
 from sextant.operators import themes as TH
@@ -516,3 +517,62 @@ def bm25_porter(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     index = SE.postings(docs, "doc_id", "text").cache()
     return SE.bm25(index, SE.parse('licensed OR "rights reserved" OR NEAR(all reserved, 3) NOT oran*'), SE.statistics(docs, index, "doc_id"))
+
+
+# ------------------------------------------------------------------ tokens, metadata, sorting, scans
+_TOKENS_SQL = """list_filter(list_transform(list_transform(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}](?:[\\p{L}\\p{N}]|[''’&.\\-!])*'), lambda x: replace(x, '’', '''')),
+lambda x: CASE WHEN regexp_matches(x, '^(?:[A-Za-z]\\.){2,}$') THEN x ELSE regexp_replace(x, '[.\\-''&]+$', '') END), lambda x: x <> '')"""
+
+
+@_query(f"SELECT doc_id, unnest(list_transform({_TOKENS_SQL}, lambda x: CASE WHEN ends_with(x, '''s') AND length(x) > 3 THEN substr(x, 1, length(x) - 2) ELSE x END)) AS token FROM documents")
+def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", F.explode(TX.tokens(F.col("text"))).alias("token"))
+
+
+@_query("""SELECT doc_id FROM (SELECT doc_id, length(regexp_replace(substr(text, 1, 20000), '[^\\p{L}]', '', 'g')) AS l, length(regexp_replace(substr(text, 1, 20000), '[^\\p{Lu}]', '', 'g')) AS u FROM documents)
+WHERE l >= 40 AND u >= l * 0.85""")
+def allcaps_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).filter(TX.is_all_caps(F.col("text"))).select("doc_id")
+
+
+@_query("""WITH p AS (SELECT page_id, url, regexp_replace(url, '^[a-z]+://', '') AS path FROM pages),
+s AS (SELECT *, string_split(path, '/') AS parts FROM p),
+b AS (SELECT *, regexp_replace(parts[-1], '(.)\\.[^.]*$', '\\1') AS base FROM s)
+SELECT page_id, coalesce(nullif(trim(regexp_replace(translate(base, '_-', '  '), '\\s+', ' ', 'g')), ''), path) AS title,
+CASE WHEN len(parts) <= 1 THEN '(top level)' ELSE parts[1] END AS collection FROM b""")
+def titles_and_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.regexp_replace("url", "^[a-z]+://", "")
+    return star.read(spark, sf_dir, "pages").select("page_id", MD.pretty_name(path).alias("title"), MD.collection(F.lit(None).cast("string"), path).alias("collection"))
+
+
+@_query("""SELECT id, doc_date FROM (SELECT o_orderkey::VARCHAR AS id, strftime(o_orderdate, '%Y-%m-%d') AS doc_date FROM orders WHERE o_orderpriority = '1-URGENT' AND year(o_orderdate) BETWEEN 1996 AND 1999)
+ORDER BY doc_date DESC, id LIMIT 25 OFFSET 25""")
+def second_page_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = D.filter_documents(star.documents(spark, sf_dir), {"collection": "1-URGENT"}, 1996, 1999)
+    return D.page_of(docs.orderBy(*D.date_order("date_desc")), 2).select("id", "doc_date")
+
+
+@_query("""SELECT page_id, regexp_extract(lower(url), '\\.([a-z0-9]+)$', 1) AS extension FROM pages
+WHERE regexp_matches(url, '^(?:https?://[^/]*)(?:/.*)?$') AND NOT regexp_matches(url, '^(?:.*/item/.*)(?:/.*)?$')""")
+def wanted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sextant.sources import discover
+
+    pages = star.read(spark, sf_dir, "pages").filter(discover.wanted(F.col("url"), ["http*://*"], ["*/item/*"]))
+    return pages.select("page_id", discover.extension(F.col("url")).alias("extension"))
+
+
+@_query("""SELECT event_type, date_trunc('day', ts)::DATE::VARCHAR AS day, count(*) AS n, round(sum(value), 6) AS value FROM events GROUP BY ALL""")
+def events_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sextant.streaming import incremental
+
+    days = incremental.windowed(star.read(spark, sf_dir, "events"), "1 day")
+    return days.select("event_type", F.date_format("start", "yyyy-MM-dd").alias("day"), "n", F.round("value", 6).alias("value"))
+
+
+@_query("""WITH c AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), s AS (SELECT l_suppkey, count(*) AS n FROM c GROUP BY 1)
+SELECT l_suppkey AS id, n AS doc_count FROM s WHERE n BETWEEN 1 AND 1000000 AND l_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R')""")
+def connected_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = star.read(spark, sf_dir, "lineitem")
+    nodes = line.select("l_suppkey", "l_partkey").distinct().groupBy(F.col("l_suppkey").alias("id")).agg(F.count(F.lit(1)).alias("doc_count")).withColumn("auto", F.lit(0)).withColumn("type", F.lit("company"))
+    edges = line.filter("l_returnflag = 'R'").select(F.col("l_suppkey").alias("src"), F.col("l_suppkey").alias("dst"))
+    return GR.connected(GR.node_filter(nodes, ["company"], 1, 1_000_000, True), edges).select("id", "doc_count")
