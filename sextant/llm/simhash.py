@@ -306,7 +306,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, ngram: int = 5,
     triples = _triples()
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 2_000) for b in batches for at in range(0, b.num_rows, 2_000)):
             node = batch.column(0).to_numpy()
             words = np.stack([batch.column(k + 1).to_numpy() for k in range(LANES)], 1).astype("<i8")
             part = words.view(np.uint8).reshape(len(node), 8 * LANES).astype(np.int64)
@@ -314,7 +314,6 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, ngram: int = 5,
             value |= np.arange(KEYS, dtype=np.int64) << 24
             yield pa.RecordBatch.from_arrays([pa.array(value.ravel()), pa.array(np.repeat(node, KEYS)), pa.array(np.repeat(words[:, 0], KEYS))], names=["k", "node", "sketch"])
 
-    small_batches(spark, 2_000)
     index = distinct.select("node", *lanes).mapInArrow(keys, "k bigint, node bigint, sketch bigint").repartition("k").sortWithinPartitions("k")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
