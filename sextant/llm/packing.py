@@ -33,7 +33,7 @@ MAX_TOKENS = 2048
 PATTERNS = 40_000
 ROUNDS = 400
 #: Pieces that one ranking task should see of one length.
-RANK_ROWS = 50_000
+RANK_ROWS = 10_000
 
 Run = tuple[tuple[int, ...], int]
 
@@ -214,17 +214,20 @@ def assign(rows: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """Give every piece its ``sequence_id`` and ``offset``; other columns stay.
 
     rows needs a column ``length`` of 1 .. max_tokens.  Pieces of a length are
-    ranked within salted groups of bounded size, whose bases are summed from the
-    counts of groups, so a length that many pieces share is ranked by many tasks.
+    ranked within salted groups, as many as the length needs, whose bases are summed
+    from the counts of groups: a length that many pieces share is ranked by many tasks.
     """
     held = materialise(rows, "pieces")
     histogram = {r[0]: r[1] for r in held.groupBy("length").count().collect()}  # at most max_tokens rows
     places = Places.of(plan(histogram, max_tokens))
-    groups = 1 + sum(histogram.values()) // RANK_ROWS
+    many = {x: 1 + n // RANK_ROWS for x, n in histogram.items() if n > RANK_ROWS}
+    groups = F.lit(1)
+    if many:
+        groups = F.coalesce(F.create_map(*[F.lit(v) for pair in many.items() for v in pair])[F.col("length")], F.lit(1))
     names = [c for c in held.columns if c != "length"]
     order = [f"c{k}" for k in range(len(names))]
     salted = held.select("length", *[F.col(c).alias(a) for c, a in zip(names, order, strict=True)])
-    salted = salted.withColumn("s_salt", F.pmod(F.xxhash64(*order), F.lit(groups)).cast("int"))
+    salted = salted.withColumn("s_salt", F.pmod(F.xxhash64(*order), groups).cast("int"))
     bases = salted.groupBy("length", "s_salt").agg(F.count(F.lit(1)).alias("s_count"))
     base = F.coalesce(F.sum("s_count").over(Window.partitionBy("length").orderBy("s_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = bases.select("length", "s_salt", base.alias("s_base"))

@@ -81,7 +81,9 @@ def test_long_batches_are_sliced(monkeypatch):
     assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == want
 
 
-def test_packing(awkward, nothing):
+@pytest.mark.parametrize("ranked", [10_000, 2])
+def test_packing(awkward, nothing, monkeypatch, ranked):
+    monkeypatch.setattr(packing, "RANK_ROWS", ranked)  # 2: lengths are ranked in several groups
     pieces = packing.pieces(awkward, BYTE, 0)
     got = packing.assign(pieces.select("doc_id", "piece", "start", "length", "ids", F.lit("z").alias("s_rank"), F.lit(1).alias("s_salt"))).collect()
     library = Tokenizer.from_file(BYTE)
