@@ -102,21 +102,27 @@ def forest(found: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
             parts += [forest(found[order[a:b]], max_bits) for a, b in zip([0, *cuts], [*cuts, len(order)], strict=True) if b - a > 1]
         left, right = (np.concatenate([p[k] for p in parts]) if parts else found[:0] for k in (0, 1))
         return left, right
+    left, right = _index_forest(found, max_bits)
+    return found[left], found[right]
+
+
+def _index_forest(found: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of sketches that link, joined breadth first."""
     left, right = [], []
-    rest = found
+    rest = np.arange(len(found))
     while len(rest):
         frontier, rest = [rest[0]], rest[1:]
         while frontier and len(rest):
             one = frontier.pop()
-            near = np.bitwise_count(rest ^ one) <= max_bits
+            near = np.bitwise_count(found[rest] ^ found[one]) <= max_bits
             if near.any():
                 reached = rest[near]
-                right.append(reached)
                 left.append(np.full(len(reached), one))
+                right.append(reached)
                 frontier.extend(reached)
                 rest = rest[~near]
-    join = lambda x: np.concatenate(x) if x else found[:0]
-    return join(left), join(right)
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
 class _Runs:
@@ -257,25 +263,6 @@ def _triples(seed: int = 5) -> np.ndarray:
     return np.array(sorted(chosen))
 
 
-def _index_forest(found: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of sketches that link, joined breadth first."""
-    left, right = [], []
-    rest = np.arange(len(found))
-    while len(rest):
-        frontier, rest = [rest[0]], rest[1:]
-        while frontier and len(rest):
-            one = frontier.pop()
-            near = np.bitwise_count(found[rest] ^ found[one]) <= max_bits
-            if near.any():
-                reached = rest[near]
-                left.append(np.full(len(reached), one))
-                right.append(reached)
-                frontier.extend(reached)
-                rest = rest[~near]
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
-
-
 def similar_documents(docs: DataFrame, similarity: float = 0.8, ngram: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, component_id`` of every row: groups of texts whose word shingles
     have about the given Jaccard similarity or more, directly or by a chain.
@@ -285,8 +272,8 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, ngram: int = 5,
     leave no byte equal for certain, so the index of positional bytes is
     probabilistic here: a pair of similarity 0.8 shares one of 128 keys of three
     bytes with probability 0.92, one of 0.9 with 0.999.  Pairs that meet are
-    compared on a sketch of 64 bits, joined to a forest where many share a key,
-    and verified on all bits.  Equal fingerprints always group; texts without words
+    compared on a sketch of 64 bits, joined to a forest that starts at the smallest
+    node where many share a key, and verified on all bits.  Equal fingerprints always group; texts without words
     have fingerprint zero.  Rows that repeat an id stay rows of their own.
     """
     spark = docs.sparkSession
@@ -314,7 +301,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, ngram: int = 5,
             value |= np.arange(KEYS, dtype=np.int64) << 24
             yield pa.RecordBatch.from_arrays([pa.array(value.ravel()), pa.array(np.repeat(node, KEYS)), pa.array(np.repeat(words[:, 0], KEYS))], names=["k", "node", "sketch"])
 
-    index = distinct.select("node", *lanes).mapInArrow(keys, "k bigint, node bigint, sketch bigint").repartition("k").sortWithinPartitions("k")
+    index = distinct.select("node", *lanes).mapInArrow(keys, "k bigint, node bigint, sketch bigint").repartition("k").sortWithinPartitions("k", "node")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = [np.zeros(0, np.int64)] * 3
@@ -322,17 +309,24 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, ngram: int = 5,
         def pairs(k: np.ndarray, node: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
             cuts = np.append(np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])), len(k)) if len(k) else np.zeros(1, np.int64)
             size, bits = np.diff(cuts), sketch.view(np.uint64)
-            left, right = [], []
+            left, right, of = [], [], []
             for step in range(1, _SHORT):
                 runs = np.flatnonzero((size > step) & (size <= _SHORT))
                 if not len(runs):
                     break
                 n = size[runs] - step
                 at = np.repeat(cuts[runs] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                near = at[np.bitwise_count(bits[at] ^ bits[at + step]) <= SKETCH_BITS]
-                left.append(near)
-                right.append(near + step)
-            for run in np.flatnonzero(size > _SHORT):
+                near = np.bitwise_count(bits[at] ^ bits[at + step]) <= SKETCH_BITS
+                left.append(at[near])
+                right.append(at[near] + step)
+                of.append(np.repeat(runs, n)[near])
+            crowded = size > _SHORT
+            if of:  # where links outnumber a forest's edges, only a forest is kept
+                run = np.concatenate(of)
+                crowded |= np.bincount(run, minlength=len(size)) >= np.maximum(size, 2)
+                keep = ~crowded[run]
+                left, right = [np.concatenate(left)[keep]], [np.concatenate(right)[keep]]
+            for run in np.flatnonzero(crowded):
                 a, b = _index_forest(bits[cuts[run] : cuts[run + 1]], SKETCH_BITS)
                 left.append(a + cuts[run])
                 right.append(b + cuts[run])
