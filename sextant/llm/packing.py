@@ -33,7 +33,7 @@ MAX_TOKENS = 2048
 PATTERNS = 40_000
 ROUNDS = 400
 #: Pieces that one ranking task should see of one length.
-RANK_ROWS = 10_000
+RANK_ROWS = 2_000
 
 Run = tuple[tuple[int, ...], int]
 

@@ -81,7 +81,7 @@ def test_long_batches_are_sliced(monkeypatch):
     assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == want
 
 
-@pytest.mark.parametrize("ranked", [10_000, 2])
+@pytest.mark.parametrize("ranked", [2_000, 2])
 def test_packing(awkward, nothing, monkeypatch, ranked):
     monkeypatch.setattr(packing, "RANK_ROWS", ranked)  # 2: lengths are ranked in several groups
     pieces = packing.pieces(awkward, BYTE, 0)
