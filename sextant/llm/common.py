@@ -15,7 +15,7 @@ SEPARATORS = r"[\x20\x09-\x0D]+"
 #: Rows of one Arrow batch handed to Python; keeps a batch of long texts small.
 BATCH_ROWS = 500
 #: The same where texts are encoded: distinct words are looked up once a batch.
-ENCODED_ROWS = 1000
+ENCODED_ROWS = 1500
 
 
 def words_of(text: Column) -> Column:
