@@ -15,7 +15,8 @@ copies gives as many rows as it has members, not as many as it has pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -223,133 +224,282 @@ def near_duplicates(docs: DataFrame, ngram: int = NGRAM, max_bits: int = MAX_BIT
 
 
 # ------------------------------------------------------------------ by similarity
-#: A wide fingerprint: lanes of 64 bits, each from its own mixing of the shingles' hashes.
+#: Lanes of 64 bits of a text's parity bitmap.
 LANES = 8
-#: Odd multipliers of the lanes, by the golden ratio's bits.
-_MIXERS = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) & (2**64 - 1) for k in range(LANES)], np.uint64)
-#: Keys per fingerprint, each the joint value of three of its 64 bytes.
-KEYS = 128
-#: Bits of the first lane in which a pair may differ before it is verified on all.
-SKETCH_BITS = 20
-#: Bits beyond the expected number in which a pair may differ, about one standard deviation.
-TOLERANCE = 8
-
-
-def wide_fingerprint(text: bytes | None, ngram: int = 5) -> list[int]:
-    """Lanes of a wide SimHash, as signed 64-bit integers."""
-    hashes = shingle_hashes(text, ngram)
-    out = []
-    for mixer in _MIXERS:
-        mixed = hashes * mixer
-        mixed ^= mixed >> np.uint64(29)
-        mixed *= np.uint64(0xBF58476D1CE4E5B9)
-        mixed ^= mixed >> np.uint64(32)
-        value = majority(mixed)
-        out.append(value - (1 << 64) if value >> 63 else value)
-    return out
-
-
-def differing_share(similarity: float) -> float:
-    """Share of bits in which texts of equal length and this Jaccard similarity differ."""
-    overlap = 2 * similarity / (1 + similarity)
-    return float(np.arccos(overlap) / np.pi)
-
-
-def _triples(seed: int = 5) -> np.ndarray:
-    rng = np.random.default_rng(seed)
-    chosen: set[tuple[int, ...]] = set()
-    while len(chosen) < KEYS:
-        chosen.add(tuple(sorted(rng.choice(8 * LANES, 3, replace=False).tolist())))
-    return np.array(sorted(chosen))
+#: Share and least number of rows that are sampled to tell which shingles are common.
+SAMPLE, SAMPLED = 0.02, 20_000
+#: Shingles that are held as common; they come last in the order of all texts.
+COMMON = 200_000
+
+
+def needed(size: int, similarity: Fraction) -> int:
+    """Shingles that a text of this many shares with any text so similar."""
+    return -(-size * similarity.numerator // similarity.denominator)
+
+
+def prefix(tokens: np.ndarray, common: np.ndarray, weight: np.ndarray, similarity: Fraction) -> np.ndarray:
+    """The first ``n - needed + 1`` of n distinct shingles, rare ones first: texts
+    so similar have one of these in common.
+
+    common is sorted, with the weight of each; others have weight zero.  Any
+    weights give a right prefix, as long as all texts are ordered by the same.
+    """
+    if not len(tokens):
+        return np.zeros(0, np.int64)
+    weights = np.zeros(len(tokens), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
+        weights = np.where(common[at] == tokens, weight[at], 0)
+    return tokens[np.lexsort((tokens, weights))][: len(tokens) - needed(len(tokens), similarity) + 1]
+
+
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """Parity of the number of shingles in each of 512 classes.  Two texts' bitmaps
+    differ in no more bits than there are shingles that only one of them has."""
+    odd = np.bincount((tokens & (64 * LANES - 1)).astype(np.int64), minlength=64 * LANES) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
+
+
+def _tokens(text: bytes | None, ngram: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, ngram).view(np.int64))
+
+
+def _node(tokens: np.ndarray) -> int:
+    """A set's name: texts of the same shingles are one node, those without words node zero."""
+    from xxhash import xxh3_64_intdigest
+
+    value = xxh3_64_intdigest(tokens.astype("<i8").tobytes()) if len(tokens) else 0
+    return value - (1 << 64) if value >> 63 else value
+
+
+class _Rules:
+    """What every pair of the given similarity fulfils, in whole numbers."""
+
+    def __init__(self, similarity: Fraction):
+        self.p, self.q = similarity.numerator, similarity.denominator
+
+    def sizes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.minimum(a, b) * self.q >= np.maximum(a, b) * self.p
+
+    def shared(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Texts of a and b shingles, n of them in common, are similar enough."""
+        return n * (self.p + self.q) >= (a + b) * self.p
+
+    def bits(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The bitmaps may differ in n bits."""
+        return n * (self.p + self.q) <= (a + b) * (self.q - self.p)
+
+
+def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of a stream sorted by the first, cut so that no run of it is divided."""
+    open_: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if open_ and open_[0][0][0] == now[0][-1]:  # one run so far
+            open_.append(now)
+            continue
+        cut = int(np.searchsorted(now[0], now[0][-1]))
+        yield [np.concatenate([*(o[c] for o in open_), x[:cut]]) for c, x in enumerate(now)]
+        open_ = [[x[cut:] for x in now]]
+    if open_:
+        yield [np.concatenate([o[c] for o in open_]) for c in range(len(open_[0]))]
+
+
+def _cuts(k: np.ndarray) -> np.ndarray:
+    return np.append(np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])), len(k)) if len(k) else np.zeros(1, np.int64)
+
+
+def _meet(rules: _Rules, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs within the short runs of k, node, size, pos, and the rows of longer runs
+    as (key, node): left, right, and whether a row is of the latter kind."""
+    again = np.concatenate([[True], (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])])[: len(columns[0])]
+    k, node, size, pos = (x[again] for x in columns)  # copies met in several tasks
+    cuts = _cuts(k)
+    length = np.diff(cuts)
+    left, right = [], []
+    for step in range(1, _SHORT):
+        runs = np.flatnonzero((length > step) & (length <= _SHORT))
+        if not len(runs):
+            break
+        n = length[runs] - step
+        i = np.repeat(cuts[runs] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        j = i + step
+        most = np.minimum(size[i] - pos[i], size[j] - pos[j])  # this shingle and all that follow
+        near = rules.sizes(size[i], size[j]) & rules.shared(size[i], size[j], most)
+        left.append(np.minimum(node[i], node[j])[near])
+        right.append(np.maximum(node[i], node[j])[near])
+    met = sum(map(len, left))
+    crowded = np.repeat(length > _SHORT, length)
+    left.append(k[crowded])
+    right.append(node[crowded])
+    return np.concatenate(left), np.concatenate(right), np.arange(met + int(crowded.sum())) >= met
+
+
+def _near(rules: _Rules, size: np.ndarray, bits: np.ndarray, one: int, rest: np.ndarray) -> np.ndarray:
+    """Which of rest may be similar to one, by size and bitmap."""
+    near = rules.sizes(size[rest], size[one])
+    at = rest[near]
+    near[near] = rules.bits(size[at], size[one], np.bitwise_count(bits[at] ^ bits[one]).sum(axis=1, dtype=np.int64))
+    return near
+
+
+def _first_links(rules: _Rules, size: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the rows that may be similar, breadth first.  It only settles early
+    which rows are; the pairs it leaves out are met by _other_links."""
+    left, right = [], []
+    rest = np.arange(len(size))
+    while len(rest):
+        frontier, rest = [rest[0]], rest[1:]
+        while frontier and len(rest):
+            one = frontier.pop()
+            near = _near(rules, size, bits, one, rest)
+            if near.any():
+                left.append(np.full(near.sum(), one))
+                right.append(rest[near])
+                frontier.extend(rest[near])
+                rest = rest[~near]
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+
+
+def _other_links(rules: _Rules, size: np.ndarray, bits: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every pair that may be similar and is of two groups so far."""
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if (root != root[0]).any():
+        for one in range(len(size) - 1):
+            rest = one + 1 + np.flatnonzero(root[one + 1 :] != root[one])
+            rest = rest[_near(rules, size, bits, one, rest)]
+            left.append(np.full(len(rest), one))
+            right.append(rest)
+    return np.concatenate(left), np.concatenate(right)
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, ngram: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, component_id`` of every row: groups of texts whose word shingles
-    have about the given Jaccard similarity or more, directly or by a chain.
-
-    Texts of similarity s differ in a share of their SimHash bits that
-    ``differing_share`` gives; 512 bits tell it to about 0.016.  That many bits
-    leave no byte equal for certain, so the index of positional bytes is
-    probabilistic here: a pair of similarity 0.8 shares one of 128 keys of three
-    bytes with probability 0.92, one of 0.9 with 0.999.  Pairs that meet are
-    compared on a sketch of 64 bits, joined to a forest that starts at the smallest
-    node where many share a key, and verified on all bits.  Equal fingerprints always group; texts without words
-    have fingerprint zero.  Rows that repeat an id stay rows of their own.
+    """``doc_id, text_key, component_id, component_key`` of every row: groups of texts
+    whose sets of word shingles have the given Jaccard similarity or more, directly
+    or by a chain, and the smallest row of each (ids first, null ids last; of equal
+    ids the smaller key, an XXH64 of the text).
+
+    No link is lost: with all shingles in one order, such texts share one of their
+    first ``n - ceil(similarity * n) + 1``, so these are the keys; rare shingles come
+    first.  Pairs that meet are dropped where sizes, places or parity bitmaps rule
+    them out, and decided by the shingles (64-bit hashes) of both.  Keys of many
+    texts are first joined to a forest; where that leaves several groups, all
+    their pairs across groups are decided too.  Texts without words form one group.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col(id_col).alias("f_id"), F.col(text_col).cast("binary").alias("f_text"))
+    exact = Fraction(str(similarity))
+    rules = _Rules(exact)
+    key = F.xxhash64(F.col(text_col).cast("binary"))
+    rows = docs.select(F.col(id_col).alias("f_id"), key.alias("t"), F.col(text_col).cast("binary").alias("f_text"))
+    common, weight = _common(rows, ngram)
     lanes = [f"l{k}" for k in range(LANES)]
 
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # copies are described once a task
         for batch in batches:
-            found = np.array([wide_fingerprint(t, ngram) for t in batch.column(1).to_pylist()], np.int64).reshape(-1, LANES)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(found[:, k]) for k in range(LANES)]], names=["doc_id", *lanes])
-
-    ddl = ", ".join(f"{x} bigint" for x in lanes)
-    held = materialise(rows.mapInArrow(prints, f"doc_id {rows.schema['f_id'].dataType.simpleString()}, {ddl}"), "wide-fingerprints")
-    grouped = held.groupBy(*lanes).agg(F.min("doc_id").alias("least"))
-    distinct = materialise(grouped.select(F.monotonically_increasing_id().alias("node"), "least", *lanes), "distinct-wide")
-    triples = _triples()
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(at, 2_000) for b in batches for at in range(0, b.num_rows, 2_000)):
-            node = batch.column(0).to_numpy()
-            words = np.stack([batch.column(k + 1).to_numpy() for k in range(LANES)], 1).astype("<i8")
-            part = words.view(np.uint8).reshape(len(node), 8 * LANES).astype(np.int64)
-            value = part[:, triples[:, 0]] << 16 | part[:, triples[:, 1]] << 8 | part[:, triples[:, 2]]
-            value |= np.arange(KEYS, dtype=np.int64) << 24
-            yield pa.RecordBatch.from_arrays([pa.array(value.ravel()), pa.array(np.repeat(node, KEYS)), pa.array(np.repeat(words[:, 0], KEYS))], names=["k", "node", "sketch"])
-
-    index = distinct.select("node", *lanes).mapInArrow(keys, "k bigint, node bigint, sketch bigint").repartition("k").sortWithinPartitions("k", "node")
+            node, size, first, maps = [], [], [], []
+            for text in batch.column(2).to_pylist():
+                tokens = _tokens(text, ngram)
+                node.append(_node(tokens))
+                size.append(len(tokens))
+                first.append(None if node[-1] in seen else prefix(tokens, common, weight, exact))
+                maps.append(parities(tokens))
+                seen.add(node[-1])
+            columns = [batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(first, pa.list_(pa.int64()))]
+            bits = np.array(maps, np.int64).reshape(-1, LANES)
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(bits[:, k]) for k in range(LANES)]], names=["doc_id", "t", "node", "size", "first", *lanes])
+
+    ddl = ", ".join(f"{x} bigint" for x in ("t", "node", "size"))
+    ddl = f"doc_id {rows.schema['f_id'].dataType.simpleString()}, {ddl}, first array<bigint>, {', '.join(f'{x} bigint' for x in lanes)}"
+    held = materialise(rows.mapInArrow(describe, ddl), "described")
+    distinct = materialise(held.groupBy("node").agg(F.min("t").alias("t"), F.max("size").alias("size"), *[F.max(x).alias(x) for x in lanes]), "distinct-sets")
+    index = held.select("node", "size", F.posexplode("first").alias("pos", "k")).select("k", "node", "size", "pos")
+    index = index.repartition("k").sortWithinPartitions("k", "node")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_ = [np.zeros(0, np.int64)] * 3
-
-        def pairs(k: np.ndarray, node: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
-            cuts = np.append(np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])), len(k)) if len(k) else np.zeros(1, np.int64)
-            size, bits = np.diff(cuts), sketch.view(np.uint64)
-            left, right, of = [], [], []
-            for step in range(1, _SHORT):
-                runs = np.flatnonzero((size > step) & (size <= _SHORT))
-                if not len(runs):
-                    break
-                n = size[runs] - step
-                at = np.repeat(cuts[runs] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                near = np.bitwise_count(bits[at] ^ bits[at + step]) <= SKETCH_BITS
-                left.append(at[near])
-                right.append(at[near] + step)
-                of.append(np.repeat(runs, n)[near])
-            crowded = size > _SHORT
-            if of:  # where links outnumber a forest's edges, only a forest is kept
-                run = np.concatenate(of)
-                crowded |= np.bincount(run, minlength=len(size)) >= np.maximum(size, 2)
-                keep = ~crowded[run]
-                left, right = [np.concatenate(left)[keep]], [np.concatenate(right)[keep]]
-            for run in np.flatnonzero(crowded):
-                a, b = _index_forest(bits[cuts[run] : cuts[run + 1]], SKETCH_BITS)
-                left.append(a + cuts[run])
-                right.append(b + cuts[run])
-            if left:
-                a, b = node[np.concatenate(left)], node[np.concatenate(right)]
-                yield from _edges(np.minimum(a, b), np.maximum(a, b))
-
-        for batch in batches:
-            rows_ = [np.concatenate([o, c.to_numpy()]) for o, c in zip(open_, batch.columns, strict=True)]
-            if len(rows_[0]):
-                whole = int(np.searchsorted(rows_[0], rows_[0][-1]))  # the last key's run may go on
-                yield from pairs(*(x[:whole] for x in rows_))
-                open_ = [x[whole:] for x in rows_]
-        yield from pairs(*open_)
+        for columns in _whole_runs(batches):
+            a, b, crowded = _meet(rules, columns)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(crowded)], names=["a", "b", "crowded"])
 
     small_batches(spark, 50_000)
-    met = materialise(index.mapInArrow(meet, "a bigint, b bigint").distinct(), "met")
-    limit = int(64 * LANES * differing_share(similarity) + TOLERANCE)
-    one, other = (distinct.select(F.col("node").alias(n), *[F.col(x).alias(f"{n}_{x}") for x in lanes]) for n in ("a", "b"))
-    differing = sum((F.bit_count(F.col(f"a_{x}").bitwiseXOR(F.col(f"b_{x}"))) for x in lanes), F.lit(0))
-    linked = met.join(one, "a").join(other, "b").filter(differing <= limit).select("a", "b")
+    met = materialise(index.mapInArrow(meet, "a bigint, b bigint, crowded boolean"), "met")
+    pairs = met.filter("not crowded").select("a", "b").distinct()
+    one, other = (distinct.select(F.col("node").alias(n), F.col("size").alias(f"{n}_size"), *[F.col(x).alias(f"{n}_{x}") for x in lanes]) for n in ("a", "b"))
+    differing = sum((F.bit_count(F.col(f"a_{x}").bitwiseXOR(F.col(f"b_{x}"))).cast("bigint") for x in lanes), F.lit(0))
+    pairs = pairs.join(one, "a").join(other, "b").filter(rules.bits(F.col("a_size"), F.col("b_size"), differing)).select("a", "b")
+
+    def links_of(crowds: DataFrame, choose: Callable[..., tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for k, node, size, root, *maps in _whole_runs(batches):
+                bits, cuts = np.stack(maps, 1).view(np.uint64), _cuts(k)
+                for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                    a, b = choose(rules, size[lo:hi], bits[lo:hi], root[lo:hi])
+                    yield from _edges(*(f(node[lo:hi][a], node[lo:hi][b]) for f in (np.minimum, np.maximum)))
+
+        sorted_ = crowds.select("k", "node", "size", "root", *lanes).repartition("k").sortWithinPartitions("k", "node")
+        return sorted_.mapInArrow(run, "a bigint, b bigint").distinct()
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs whose sets are similar."""
+        wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+        keys = distinct.join(wanted, "node", "left_semi").select("t")
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last = None
+            for batch in batches:
+                names, sets = [], []
+                for t, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    tokens = _tokens(text, ngram)
+                    if (t, name := _node(tokens)) != last:
+                        names.append(name)
+                        sets.append(tokens)
+                    last = (t, name)
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "tokens"])
+
+        small_batches(spark)
+        texts = rows.select("t", "f_text").join(keys, "t", "left_semi")
+        sets = materialise(texts.mapInArrow(read, "node bigint, tokens array<bigint>"), "sets")
+        a, b = (sets.select(F.col("node").alias(n), F.col("tokens").alias(f"{n}_tokens")) for n in ("a", "b"))
+        shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
+        return pairs.join(a, "a").join(b, "b").filter(rules.shared(F.size("a_tokens"), F.size("b_tokens"), shared)).select("a", "b")
+
+    crowds = met.filter("crowded").select(F.col("a").alias("k"), F.col("b").alias("node"))
+    crowds = crowds.join(distinct.select("node", "size", *lanes), "node")
+    forests = links_of(crowds.withColumn("root", F.lit(0).cast("bigint")), lambda rules, size, bits, _: _first_links(rules, size, bits))
+    tried = materialise(pairs.unionAll(forests).distinct(), "tried")
+    linked = materialise(similar(tried), "linked")
     roots = components(linked)
-    placed = distinct.join(roots.withColumnRenamed("node", "r_node"), F.col("node") == F.col("r_node"), "left").withColumn("root", F.coalesce("root", "node"))
-    groups = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    if not crowds.isEmpty():
+        small_batches(spark, 50_000)
+        grouped = crowds.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        others = materialise(links_of(grouped, _other_links).join(tried, ["a", "b"], "left_anti"), "others")
+        if not others.isEmpty():
+            roots = components(linked.unionAll(similar(others)))
+    placed = distinct.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     small_batches(spark)
-    return held.join(placed.join(groups, "root").select(*lanes, "component_id"), lanes).select("doc_id", "component_id")
+    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("t"))
+    leasts = held.groupBy("node").agg(F.min(rank).alias("least")).join(placed, "node")
+    groups = leasts.groupBy("root").agg(F.min("least").alias("least"))
+    found = placed.join(groups, "root").select("node", F.col("least.doc_id").alias("component_id"), F.col("least.t").alias("component_key"))
+    return held.select("doc_id", F.col("t").alias("text_key"), "node").join(found, "node").select("doc_id", "text_key", "component_id", "component_key")
+
+
+def _common(rows: DataFrame, ngram: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of a sample of the rows, sorted, and their numbers."""
+    n = rows.select("t").count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_tokens(text, ngram) for text in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], names=["k"])
+
+    sample = rows.select("f_text").sample(min(1.0, max(SAMPLE, SAMPLED / max(n, 1))), SEED)
+    counts = sample.mapInArrow(run, "k bigint").groupBy("k").count().filter("count > 2").orderBy(F.desc("count"), "k").limit(COMMON).toArrow()
+    k, count = (counts.column(c).to_numpy() for c in (0, 1))
+    order = np.argsort(k)
+    return k[order], count[order]

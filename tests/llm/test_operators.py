@@ -242,7 +242,48 @@ def test_similar_documents(spark, awkward, nothing):
     assert simhash.similar_documents(nothing).count() == 0
 
 
-# ------------------------------------------------------------------ 8 substring dedup
+def shingle_sets(docs, n=5):
+    return {d: {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} for d, text in docs if (w := words((text or "").lower()))}
+
+
+def jaccard_groups(docs, p=4, q=5):
+    """Smallest id of every document's group, by comparing all pairs."""
+    sets, least = shingle_sets(docs), {d: d for d, _ in docs}
+
+    def top(d):
+        while least[d] != d:
+            d = least[d]
+        return d
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            both = len(sets[a] & sets[b])
+            if q * both >= p * (len(sets[a]) + len(sets[b]) - both):
+                low, high = sorted((top(a), top(b)))
+                least[high] = low
+    return {d: top(d) for d, _ in docs}
+
+
+def similar_groups(spark, docs):
+    found = simhash.similar_documents(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4))
+    return {r["doc_id"]: r["component_id"] for r in found.collect()}
+
+
+@pytest.mark.parametrize("crowd", [6, 120])
+def test_copies_beside_a_merely_similar_hub(spark, crowd):
+    """True copies meet texts of smaller id that share much with all of them and are copies of none."""
+    rnd = random.Random(crowd)
+    fresh = lambda n: [f"v{rnd.randrange(10**9)}" for _ in range(n)]
+    shared = fresh(200)
+    docs = [(0, " ".join(shared + fresh(50)))]
+    for _ in range(crowd // 2):
+        own = fresh(45)
+        docs += [(len(docs), " ".join(shared + own)), (len(docs) + 1, " ".join(shared + own + fresh(36)))]
+    want = jaccard_groups(docs)
+    assert len(set(want.values())) == 1 + crowd // 2 and similar_groups(spark, docs) == want
+
+
 def repeats_reference(docs, window):
     first = {}
     for d, text in docs:
