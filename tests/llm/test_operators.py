@@ -284,6 +284,21 @@ def test_copies_beside_a_merely_similar_hub(spark, crowd):
     assert len(set(want.values())) == 1 + crowd // 2 and similar_groups(spark, docs) == want
 
 
+def test_pairs_near_the_threshold_equal_brute_force(spark):
+    """Pairs of Jaccard about 0.7 to 0.95: all of 0.8 or more group and none below."""
+    rnd = random.Random(21)
+    docs = []
+    for k in range(150):
+        w = [f"u{rnd.randrange(10**6)}" for _ in range(rnd.choice((40, 220, 225)))]
+        docs.append((2 * k, " ".join(w)))
+        for at in rnd.sample(range(3, len(w) - 3), max(1, rnd.randrange(3, 8) * len(w) // 220)):
+            w[at] = f"x{rnd.randrange(10**6)}"
+        docs.append((2 * k + 1, " ".join(w)))
+    want = jaccard_groups(docs)
+    assert 160 < len(set(want.values())) < 290 and similar_groups(spark, docs) == want
+
+
+# ------------------------------------------------------------------ 8 substring dedup
 def repeats_reference(docs, window):
     first = {}
     for d, text in docs:
