@@ -36,6 +36,15 @@ def test_near_dedup_stage(stages):
     assert len(kept) == len(set(kept)) == len(set(texts.values())) and "2" not in kept and "1" in kept
 
 
+def test_near_dedup_chooses_by_row(spark):
+    """Rows without an id, and different texts of one id, each stay or go by their own group."""
+    text = lambda name, extra="": " ".join(f"{name}{k}" for k in range(60)) + extra
+    docs = [(None, text("a")), (None, text("b")), (None, text("b", " end")), (None, text("c")), (1, text("c")), (5, text("c", " end")), (5, text("d")), (5, text("d")), (7, text("e"))]
+    table = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in docs], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    kept = [(r["doc_id"], r["text"].split()[0]) for r in P.near_dedup(spark, table, "").collect()]
+    assert sorted(kept, key=str) == sorted([(None, "a0"), (None, "b0"), (1, "c0"), (5, "d0"), (7, "e0")], key=str)
+
+
 def test_substring_stage(stages):
     want = {d: (kept, gone) for d, _, gone, kept in repeats_reference([tuple(r) for r in stages[2].select("doc_id", "text").collect()], 13)}
     before = dict(map(tuple, stages[2].select("doc_id", "text").collect()))
