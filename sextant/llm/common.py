@@ -5,17 +5,24 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Java pattern of the separators between words: space and U+0009 .. U+000D.
 SEPARATORS = r"[\x20\x09-\x0D]+"
-#: Rows of one Arrow batch handed to Python; keeps a batch of long texts small.
+#: Rows that Python works on at a time; keeps what long texts need small.
 BATCH_ROWS = 500
 #: The same where texts are encoded: distinct words are looked up once a batch.
 ENCODED_ROWS = 1500
+#: The same for narrow rows of numbers.
+NARROW_ROWS = 50_000
+
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def words_of(text: Column) -> Column:
@@ -32,19 +39,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows of an Arrow batch for the Python stages planned from now on."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows, whatever the session makes
+    them (Spark ends a batch at 64 MB of its own accord)."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings that hold for one write and are put back after it."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def is_one_machine(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master.startswith("local") and not master.startswith("local-cluster")
 
 
 def scratch_root(spark: SparkSession) -> str:
     """Folder that the driver and all executors share: spark.checkpoint.dir.
 
-    Only where the session leaves it unset (tests, one machine) a temporary
-    folder takes its place and is set for the session.
+    Only where a session on one machine leaves it unset (as in tests) a temporary
+    folder takes its place and is set for the session; a cluster must name one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not is_one_machine(spark):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="sextant-")
         spark.conf.set("spark.checkpoint.dir", root)
         _remove_at_exit(spark, root)
@@ -58,13 +88,24 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, and a
-    lost executor costs only the reading of its files."""
+    lost executor costs only the reading of its files.  The write's shuffle files
+    go with its end.  rows: the most rows of an Arrow batch during the write."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with settings(spark, {_CLEANUP: "true"} | ({_BATCH: str(rows)} if rows else {})):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["scratch_path"] = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``materialise`` that nothing will read again."""
+    for df in tables:
+        if path := df.__dict__.pop("scratch_path", None):
+            remove(df.sparkSession, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:

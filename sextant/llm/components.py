@@ -2,7 +2,7 @@
 
 Every round is two shuffles of narrow rows with map-side minima; no group of
 neighbours is ever collected.  Rounds are written to the shared folder, so
-lineage stays one round deep.
+lineage stays one round deep, and a round's table goes when the next is written.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import materialise
+from sextant.llm.common import materialise, release
 
 MAX_ROUNDS = 60
 
@@ -40,9 +40,12 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialise(edges.filter(F.col("a") != F.col("b")).select(*_oriented(F.col("a"), F.col("b"))).distinct(), "edges")
     mark = None
     for _ in range(MAX_ROUNDS):
-        now = materialise(_small_star(_large_star(now)), "stars")
+        last, now = now, materialise(_small_star(_large_star(now)), "stars")
+        release(last)
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if new == mark or new[0] == 0:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out.__dict__["scratch_path"] = now.__dict__.pop("scratch_path")
+            return out
         mark = new
     raise RuntimeError("components did not converge")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sextant.llm.common import materialise, words_of
+from sextant.llm.common import materialise, release, words_of
 
 #: Stands for a null language or source in the tree.
 NONE = "(none)"
@@ -180,7 +180,9 @@ def mix(docs: DataFrame, mixture: Mixture = PRODUCTION, id_col: str = "doc_id",
     shares = materialise(allocate(leaves, mixture), "mix-shares")
     n_leaves = shares.count()
     cuts = materialise(cutoffs(rows, shares, mixture, n_leaves), "mix-cuts")
+    release(leaves, shares)
     if carry:
+        release(rows)
         rows = docs.select(*node, F.lit(None).cast("bigint").alias("n_tokens"), *[F.col(c).alias(f"c_{k}") for k, c in enumerate(carry)])
     key = order_key(mixture.seed, F.col("epochs"), F.col("m_id"))
     times = (F.col("epochs") + F.when(key <= F.col("cutoff"), 1).otherwise(0)).cast("int")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sextant.llm.common import ENCODED_ROWS, materialise, scratch_path, small_batches
+from sextant.llm.common import ENCODED_ROWS, materialise, scratch_path, slices
 
 MAGIC = b"SXTSST01"
 #: index offset, index size, Bloom offset, Bloom size, entries, width of an id, hashes, magic.
@@ -217,9 +217,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
     """
     from sextant.llm.encoding import encoder
 
-    spark = docs.sparkSession
-    small_batches(spark, ENCODED_ROWS)
-    folder = folder or scratch_path(spark, "sst")
+    folder = folder or scratch_path(docs.sparkSession, "sst")
     rows = docs.select(F.col(id_col).cast("bigint").alias("k_id"), F.col(text_col).alias("k_text"))
     rows = rows.repartitionByRange("k_id").sortWithinPartitions("k_id", "k_text")
 
@@ -229,7 +227,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
         shard, writer, path, tokens = TaskContext.get().partitionId(), None, "", 0
         coder = encoder(tokenizer_path)
         width = 2 if max(coder.vocabulary_size(), end_id + 1) <= 1 << 16 else 4
-        for batch in batches:
+        for batch in slices(batches, ENCODED_ROWS):
             ids, bounds = coder.encode(batch.column(1))
             for k, key in enumerate(batch.column(0).to_pylist()):
                 if writer is None:
@@ -246,7 +244,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
             yield pa.RecordBatch.from_pylist([{"shard": shard, "path": path, "n_docs": n, "n_tokens": tokens}], schema=pa.schema([("shard", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
     manifest = rows.mapInArrow(run, "shard bigint, path string, n_docs bigint, n_tokens bigint")
-    return Shards(folder, materialise(manifest, "sst-manifest"))
+    return Shards(folder, materialise(manifest, "sst-manifest", ENCODED_ROWS))
 
 
 def read_shards(shards: Shards) -> DataFrame:
@@ -255,7 +253,6 @@ def read_shards(shards: Shards) -> DataFrame:
     start counts the ids of all documents before it.  The window that adds up
     the shards sees one row per shard.
     """
-    small_batches(shards.manifest.sparkSession)
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     n = max(1, shards.manifest.count())
     rows = shards.manifest.select("shard", "path", before.alias("base")).repartition(n, "shard")

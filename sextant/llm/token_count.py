@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import small_batches
+from sextant.llm.common import slices
 
 MARK = "▁"
 #: Symbols of the pre-tokens that one call of the merge loop works on.
@@ -250,10 +250,8 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
     A null text counts as empty: no bytes, no tokens.  Repeated rows stay
     repeated; other columns are not read.
     """
-    small_batches(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n = counter(model_path).count(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
