@@ -1,22 +1,22 @@
-"""Near-duplicates by SimHash fingerprints and an index of byte positions.
+"""Near-duplicates by SimHash fingerprints and an inverted index of byte positions.
 
 Two 64-bit fingerprints that differ in at most ``max_bits`` bits agree in at
-least ``8 - max_bits`` of their eight bytes.  The index therefore holds each
-distinct fingerprint under the values of its bytes at every choice of that many
-positions: a pair is met under one of these keys exactly if it reaches the
-guaranteed number of shared positional bytes.  Pairs that meet are verified on
-all 64 bits.  (Lists of single positional bytes would each hold 1/256 of all
-documents, and tallying their pairs would grow with the square of the corpus;
-the joint keys give the same candidates without it.)
-
-Within a key, fingerprints that link are joined to a forest, so a group of
-copies gives as many rows as it has members, not as many as it has pairs.
+least ``8 - max_bits`` of their eight bytes.  Each distinct fingerprint is listed
+under its bytes at every pair of positions; where lists of pairs would be long,
+under every three or four positions, as the number of fingerprints asks.  Pairs
+that share a list are tallied: the number of bytes that they share, position by
+position.  Pairs that reach the guaranteed number are kept and verified on all 64
+bits.  A pair that reaches it shares a list, so none is missed.
+
+Lists that a sample expects to be very long are split by one more position each,
+down to the guaranteed number of positions.  Within a list, fingerprints that
+link are joined to a forest, so a group of copies gives as many rows as it has
+members, not as many as it has pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from fractions import Fraction
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -24,14 +24,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import materialise, small_batches
+from sextant.llm.common import NARROW_ROWS, materialise, release, slices
 from sextant.llm.components import components
 
 SEED = 42
 MAX_BITS = 4
 NGRAM = 4
-#: Fingerprints of one key that are compared directly; more are indexed again by their varying bits.
+#: Fingerprints that a list should have on average; more ask for one more position.
+LIST = 16
+#: Fingerprints beyond which a list is split by further positions, and the most
+#: fingerprints of the sample that tells.
+HOT, SAMPLED = 100_000, 100_000
+#: Fingerprints of one list that are compared directly; more are indexed again by their varying bits.
 DIRECT = 8_192
+#: Lists up to this length are compared all at once, by distance within the list.
+SHORT = 32
 
 
 def shingle_hashes(text: bytes | None, ngram: int) -> np.ndarray:
@@ -71,11 +78,10 @@ def fingerprint(text: bytes | None, ngram: int = NGRAM) -> int:
 
 def fingerprints(docs: DataFrame, ngram: int = NGRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fp`` (the fingerprint as a signed 64-bit integer) of every row."""
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("f_id"), F.col(text_col).cast("binary").alias("f_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = np.array([fingerprint(t, ngram) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
@@ -115,7 +121,7 @@ def _index_forest(found: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndar
         frontier, rest = [rest[0]], rest[1:]
         while frontier and len(rest):
             one = frontier.pop()
-            near = np.bitwise_count(found[rest] ^ found[one]) <= max_bits
+            near = links_of(found[rest] ^ found[one], max_bits)
             if near.any():
                 reached = rest[near]
                 left.append(np.full(len(reached), one))
@@ -126,171 +132,23 @@ def _index_forest(found: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndar
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
-class _Runs:
-    """Cuts a stream of rows sorted by (combination, key) into runs of equal keys."""
-
-    def __init__(self, max_bits: int):
-        self.max_bits = max_bits
-        self.held: list[np.ndarray] = []
-        self.key: tuple[int, int] | None = None
-
-    def feed(self, c: np.ndarray, k: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        new = np.concatenate([[True], (c[1:] != c[:-1]) | (k[1:] != k[:-1])])
-        cuts = np.append(np.flatnonzero(new), len(c))
-        left, right = [], []
-        first, last = 0, len(cuts) - 2
-        if self.key == (c[0], k[0]):  # the run that was open goes on
-            self.held.append(fp[: cuts[1]])
-            first = 1
-        if first <= last:
-            for part in (self.end(), _short(fp, cuts[first:-1], self.max_bits)):
-                left.append(part[0])
-                right.append(part[1])
-            for a, b in zip(cuts[first:last], cuts[first + 1 : last + 1], strict=True):
-                if b - a > _SHORT:
-                    part = forest(fp[a:b], self.max_bits)
-                    left.append(part[0])
-                    right.append(part[1])
-            self.held, self.key = [fp[cuts[last] :]], (c[-1], k[-1])
-        return np.concatenate(left) if left else fp[:0], np.concatenate(right) if right else fp[:0]
-
-    def end(self) -> tuple[np.ndarray, np.ndarray]:
-        held = np.concatenate(self.held) if self.held else np.zeros(0, np.uint64)
-        self.held = []
-        return forest(held, self.max_bits)
-
-
-#: Runs up to this length are compared all at once, by distance within the run.
-_SHORT = 16
-
-
-def _short(fp: np.ndarray, cuts: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within all closed runs of 2 .. _SHORT rows; cuts are their bounds."""
-    size = np.diff(cuts)
-    left, right = [], []
-    for step in range(1, _SHORT):
-        runs = np.flatnonzero((size > step) & (size <= _SHORT))
-        if not len(runs):
-            break
-        n = size[runs] - step
-        at = np.repeat(cuts[runs] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        near = np.bitwise_count(fp[at] ^ fp[at + step]) <= max_bits
-        left.append(fp[at[near]])
-        right.append(fp[at[near] + step])
-    return (np.concatenate(left), np.concatenate(right)) if left else (fp[:0], fp[:0])
-
-
-def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Edges ``a, b`` that connect the fingerprints (column fp, distinct) which
-    differ in at most max_bits bits, directly or by a chain."""
-    small_batches(distinct.sparkSession, 50_000)
-    chosen = list(combinations(range(8), 8 - max_bits))
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    masks = [signed(sum(0xFF << 8 * p for p in c)) for c in chosen]
-    entries = F.array(*[F.struct(F.lit(n).alias("c"), F.col("fp").bitwiseAND(F.lit(m).cast("bigint")).alias("k")) for n, m in enumerate(masks)])
-    index = distinct.select("fp", F.explode(entries).alias("e")).select("e.c", "e.k", "fp")
-    index = index.repartition("c", "k").sortWithinPartitions("c", "k", "fp")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = _Runs(max_bits)
-        for batch in batches:
-            if batch.num_rows:
-                c, k, fp = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
-                yield from _edges(*runs.feed(c, k, fp.view(np.uint64)))
-        yield from _edges(*runs.end())
-
-    return index.mapInArrow(run, "a bigint, b bigint")
-
-
-def _edges(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
-    if len(a):
-        yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
-
-
-def near_duplicates(docs: DataFrame, ngram: int = NGRAM, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp, component_id`` of every row: the smallest id of its group.
-
-    Rows group if their fingerprints differ in at most max_bits bits, directly
-    or by a chain.  Null, empty and wordless texts have fingerprint zero and
-    group like any other.  Null ids are never a group's smallest, unless it has
-    no other.  Rows that repeat an id stay rows of their own.
-    """
-    rows = materialise(fingerprints(docs, ngram, id_col, text_col), "fingerprints")
-    distinct = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    roots = components(links(distinct.select("fp"), max_bits))
-    placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    groups = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(placed.join(groups, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
-
-
-# ------------------------------------------------------------------ by similarity
-#: Lanes of 64 bits of a text's parity bitmap.
-LANES = 8
-#: Share and least number of rows that are sampled to tell which shingles are common.
-SAMPLE, SAMPLED = 0.02, 20_000
-#: Shingles that are held as common; they come last in the order of all texts.
-COMMON = 200_000
-
-
-def needed(size: int, similarity: Fraction) -> int:
-    """Shingles that a text of this many shares with any text so similar."""
-    return -(-size * similarity.numerator // similarity.denominator)
-
-
-def prefix(tokens: np.ndarray, common: np.ndarray, weight: np.ndarray, similarity: Fraction) -> np.ndarray:
-    """The first ``n - needed + 1`` of n distinct shingles, rare ones first: texts
-    so similar have one of these in common.
-
-    common is sorted, with the weight of each; others have weight zero.  Any
-    weights give a right prefix, as long as all texts are ordered by the same.
-    """
-    if not len(tokens):
-        return np.zeros(0, np.int64)
-    weights = np.zeros(len(tokens), np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
-        weights = np.where(common[at] == tokens, weight[at], 0)
-    return tokens[np.lexsort((tokens, weights))][: len(tokens) - needed(len(tokens), similarity) + 1]
-
-
-def parities(tokens: np.ndarray) -> np.ndarray:
-    """Parity of the number of shingles in each of 512 classes.  Two texts' bitmaps
-    differ in no more bits than there are shingles that only one of them has."""
-    odd = np.bincount((tokens & (64 * LANES - 1)).astype(np.int64), minlength=64 * LANES) & 1
-    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
-
-
-def _tokens(text: bytes | None, ngram: int) -> np.ndarray:
-    return np.unique(shingle_hashes(text, ngram).view(np.int64))
-
-
-def _node(tokens: np.ndarray) -> int:
-    """A set's name: texts of the same shingles are one node, those without words node zero."""
-    from xxhash import xxh3_64_intdigest
+def shared_bytes(x: np.ndarray) -> np.ndarray:
+    """The tally of pairs: bytes that both have at the same position, from their difference x."""
+    some = x | x >> np.uint64(4)
+    some |= some >> np.uint64(2)
+    some |= some >> np.uint64(1)
+    return 8 - np.bitwise_count(some & np.uint64(0x0101010101010101))
 
-    value = xxh3_64_intdigest(tokens.astype("<i8").tobytes()) if len(tokens) else 0
-    return value - (1 << 64) if value >> 63 else value
 
+def links_of(x: np.ndarray, max_bits: int) -> np.ndarray:
+    """Which of the differences x are of pairs that link: those that reach the least
+    number of shared bytes are verified on all bits."""
+    kept = shared_bytes(x) >= 8 - max_bits
+    kept[kept] = np.bitwise_count(x[kept]) <= max_bits
+    return kept
 
-class _Rules:
-    """What every pair of the given similarity fulfils, in whole numbers."""
 
-    def __init__(self, similarity: Fraction):
-        self.p, self.q = similarity.numerator, similarity.denominator
-
-    def sizes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.minimum(a, b) * self.q >= np.maximum(a, b) * self.p
-
-    def shared(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Texts of a and b shingles, n of them in common, are similar enough."""
-        return n * (self.p + self.q) >= (a + b) * self.p
-
-    def bits(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """The bitmaps may differ in n bits."""
-        return n * (self.p + self.q) <= (a + b) * (self.q - self.p)
-
-
-def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """Columns of a stream sorted by the first, cut so that no run of it is divided."""
     open_: list[list[np.ndarray]] = []
     for batch in batches:
@@ -307,199 +165,118 @@ def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]
         yield [np.concatenate([o[c] for o in open_]) for c in range(len(open_[0]))]
 
 
-def _cuts(k: np.ndarray) -> np.ndarray:
+def bounds(k: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
     return np.append(np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])), len(k)) if len(k) else np.zeros(1, np.int64)
 
 
-def _meet(rules: _Rules, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs within the short runs of k, node, size, pos, and the rows of longer runs
-    as (key, node): left, right, and whether a row is of the latter kind."""
-    again = np.concatenate([[True], (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])])[: len(columns[0])]
-    k, node, size, pos = (x[again] for x in columns)  # copies met in several tasks
-    cuts = _cuts(k)
-    length = np.diff(cuts)
-    left, right = [], []
-    for step in range(1, _SHORT):
-        runs = np.flatnonzero((length > step) & (length <= _SHORT))
-        if not len(runs):
-            break
-        n = length[runs] - step
-        i = np.repeat(cuts[runs] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        j = i + step
-        most = np.minimum(size[i] - pos[i], size[j] - pos[j])  # this shingle and all that follow
-        near = rules.sizes(size[i], size[j]) & rules.shared(size[i], size[j], most)
-        left.append(np.minimum(node[i], node[j])[near])
-        right.append(np.maximum(node[i], node[j])[near])
-    met = sum(map(len, left))
-    crowded = np.repeat(length > _SHORT, length)
-    left.append(k[crowded])
-    right.append(node[crowded])
-    return np.concatenate(left), np.concatenate(right), np.arange(met + int(crowded.sum())) >= met
-
-
-def _near(rules: _Rules, size: np.ndarray, bits: np.ndarray, one: int, rest: np.ndarray) -> np.ndarray:
-    """Which of rest may be similar to one, by size and bitmap."""
-    near = rules.sizes(size[rest], size[one])
-    at = rest[near]
-    near[near] = rules.bits(size[at], size[one], np.bitwise_count(bits[at] ^ bits[one]).sum(axis=1, dtype=np.int64))
-    return near
-
-
-def _first_links(rules: _Rules, size: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A forest of the rows that may be similar, breadth first.  It only settles early
-    which rows are; the pairs it leaves out are met by _other_links."""
-    left, right = [], []
-    rest = np.arange(len(size))
-    while len(rest):
-        frontier, rest = [rest[0]], rest[1:]
-        while frontier and len(rest):
-            one = frontier.pop()
-            near = _near(rules, size, bits, one, rest)
-            if near.any():
-                left.append(np.full(near.sum(), one))
-                right.append(rest[near])
-                frontier.extend(rest[near])
-                rest = rest[~near]
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+def within(cuts: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs within the runs of 2 .. longest rows, a distance at a time."""
+    size = np.diff(cuts)
+    for step in range(1, longest):
+        chosen = np.flatnonzero((size > step) & (size <= longest))
+        if not len(chosen):
+            return
+        n = size[chosen] - step
+        at = np.repeat(cuts[chosen] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        yield at, at + step
+
+
+def positions_for(n: int) -> int:
+    """Positions that a list fixes, from the number of distinct fingerprints."""
+    return next((p for p in (2, 3) if n <= LIST << 8 * p), 4)
+
+
+def _mask(positions: tuple[int, ...]) -> int:
+    return sum(0xFF << 8 * p for p in positions)
+
+
+def _places(mask: int) -> list[int]:
+    return [p for p in range(8) if mask >> 8 * p & 0xFF]
+
+
+def hot_lists(sample: np.ndarray, n: int, positions: int, deepest: int) -> dict[int, np.ndarray]:
+    """Keys of the lists that are split, by mask: those of which the sample expects
+    over HOT among n fingerprints, and their parts as far as they are as long."""
+    least = max(8, -(-HOT * len(sample) // max(n, 1)))
+    found: dict[int, np.ndarray] = {}
+    now = {_mask(c): np.ones(len(sample), bool) for c in combinations(range(8), positions)}
+    for _ in range(positions, deepest):
+        further: dict[int, np.ndarray] = {}
+        for mask, rows in now.items():
+            keys, count = np.unique(sample[rows] & np.uint64(mask), return_counts=True)
+            if (keys := keys[count >= least]).size:
+                found[mask] = keys
+                split = rows & np.isin(sample & np.uint64(mask), keys)
+                for p in set(range(8)) - set(_places(mask)):
+                    more = mask | 0xFF << 8 * p
+                    further[more] = further.get(more, False) | split
+        now = further
+    return found
+
+
+def listed(fp: np.ndarray, positions: int, hot: dict[int, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Names of the lists, and the fingerprints to enter there."""
+    now = {_mask(c): np.ones(len(fp), bool) for c in combinations(range(8), positions)}
+    while now:
+        further: dict[int, np.ndarray] = {}
+        for mask, rows in now.items():
+            key = fp & np.uint64(mask)
+            if mask in hot and (split := rows & np.isin(key, hot[mask])).any():
+                rows = rows & ~split
+                for p in set(range(8)) - set(_places(mask)):
+                    more = mask | 0xFF << 8 * p
+                    further[more] = further.get(more, False) | split
+            # lists of two masks may share a name: that only adds pairs to tally
+            name = (key ^ np.uint64(mask * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xD6E8FEB86659FD93)
+            yield (name ^ name >> np.uint64(32))[rows], fp[rows]
+        now = further
 
 
-def _other_links(rules: _Rules, size: np.ndarray, bits: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Every pair that may be similar and is of two groups so far."""
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    if (root != root[0]).any():
-        for one in range(len(size) - 1):
-            rest = one + 1 + np.flatnonzero(root[one + 1 :] != root[one])
-            rest = rest[_near(rules, size, bits, one, rest)]
-            left.append(np.full(len(rest), one))
-            right.append(rest)
-    return np.concatenate(left), np.concatenate(right)
-
-
-def similar_documents(docs: DataFrame, similarity: float = 0.8, ngram: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, text_key, component_id, component_key`` of every row: groups of texts
-    whose sets of word shingles have the given Jaccard similarity or more, directly
-    or by a chain, and the smallest row of each (ids first, null ids last; of equal
-    ids the smaller key, an XXH64 of the text).
-
-    No link is lost: with all shingles in one order, such texts share one of their
-    first ``n - ceil(similarity * n) + 1``, so these are the keys; rare shingles come
-    first.  Pairs that meet are dropped where sizes, places or parity bitmaps rule
-    them out, and decided by the shingles (64-bit hashes) of both.  Keys of many
-    texts are first joined to a forest; where that leaves several groups, all
-    their pairs across groups are decided too.  Texts without words form one group.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    exact = Fraction(str(similarity))
-    rules = _Rules(exact)
-    key = F.xxhash64(F.col(text_col).cast("binary"))
-    rows = docs.select(F.col(id_col).alias("f_id"), key.alias("t"), F.col(text_col).cast("binary").alias("f_text"))
-    common, weight = _common(rows, ngram)
-    lanes = [f"l{k}" for k in range(LANES)]
-
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # copies are described once a task
-        for batch in batches:
-            node, size, first, maps = [], [], [], []
-            for text in batch.column(2).to_pylist():
-                tokens = _tokens(text, ngram)
-                node.append(_node(tokens))
-                size.append(len(tokens))
-                first.append(None if node[-1] in seen else prefix(tokens, common, weight, exact))
-                maps.append(parities(tokens))
-                seen.add(node[-1])
-            columns = [batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(first, pa.list_(pa.int64()))]
-            bits = np.array(maps, np.int64).reshape(-1, LANES)
-            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(bits[:, k]) for k in range(LANES)]], names=["doc_id", "t", "node", "size", "first", *lanes])
-
-    ddl = ", ".join(f"{x} bigint" for x in ("t", "node", "size"))
-    ddl = f"doc_id {rows.schema['f_id'].dataType.simpleString()}, {ddl}, first array<bigint>, {', '.join(f'{x} bigint' for x in lanes)}"
-    held = materialise(rows.mapInArrow(describe, ddl), "described")
-    distinct = materialise(held.groupBy("node").agg(F.min("t").alias("t"), F.max("size").alias("size"), *[F.max(x).alias(x) for x in lanes]), "distinct-sets")
-    index = held.select("node", "size", F.posexplode("first").alias("pos", "k")).select("k", "node", "size", "pos")
-    index = index.repartition("k").sortWithinPartitions("k", "node")
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in _whole_runs(batches):
-            a, b, crowded = _meet(rules, columns)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(crowded)], names=["a", "b", "crowded"])
-
-    small_batches(spark, 50_000)
-    met = materialise(index.mapInArrow(meet, "a bigint, b bigint, crowded boolean"), "met")
-    pairs = met.filter("not crowded").select("a", "b").distinct()
-    one, other = (distinct.select(F.col("node").alias(n), F.col("size").alias(f"{n}_size"), *[F.col(x).alias(f"{n}_{x}") for x in lanes]) for n in ("a", "b"))
-    differing = sum((F.bit_count(F.col(f"a_{x}").bitwiseXOR(F.col(f"b_{x}"))).cast("bigint") for x in lanes), F.lit(0))
-    pairs = pairs.join(one, "a").join(other, "b").filter(rules.bits(F.col("a_size"), F.col("b_size"), differing)).select("a", "b")
-
-    def links_of(crowds: DataFrame, choose: Callable[..., tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for k, node, size, root, *maps in _whole_runs(batches):
-                bits, cuts = np.stack(maps, 1).view(np.uint64), _cuts(k)
-                for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                    a, b = choose(rules, size[lo:hi], bits[lo:hi], root[lo:hi])
-                    yield from _edges(*(f(node[lo:hi][a], node[lo:hi][b]) for f in (np.minimum, np.maximum)))
-
-        sorted_ = crowds.select("k", "node", "size", "root", *lanes).repartition("k").sortWithinPartitions("k", "node")
-        return sorted_.mapInArrow(run, "a bigint, b bigint").distinct()
-
-    def similar(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs whose sets are similar."""
-        wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-        keys = distinct.join(wanted, "node", "left_semi").select("t")
-
-        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            last = None
-            for batch in batches:
-                names, sets = [], []
-                for t, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    tokens = _tokens(text, ngram)
-                    if (t, name := _node(tokens)) != last:
-                        names.append(name)
-                        sets.append(tokens)
-                    last = (t, name)
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "tokens"])
-
-        small_batches(spark)
-        texts = rows.select("t", "f_text").join(keys, "t", "left_semi")
-        sets = materialise(texts.mapInArrow(read, "node bigint, tokens array<bigint>"), "sets")
-        a, b = (sets.select(F.col("node").alias(n), F.col("tokens").alias(f"{n}_tokens")) for n in ("a", "b"))
-        shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
-        return pairs.join(a, "a").join(b, "b").filter(rules.shared(F.size("a_tokens"), F.size("b_tokens"), shared)).select("a", "b")
-
-    crowds = met.filter("crowded").select(F.col("a").alias("k"), F.col("b").alias("node"))
-    crowds = crowds.join(distinct.select("node", "size", *lanes), "node")
-    forests = links_of(crowds.withColumn("root", F.lit(0).cast("bigint")), lambda rules, size, bits, _: _first_links(rules, size, bits))
-    tried = materialise(pairs.unionAll(forests).distinct(), "tried")
-    linked = materialise(similar(tried), "linked")
-    roots = components(linked)
-    if not crowds.isEmpty():
-        small_batches(spark, 50_000)
-        grouped = crowds.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        others = materialise(links_of(grouped, _other_links).join(tried, ["a", "b"], "left_anti"), "others")
-        if not others.isEmpty():
-            roots = components(linked.unionAll(similar(others)))
-    placed = distinct.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    small_batches(spark)
-    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("t"))
-    leasts = held.groupBy("node").agg(F.min(rank).alias("least")).join(placed, "node")
-    groups = leasts.groupBy("root").agg(F.min("least").alias("least"))
-    found = placed.join(groups, "root").select("node", F.col("least.doc_id").alias("component_id"), F.col("least.t").alias("component_key"))
-    return held.select("doc_id", F.col("t").alias("text_key"), "node").join(found, "node").select("doc_id", "text_key", "component_id", "component_key")
-
-
-def _common(rows: DataFrame, ngram: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles of a sample of the rows, sorted, and their numbers."""
-    n = rows.select("t").count()
+def _edges(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if len(a):
+        yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [_tokens(text, ngram) for text in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], names=["k"])
-
-    sample = rows.select("f_text").sample(min(1.0, max(SAMPLE, SAMPLED / max(n, 1))), SEED)
-    counts = sample.mapInArrow(run, "k bigint").groupBy("k").count().filter("count > 2").orderBy(F.desc("count"), "k").limit(COMMON).toArrow()
-    k, count = (counts.column(c).to_numpy() for c in (0, 1))
-    order = np.argsort(k)
-    return k[order], count[order]
+
+def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """Edges ``a, b`` that connect the fingerprints (column fp, distinct) which
+    differ in at most max_bits bits, directly or by a chain."""
+    n = distinct.count()
+    positions = min(positions_for(n), 8 - max_bits)
+    sample = distinct if n <= SAMPLED else distinct.sample(SAMPLED / n, SEED)
+    hot = hot_lists(np.array([r[0] for r in sample.collect()], np.int64).view(np.uint64), n, positions, 8 - max_bits)
+
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, NARROW_ROWS):
+            for name, fp in listed(batch.column(0).to_numpy().view(np.uint64), positions, hot):
+                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(fp.view(np.int64))], names=["list", "fp"])
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, fp in runs(batches):
+            fp, cuts = fp.view(np.uint64), bounds(name)
+            for i, j in within(cuts, SHORT):
+                near = links_of(fp[i] ^ fp[j], max_bits)
+                yield from _edges(fp[i[near]], fp[j[near]])
+            for k in np.flatnonzero(np.diff(cuts) > SHORT):
+                yield from _edges(*forest(np.unique(fp[cuts[k] : cuts[k + 1]]), max_bits))
+
+    index = distinct.select("fp").mapInArrow(enter, "list bigint, fp bigint")
+    return index.repartition("list").sortWithinPartitions("list").mapInArrow(tally, "a bigint, b bigint")
+
+
+def near_duplicates(docs: DataFrame, ngram: int = NGRAM, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, fp, component_id`` of every row: the smallest id of its group.
+
+    Rows group if their fingerprints differ in at most max_bits bits, directly
+    or by a chain.  Null, empty and wordless texts have fingerprint zero and
+    group like any other.  Null ids are never a group's smallest, unless it has
+    no other.  Rows that repeat an id stay rows of their own.
+    """
+    rows = materialise(fingerprints(docs, ngram, id_col, text_col), "fingerprints")
+    distinct = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    roots = components(links(distinct.select("fp"), max_bits))
+    placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    groups = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    found = materialise(placed.join(groups, "root").select("fp", "component_id"), "groups")
+    release(distinct, roots)
+    return rows.join(found, "fp").select("doc_id", "fp", "component_id")
