@@ -5,19 +5,19 @@ the one shard that can hold its copies.  Every window of ``window`` words has an
 anchor: its word k-gram of least hash.  Successive windows with one anchor form
 a fragment; equal windows have equal anchors.
 
-1. Each document gives its fragments as (anchor, fragment hash, document,
-   place).  Fragments repeated within a batch are settled before the shuffle,
-   so a hot passage moves one row per batch.
-2. Rows meet by anchor.  A fragment that an earlier document has as it is, is
-   repeated in full; one whose anchor nobody shares is unique.  What is left are
-   fragments that share an anchor but differ somewhere.
-3. Their texts form the shards.  A shard's FM-index finds, by backward search
-   over a wavelet matrix, the windows that occur in more than one fragment and
-   the earliest document of each.
+1. Each document gives its fragments as (anchor, document, place).  Of fragments
+   that a batch of documents holds several times, word for word, only the
+   earliest document's goes on, so a hot passage moves one row per batch.
+2. Rows meet by anchor.  An anchor that only one document has is of no passage.
+3. The fragments of the other anchors are streamed, as text, to the shards of
+   their anchors.  A shard's FM-index holds each different fragment; backward
+   search over its wavelet matrix gives every window's occurrences, and the
+   document matrix the earliest of them.  A window is repeated if that is earlier
+   than the fragment's own document.
 4. The windows found are put together by document.
 
-An anchor that very many different fragments share is split by window instead,
-so no shard grows without bound.
+An anchor that very many fragments share is split by window instead, so no shard
+grows without bound.
 """
 
 from __future__ import annotations
@@ -30,23 +30,24 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import materialise, small_batches
+from sextant.llm.common import NARROW_ROWS, materialise, release, slices
 from sextant.llm.fmindex import FMIndex
 
 WINDOW = 13
 GRAM = 5
-#: Documents of a batch.
-DOC_ROWS = 500
 #: Words of one FM-index; groups of an anchor are not split.
 SHARD_WORDS = 200_000
-#: Different fragments of an anchor beyond which it is split by window.
+#: Fragments of an anchor beyond which it is split by window.
 HOT_FRAGMENTS = 10_000
+#: Windows of a fragment: a bit each of a signed 64-bit integer.
+MOST_WINDOWS = 62
 #: Stands for a null id: later than every document.
 LAST = (1 << 63) - 1
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MIX = np.uint64(0xD6E8FEB86659FD93)
+_ROWS = (("anchor", pa.int64()), ("d", pa.int64()), ("h", pa.int64()), ("code", pa.int64()))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -62,7 +63,7 @@ def _powers(of: np.uint64, n: int) -> np.ndarray:
 
 
 class Words:
-    """The words of a batch of texts, one after another, with a hash of each."""
+    """The words of a batch of texts, one after another, numbered and hashed."""
 
     def __init__(self, texts: list[bytes | None]):
         from xxhash import xxh64_intdigest
@@ -73,10 +74,9 @@ class Words:
         self.start = self.end - self.count
         number: dict[bytes, int] = {}
         of = number.setdefault
-        self.word = [w for p in parts for w in p]
-        index = np.fromiter((of(w, len(number)) for w in self.word), np.int64, len(self.word))
+        self.number = np.fromiter((of(w, len(number)) for p in parts for w in p), np.int64, int(self.count.sum()))
         known = np.fromiter((xxh64_intdigest(w, 7) for w in number), np.uint64, len(number))
-        self.hash = known[index] if len(index) else np.zeros(0, np.uint64)
+        self.hash = known[self.number] if len(self.number) else np.zeros(0, np.uint64)
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.hash * _powers(_ODD, len(self.hash)))])
         self.inverse = _powers(_INVERSE, len(self.hash) + 1)
 
@@ -84,18 +84,20 @@ class Words:
         """A hash of the words in each span, the same wherever they stand."""
         return _mixed((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
 
-    def document(self) -> np.ndarray:
-        """31 bits that tell apart documents of one id."""
-        return (self.span(self.start, self.end) >> np.uint64(33)).astype(np.int64)
+    def equal(self, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Whether the spans of these lengths from a and from b have the same words."""
+        step = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+        same = self.number[np.repeat(a, length) + step] == self.number[np.repeat(b, length) + step]
+        return np.logical_and.reduceat(same, np.cumsum(length) - length) if len(length) else same
 
 
 def fragments(words: Words, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Document, place, windows, anchor and fragment hash of every fragment."""
+    """Document, start (among the batch's words), windows and anchor of every fragment."""
     n = len(words.hash)
-    last = np.repeat(words.end, words.count) - window  # last window start of each word's document
+    none = np.zeros(0, np.int64)
     if n < window:
-        none = np.zeros(0, np.int64)
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64)
+    last = np.repeat(words.end, words.count) - window  # last window start of each word's document
     grams = words.span(np.arange(n - gram + 1), np.arange(gram, n + 1))
     wide = window - gram + 1  # k-grams of a window
     m = len(grams) - wide + 1
@@ -107,265 +109,258 @@ def fragments(words: Words, window: int, gram: int) -> tuple[np.ndarray, ...]:
         np.copyto(anchor, np.arange(k, k + m), where=grams[k : k + m] == least)
     at = np.flatnonzero(np.arange(m) <= last[:m])
     if not len(at):
-        none = np.zeros(0, np.int64)
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64)
     owner = np.repeat(np.arange(len(words.count)), words.count)[at]
     new = np.concatenate([[True], (anchor[at][1:] != anchor[at][:-1]) | (owner[1:] != owner[:-1])])
     first = np.flatnonzero(new)
     size = np.diff(np.append(first, len(at)))
     start = at[first]
-    return owner[first], start - words.start[owner[first]], size, least[start], words.span(start, start + size + window - 1)
-
+    return owner[first], start, size, least[start]
 
-def _i64(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
 
-
-def _settle(key: np.ndarray, content: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Which rows have an earlier document's row of the same key and content among them."""
-    order = np.lexsort((d, content, key))
-    k, c, e = key[order], content[order], d[order]
+def _again(words: Words, start: np.ndarray, length: np.ndarray, anchor: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Which fragments an earlier document of the batch has word for word."""
+    content = words.span(start, start + length)
+    order = np.lexsort((d, content, anchor))
+    k, c = anchor[order], content[order]
     new = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])]) if len(order) else np.zeros(0, bool)
-    least = e[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else e
+    first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else order
+    later = np.flatnonzero(d[order] > d[first])
+    a, b = order[later], first[later]
+    same = length[a] == length[b]
+    a, b = a[same], b[same]
     out = np.zeros(len(order), bool)
-    out[order] = e > least
+    out[a[words.equal(start[a], start[b], length[a])]] = True
     return out
 
 
 def _fragment_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
+    """``anchor, d, h, code`` of every fragment; code: place, windows, and whether
+    all its windows are repeated already.  docs: d, h, text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            d = batch.column(0).to_numpy(zero_copy_only=False)
-            words = Words(batch.column(1).to_pylist())
-            owner, place, size, anchor, content = fragments(words, window, gram)
+        for batch in slices(batches):
+            d, h = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            words = Words(batch.column(2).to_pylist())
+            owner, start, size, anchor = fragments(words, window, gram)
             if not len(owner):
                 continue
-            of = d[owner]
-            done = _settle(anchor, content, of)
-            anchor = np.where(done, _mixed(content + place.astype(np.uint64) + of.view(np.uint64)), anchor)  # only passes through
-            code = place << 9 | size << 1 | done
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (_i64(anchor), _i64(content), of, words.document()[owner].astype(np.int32), code)], names=["anchor", "content", "d", "h", "code"])
+            done = _again(words, start, size + window - 1, anchor, d[owner])
+            place = start - words.start[owner]
+            anchor = np.where(done, _mixed(anchor + place.astype(np.uint64) + h[owner].view(np.uint64)), anchor)  # only passes through
+            columns = (anchor.view(np.int64), d[owner], h[owner], place << 7 | size << 1 | done)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(columns, _ROWS, strict=True)], names=[n for n, _ in _ROWS])
 
-    return docs.mapInArrow(run, "anchor bigint, content bigint, d bigint, h int, code bigint")
+    return docs.mapInArrow(run, "anchor bigint, d bigint, h bigint, code bigint")
 
 
 class _Anchors:
-    """Reads rows sorted by (anchor, content, d) and settles each anchor's group.
+    """Reads rows sorted by (anchor, d) and picks those of anchors that documents share.
 
-    Only the group at a batch's end stays open; of it, no more than
-    HOT_FRAGMENTS fragments are held back."""
+    Only the group at a batch's end stays open; of it, no more than HOT_FRAGMENTS
+    rows are held back.  A group of more is split by window (hot)."""
 
     def __init__(self):
-        self.anchor = None
-        self.content, self.least, self.seen, self.hot = None, 0, 0, False
-        self.held: list[tuple[np.ndarray, ...]] = []
-
-    def _close(self, out: list) -> None:
-        if self.seen > 1:
-            out += [(*rows, True, self.hot) for rows in self.held]
-        self.held = []
-
-    def feed(self, anchor, content, d, h, code) -> Iterator[tuple]:
-        """Yields (anchor, d, h, code, probe, hot) of the rows that are repeated
-        in full (probe False) or have to be searched (probe True)."""
-        out: list[tuple] = []
-        done = (code & 1) == 1
+        self.anchor, self.held, self.seen = None, [], 0
+
+    def feed(self, columns: list[np.ndarray]) -> Iterator[tuple[list[np.ndarray], bool, bool]]:
+        """Yields rows, whether they are to be searched, and whether they are hot."""
+        done = (columns[3] & 1) == 1
         if done.any():
-            out.append((anchor[done], d[done], h[done], code[done], False, False))
-            anchor, content, d, h, code = (x[~done] for x in (anchor, content, d, h, code))
-        if len(anchor):
-            new_a = np.concatenate([[anchor[0] != self.anchor], anchor[1:] != anchor[:-1]])
-            new_c = new_a | np.concatenate([[content[0] != self.content], content[1:] != content[:-1]])
-            at = np.maximum.accumulate(np.where(new_c, np.arange(len(d)), -1))
-            least = np.where(at >= 0, d[np.maximum(at, 0)], self.least)
-            full = d > least
-            out.append((anchor[full], d[full], h[full], code[full], False, False))
-            cuts = np.flatnonzero(new_a)
-            head = cuts[0] if len(cuts) else len(anchor)
-            probe = ~full
-            if head:  # rows of the group that was open
-                self._add(out, anchor, d, h, code, probe, new_c, 0, head)
-            if len(cuts):
-                self._close(out)
-                tail = cuts[-1]
-                group = np.cumsum(new_a[head:tail]) - 1
-                if len(group):
-                    different = np.bincount(group, weights=new_c[head:tail]).astype(np.int64)
-                    rows = probe[head:tail] & (different[group] > 1)
-                    hot = different[group] > HOT_FRAGMENTS
-                    for flag in (False, True):
-                        pick = np.flatnonzero(rows & (hot == flag)) + head
-                        if len(pick):
-                            out.append((anchor[pick], d[pick], h[pick], code[pick], True, flag))
-                self.anchor, self.seen, self.hot = anchor[tail], 0, False
-                self._add(out, anchor, d, h, code, probe, new_c, tail, len(anchor))
-            self.content, self.least = content[-1], least[-1]
-        yield from out
-
-    def _add(self, out, anchor, d, h, code, probe, new_c, a, b) -> None:
-        self.seen += int(new_c[a:b].sum())
-        pick = np.flatnonzero(probe[a:b]) + a
-        rows = (anchor[pick], d[pick], h[pick], code[pick])
-        if self.seen > HOT_FRAGMENTS and not self.hot:
-            self.hot = True
-            self._close(out)
-        if self.hot:
-            out.append((*rows, True, True))
-        else:
-            self.held.append(rows)
-
-    def end(self) -> Iterator[tuple]:
-        out: list[tuple] = []
-        self._close(out)
-        yield from out
-
-
-def _settled_rows(rows: DataFrame) -> DataFrame:
-    """Fragments repeated in full, and fragments to search."""
-    rows = rows.repartition("anchor").sortWithinPartitions("anchor", "content", "d")
-
-    def batch_of(anchor, d, h, code, probe, hot) -> pa.RecordBatch:
+            yield [c[done] for c in columns], False, False
+            columns = [c[~done] for c in columns]
+        anchor, d = columns[:2]
+        if not len(anchor):
+            return
+        new = np.concatenate([[anchor[0] != self.anchor], anchor[1:] != anchor[:-1]])
+        cuts = np.flatnonzero(new)
+        head = int(cuts[0]) if len(cuts) else len(anchor)
+        if head:
+            yield from self._add([c[:head] for c in columns])
+        if not len(cuts):
+            return
+        yield from self.close()
+        tail = int(cuts[-1])
+        if tail > head:
+            ends = np.append(cuts[1:], len(anchor))[:-1]
+            size = ends - cuts[:-1]
+            shared, hot = d[cuts[:-1]] != d[ends - 1], size > HOT_FRAGMENTS
+            for flag in (False, True):
+                if len(at := np.flatnonzero(np.repeat((shared & ~hot) if not flag else hot, size)) + head):
+                    yield [c[at] for c in columns], True, flag
+        self.anchor = anchor[tail]
+        yield from self._add([c[tail:] for c in columns])
+
+    def _add(self, columns: list[np.ndarray]) -> Iterator[tuple[list[np.ndarray], bool, bool]]:
+        self.seen += len(columns[0])
+        self.held.append(columns)
+        if self.seen > HOT_FRAGMENTS:
+            for rows in self.held:
+                yield rows, True, True
+            self.held = []
+
+    def close(self) -> Iterator[tuple[list[np.ndarray], bool, bool]]:
+        if self.held and self.seen <= HOT_FRAGMENTS and self.held[0][1][0] != self.held[-1][1][-1]:
+            for rows in self.held:
+                yield rows, True, False
+        self.held, self.seen = [], 0
+
+
+def _shared_rows(rows: DataFrame) -> DataFrame:
+    """Fragments whose windows are all repeated, and fragments to search (probe)."""
+    rows = rows.repartition("anchor").sortWithinPartitions("anchor", "d")
+    names = ["anchor", "d", "h", "place", "size", "probe", "hot"]
+
+    def batch_of(found: tuple[list[np.ndarray], bool, bool]) -> pa.RecordBatch:
+        (anchor, d, h, code), probe, hot = found
         n = len(d)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(anchor), pa.array(d), pa.array(h), pa.array(code >> 9), pa.array((code >> 1 & 255).astype(np.int32)), pa.array(np.full(n, probe)), pa.array(np.full(n, hot))],
-            names=["anchor", "d", "h", "place", "size", "probe", "hot"],
-        )
+        columns = (anchor, d, h, code >> 7, (code >> 1 & 63).astype(np.int32), np.full(n, probe), np.full(n, hot))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups = _Anchors()
         for batch in batches:
-            for found in groups.feed(*(c.to_numpy(zero_copy_only=False) for c in batch.columns)):
-                if len(found[0]):
-                    yield batch_of(*found)
-        for found in groups.end():
-            yield batch_of(*found)
+            for found in groups.feed([c.to_numpy(zero_copy_only=False) for c in batch.columns]):
+                yield batch_of(found)
+        for found in groups.close():
+            yield batch_of(found)
 
-    return rows.mapInArrow(run, "anchor bigint, d bigint, h int, place bigint, size int, probe boolean, hot boolean")
+    return rows.mapInArrow(run, "anchor bigint, d bigint, h bigint, place bigint, size int, probe boolean, hot boolean")
 
 
-_TEXT_ROW = pa.schema([("key", pa.int64()), ("d", pa.int64()), ("h", pa.int32()), ("place", pa.int64()), ("size", pa.int32()), ("text", pa.binary())])
+_TEXT_ROW = pa.schema([("key", pa.int64()), ("d", pa.int64()), ("h", pa.int64()), ("place", pa.int64()), ("size", pa.int32()), ("text", pa.binary())])
 
 
 def _fragment_texts(wanted: DataFrame, window: int) -> DataFrame:
-    """The words of the fragments to search; a row without text is settled already.
+    """The words of the fragments to search, by shard key; a row without text is
+    repeated in full: an earlier document of the batch has the same hot window.
 
-    wanted: d, text, and the fragments of the document as an array."""
+    wanted: d, h, text, and the fragments of the document as an array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
-        for batch in batches:
-            key, d, h, place, size, text = [], [], [], [], [], []
-            words = Words(batch.column(1).to_pylist())
-            mark = words.document().tolist()
-            for k, (doc, asked) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                own = words.word[words.start[k] : words.end[k]]
-                for x in asked:
-                    if x["h"] != mark[k]:
-                        continue  # another document of the same id
-                    parts = [(x["place"], x["size"])] if not x["hot"] else [(x["place"] + j, 1) for j in range(x["size"])]
-                    for p, s in parts:
-                        part = b" ".join(own[p : p + s + window - 1])
-                        key.append(xxh64_intdigest(part, 11) - (1 << 63) if x["hot"] else x["anchor"])
-                        d.append(doc)
-                        h.append(mark[k])
-                        place.append(p)
-                        size.append(s)
-                        text.append(part)
-            if key:
-                kept = np.array(key, np.int64)
-                coded = pa.array(text, pa.binary()).dictionary_encode().indices.to_numpy().astype(np.int64)
-                done = _settle(kept, coded, np.array(d, np.int64))
-                texts = pc.if_else(pa.array(done), pa.scalar(None, pa.binary()), pa.array(text, pa.binary()))
-                kept = np.where(done, _i64(_mixed((kept + np.arange(len(kept))).view(np.uint64))), kept)
-                yield pa.RecordBatch.from_arrays([pa.array(kept), pa.array(d, pa.int64()), pa.array(h, pa.int32()), pa.array(place, pa.int64()), pa.array(size, pa.int32()), texts], schema=_TEXT_ROW)
-
-    return wanted.mapInArrow(run, "key bigint, d bigint, h int, place bigint, size int, text binary")
-
-
-def search_shard(texts: list[bytes], sizes: np.ndarray, d: np.ndarray, window: int) -> list[int]:
-    """Bit k of a row's number: the fragment's k-th window occurs in an earlier document."""
-    order: dict[bytes, int] = {}
-    index = np.array([order.setdefault(t, len(order)) for t in texts], np.int64)
-    earliest = np.full(len(order), LAST, np.int64)
+        for batch in slices(batches):
+            d, h = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            asked = batch.column(3)
+            flat = asked.flatten()
+            anchor, place, size, hot = (pc.struct_field(flat, c).to_numpy(zero_copy_only=False) for c in ("anchor", "place", "size", "hot"))
+            count = np.diff(asked.offsets.to_numpy())
+            owner = np.repeat(np.arange(len(count)), count)
+            parts = np.where(hot, size, 1)  # a hot fragment gives each window by itself
+            at = np.repeat(np.arange(len(owner)), parts)
+            place = place[at] + np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)
+            size = np.where(hot[at], 1, size[at])
+            owner, anchor, hot = owner[at], anchor[at], hot[at]
+            text: list[bytes | None] = []
+            ends = np.cumsum(np.bincount(owner, minlength=len(count))).tolist()
+            starts, stops, k = place.tolist(), (place + size + window - 1).tolist(), 0
+            for words, end in zip((t.split() for t in batch.column(2).to_pylist()), ends, strict=True):
+                text += [b" ".join(words[a:b]) for a, b in zip(starts[k:end], stops[k:end], strict=True)]
+                k = end
+            key, of = anchor.copy(), d[owner]
+            earliest: dict[bytes, int] = {}
+            for k in np.flatnonzero(hot).tolist():
+                key[k] = xxh64_intdigest(text[k], 11) - (1 << 63)
+                earliest[text[k]] = min(earliest.get(text[k], LAST), int(of[k]))
+            for k in np.flatnonzero(hot).tolist():
+                if earliest[text[k]] < of[k]:
+                    key[k] = xxh64_intdigest(text[k], int(k)) - (1 << 63)  # only passes through
+                    text[k] = None
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(of), pa.array(h[owner]), pa.array(place), pa.array(size.astype(np.int32)), pa.array(text, pa.binary())], schema=_TEXT_ROW)
+
+    return wanted.mapInArrow(run, "key bigint, d bigint, h bigint, place bigint, size int, text binary")
+
+
+def search_shard(texts: pa.Array, sizes: np.ndarray, d: np.ndarray, window: int) -> np.ndarray:
+    """Bit k of a row's number: the fragment's k-th window occurs in an earlier document.
+
+    Each different fragment is in the index once, under its earliest document, and
+    streams through it once; every row compares its own document with the result."""
+    coded = texts.dictionary_encode()
+    index = coded.indices.to_numpy()
+    unique = [t.split() for t in coded.dictionary.to_pylist()]
+    earliest = np.full(len(unique), LAST, np.int64)
     np.minimum.at(earliest, index, d)
-    unique = [t.split() for t in order]
+    documents, rank = np.unique(earliest, return_inverse=True)
     number: dict[bytes, int] = {}
     text = np.fromiter((s for t in unique for s in (*(number.setdefault(w, len(number) + 1) for w in t), 0)), np.int64)
     length = np.fromiter(map(len, unique), np.int64, len(unique))
+    owner = np.repeat(np.arange(len(unique)), length + 1)
+    fm = FMIndex(text, rank[owner], window + 1)
     begin = np.cumsum(length + 1) - (length + 1)
     windows = np.maximum(length - window + 1, 0)
     fragment = np.repeat(np.arange(len(unique)), windows)
-    at = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-    fm = FMIndex(text)
-    matched, low, high = fm.matching(begin[fragment] + at, window)
-    first = np.full(len(fragment), LAST, np.int64)
+    before = np.cumsum(windows) - windows
+    matched, low, high = fm.matching(text, begin[fragment] + np.arange(windows.sum()) - np.repeat(before, windows), window, alone=1)
+    first = earliest[fragment]  # of a window that occurs only here
     found = np.flatnonzero(matched == window)
-    if len(found):  # the intervals of different windows are disjoint
-        lows, back = np.unique(low[found], return_inverse=True)
-        highs = np.zeros(len(lows), np.int64)
-        highs[back] = high[found]
-        owner = np.repeat(np.arange(len(unique)), length + 1)
-        document = np.append(earliest[owner[fm.order]], LAST)
-        first[found] = np.minimum.reduceat(document, np.stack([lows, highs], 1).ravel())[::2][back]
-    bounds = np.cumsum(windows) - windows
-    out = []
-    for k, f in enumerate(index.tolist()):
-        hit = (first[bounds[f] : bounds[f] + sizes[k]] < d[k]) | (earliest[f] < d[k])
-        out.append(int((hit << np.arange(len(hit))).sum()) if len(hit) else 0)
-    return out
+    first[found] = documents[fm.earliest(low[found], high[found])]
+    row = np.repeat(np.arange(len(index)), sizes)
+    bit = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    hit = first[before[index[row]] + bit] < d[row]
+    return np.add.reduceat(hit.astype(np.int64) << bit, np.cumsum(sizes) - sizes)
 
 
 def _searched(rows: DataFrame, window: int) -> DataFrame:
     """Windows found repeated: d, h, place and a bit for each window from there on."""
-    rows = rows.repartition("key").sortWithinPartitions("key")
+    rows = rows.repartition("key").sortWithinPartitions("key", "d")
 
-    def result(d, h, place, mask) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(h, pa.int32()), pa.array(place, pa.int64()), pa.array(mask, pa.int32())], names=["d", "h", "place", "mask"])
+    def result(table: pa.Table, mask: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(hit := np.flatnonzero(mask)):
+            yield pa.RecordBatch.from_arrays([pa.array(table[c].to_numpy()[hit]) for c in ("d", "h", "place")] + [pa.array(mask[hit])], names=["d", "h", "place", "mask"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        words = 0
+    full = lambda table: (1 << table["size"].to_numpy().astype(np.int64)) - 1
+    words_in = lambda x: int(x["size"].to_numpy().sum()) + (window - 1) * x.num_rows
 
-        def search(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            if not table.num_rows:
-                return
-            size = table["size"].to_numpy()
-            mask = np.array(search_shard(table["text"].to_pylist(), size, table["d"].to_numpy(), window), np.int64)
-            hit = np.flatnonzero(mask)
-            if len(hit):
-                yield result(*(table[c].to_numpy()[hit] for c in ("d", "h", "place")), mask[hit])
+    def search(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        if table.num_rows:
+            size, d = table["size"].to_numpy().astype(np.int64), table["d"].to_numpy()
+            yield from result(table, search_shard(table["text"].combine_chunks(), size, d, window))
 
-        for batch in batches:
+    def thinned(table: pa.Table) -> tuple[pa.Table, pa.Table]:
+        """Rows of one key, by document: each different text's first, and the later ones."""
+        coded = table["text"].combine_chunks().dictionary_encode().indices.to_numpy()
+        d = table["d"].to_numpy()
+        earliest = np.full(int(coded.max()) + 1, LAST, np.int64)
+        np.minimum.at(earliest, coded, d)
+        later = d > earliest[coded]
+        return table.filter(pa.array(~later)), table.filter(pa.array(later))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        words = 0
+        for batch in slices(batches, NARROW_ROWS):
             settled = batch.column("text").is_null()
-            done = batch.filter(settled)
-            if done.num_rows:
-                yield result(*(done.column(c).to_numpy() for c in ("d", "h", "place")), (1 << done.column("size").to_numpy().astype(np.int64)) - 1)
-            batch = batch.filter(pc.invert(settled))
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            words += int(batch.column("size").to_numpy().sum()) + (window - 1) * batch.num_rows
+            if (done := pa.Table.from_batches([batch.filter(settled)])).num_rows:
+                yield from result(done, full(done))
+            new = pa.Table.from_batches([batch.filter(pc.invert(settled))])
+            held = new if held is None else pa.concat_tables([held, new])
+            words += words_in(new)
             if words >= SHARD_WORDS:
-                table = pa.Table.from_batches(held)
-                key = table["key"].to_numpy()
-                whole = int(np.searchsorted(key, key[-1]))  # the last anchor's group may go on
-                yield from search(table.slice(0, whole))
-                held = table.slice(whole).combine_chunks().to_batches()
-                words = sum(int(b.column("size").to_numpy().sum()) + (window - 1) * b.num_rows for b in held)
-        if held:
-            yield from search(pa.Table.from_batches(held))
-
-    return rows.mapInArrow(run, "d bigint, h int, place bigint, mask int")
-
-
-def _kept(text: bytes, places: np.ndarray, masks: np.ndarray, window: int) -> tuple[int, int, bytes]:
+                held = held.combine_chunks()
+                key = held["key"].to_numpy()
+                whole = int(np.searchsorted(key, key[-1]))  # the last group may go on
+                yield from search(held.slice(0, whole))
+                held = held.slice(whole)
+                if words_in(held) >= SHARD_WORDS:  # one hot window: later rows are repeated
+                    held, later = thinned(held)
+                    yield from result(later, full(later))
+                words = words_in(held)
+        if held is not None:
+            yield from search(held)
+
+    return rows.mapInArrow(run, "d bigint, h bigint, place bigint, mask bigint")
+
+
+def kept_words(text: bytes, places: np.ndarray, masks: np.ndarray, window: int) -> tuple[int, int, bytes]:
+    """Words, removed words, and the others joined by single spaces."""
     words = text.split()
     n = len(words)
     if not len(places):
         return n, 0, b" ".join(words)
     cover = np.zeros(n + 1, np.int64)
-    for k in range(32):
+    for k in range(int(masks.max()).bit_length()):
         hit = places[(masks >> k & 1) == 1] + k
         if len(hit):
             np.add.at(cover, hit, 1)
@@ -374,48 +369,52 @@ def _kept(text: bytes, places: np.ndarray, masks: np.ndarray, window: int) -> tu
     return n, int(n - keep.sum()), b" ".join([w for w, k in zip(words, keep.tolist(), strict=True) if k])
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), untouched: bool = False) -> DataFrame:
     """``doc_id, n_words, n_removed, kept`` and the columns named in carry.
 
     A word is removed if a window of ``window`` words that covers it also starts
-    in a document of smaller id; kept is the rest, joined by single spaces.
-    Windows are judged on the input.  A null text has no words.  A null id counts
-    as larger than all others; rows that repeat an id do not count as earlier
-    than each other and stay rows of their own.
+    in a document of smaller id; kept is the rest, joined by single spaces (with
+    untouched, a text that loses nothing stays as it is).  Windows are judged on
+    the input.  A null text has no words.  A null id counts as larger than all
+    others; rows that repeat an id do not count as earlier than each other and
+    stay rows of their own, with equal results where their texts are equal.
     """
-    spark = docs.sparkSession
-    small_batches(spark, DOC_ROWS)
-    gram = min(gram, window)
+    gram = max(min(gram, window), window - MOST_WINDOWS + 1)
+    text = F.col(text_col).cast("binary")
     named = docs.select(
         F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("d"),
-        F.col(text_col).cast("binary").alias("text"),
+        F.xxhash64(text).alias("h"),  # tells apart the texts of one id
+        text.alias("text"),
         F.struct(F.col(id_col).alias("id"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(carry)]).alias("rest"),
     )
-    texts = named.select("d", "text")
-    settled = materialise(_settled_rows(_fragment_rows(texts, window, gram)), "fragments")
-    asked = settled.filter("probe").groupBy("d").agg(F.collect_list(F.struct("h", "place", "size", "anchor", "hot")).alias("asked"))
-    found = _searched(_fragment_texts(texts.join(asked, "d"), window), window)
-    full = settled.filter("not probe").select("d", "h", "place", F.expr("cast(shiftleft(1, size) - 1 as int)").alias("mask"))
-    marks = found.unionAll(full).groupBy("d").agg(F.collect_list(F.struct("h", "place", "mask")).alias("marks"))
-    joined = named.join(marks, "d", "left").select("text", "marks", "rest")
+    texts = named.select("d", "h", F.coalesce("text", F.lit(b"")).alias("text"))
+    shared = materialise(_shared_rows(_fragment_rows(texts, window, gram)), "fragments")
+    asked = shared.filter("probe").groupBy("d", "h").agg(F.collect_set(F.struct("place", "size", "anchor", "hot")).alias("asked"))
+    found = _searched(_fragment_texts(texts.join(asked, ["d", "h"]), window), window)
+    full = shared.filter("not probe").select("d", "h", "place", (F.expr("shiftleft(1L, size)") - 1).alias("mask"))
+    marks = materialise(found.unionAll(full), "marks")
+    release(shared)
+    marks = marks.groupBy("d", "h").agg(F.collect_set(F.struct("place", "mask")).alias("marks"))
+    joined = named.join(marks, ["d", "h"], "left").select("text", "marks", "rest")
     rest = joined.schema["rest"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, marks = batch.column(0).to_pylist(), batch.column(1)
-            flat = marks.flatten()
-            h, place, mask = (pc.struct_field(flat, c).to_numpy(zero_copy_only=False) for c in ("h", "place", "mask"))
-            offsets = marks.offsets.to_numpy() - marks.offsets[0].as_py()
-            own = Words(texts).document() if len(flat) else np.zeros(len(texts), np.int64)
-            out = []
-            for k, text in enumerate(texts):
-                a, b = offsets[k], offsets[k + 1]
-                mine = h[a:b] == own[k]
-                out.append(_kept(text or b"", place[a:b][mine], mask[a:b][mine].astype(np.int64), window))
+        for batch in slices(batches):
+            flat = batch.column(1).flatten()
+            place, mask = (pc.struct_field(flat, c).to_numpy(zero_copy_only=False) for c in ("place", "mask"))
+            count = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(count)
+            out = [kept_words(t or b"", place[b - n : b], mask[b - n : b], window) for t, n, b in zip(batch.column(0).to_pylist(), count.tolist(), ends.tolist(), strict=True)]
             n, removed, kept = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], names=["rest", "n_words", "n_removed", "kept"])
 
-    done = joined.mapInArrow(run, f"rest {rest.simpleString()}, n_words bigint, n_removed bigint, kept binary")
+    def run_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            for out in run(iter([batch])):
+                kept = pc.if_else(pc.equal(out.column(2), 0), batch.column(0), out.column(3))
+                yield pa.RecordBatch.from_arrays([*out.columns[:3], kept], names=out.schema.names)
+
+    done = joined.mapInArrow(run_whole if untouched else run, f"rest {rest.simpleString()}, n_words bigint, n_removed bigint, kept binary")
     return done.select(
         F.col("rest.id").alias(id_col), "n_words", "n_removed", F.col("kept").cast("string").alias("kept"), *[F.col(f"rest.c{k}").alias(c) for k, c in enumerate(carry)]
     )
