@@ -3,14 +3,16 @@
 Pieces are packed by length alone, so the problem is their histogram, which has
 at most ``max_tokens`` rows however large the corpus is:
 
-1. enumerate patterns of one to four pieces that fill a sequence exactly;
+1. enumerate all patterns of one, two and three pieces that fill a sequence exactly;
 2. fit a repeat count to each by non-negative least squares on the histogram;
-3. round the counts down, within what the histogram has;
-4. pack the residual histogram by best fit, again in runs of equal sequences.
-
-The plan is a list of runs (pattern, repeats).  Each piece finds its place from
-its rank among the pieces of its length: no sequence is ever put together in one
-task, and no ids move.
+3. round: whole counts first, then a fit of what is left, whose counts are rounded
+   up in the order of their size as long as the pieces last;
+4. pack the residual, which holds the short pieces, by best fit on its histogram.
+
+A few shares of the rounded counts are tried, largest first, and the plan of
+fewest sequences is taken.  The plan is a list of runs (pattern, repeats).  Each
+piece finds its place from its rank among the pieces of its length: no sequence
+is ever put together in one task, and no ids move.
 """
 
 from __future__ import annotations
@@ -26,67 +28,91 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sextant.llm.common import ENCODED_ROWS, materialise, small_batches
+from sextant.llm.common import ENCODED_ROWS, materialise, slices
 
 MAX_TOKENS = 2048
-#: Patterns drawn for the fit, and its rounds.
-PATTERNS = 40_000
-ROUNDS = 400
+#: Pieces under this part of a sequence are left to the residual, which they fill up.
+SHORT = 16
+#: Gradient steps of a fit, and fits of what the rounding leaves.
+ROUNDS, FITS = 150, 5
+#: Shares of the rounded counts that are tried.
+SHARES = (1.0, 0.98, 0.95, 0.9, 0.8, 0.6)
 #: Pieces that one ranking task should see of one length.
 RANK_ROWS = 2_000
 
 Run = tuple[tuple[int, ...], int]
 
 
-def patterns(histogram: dict[int, int], size: int, count: int = PATTERNS, seed: int = 1) -> list[tuple[int, ...]]:
-    """Patterns of one to four lengths that fill a sequence: full pieces, every
-    pair, and triples and quadruples drawn by how often lengths occur."""
-    lengths = np.array(sorted(histogram))
-    found = {(size,)} if size in histogram else set()
-    found |= {(size - a, a) for a in histogram if a <= size - a and size - a in histogram}
-    if len(lengths):
-        rng = np.random.default_rng(seed)
-        weight = np.array([histogram[x] for x in lengths], float)
-        draws = rng.choice(lengths, (count, 3), p=weight / weight.sum())
-        for row in draws.tolist():
-            for part in (row[:2], row):
-                rest = size - sum(part)
-                if rest in histogram:
-                    found.add(tuple(sorted((*part, rest), reverse=True)))
-    return sorted(found, reverse=True)
-
-
-def fit(histogram: dict[int, int], table: list[tuple[int, ...]], rounds: int = ROUNDS) -> np.ndarray:
-    """Non-negative least squares of the histogram on the patterns, by
-    accelerated projected gradient steps; columns have at most four entries."""
-    if not table:
+def patterns(histogram: dict[int, int], size: int, least: int = 1) -> np.ndarray:
+    """All patterns of two and three lengths from ``least`` on that fill a sequence,
+    a row each, longest first; zero stands for no third piece."""
+    lengths = np.array(sorted(x for x, n in histogram.items() if n > 0 and least <= x < size), np.int64)
+    have = np.zeros(size + 1, bool)
+    have[lengths] = True
+    long = lengths[2 * lengths >= size]
+    long = long[have[size - long]]
+    found = [np.stack([long, size - long, np.zeros_like(long)], 1)]
+    for a in lengths.tolist():
+        b = lengths[(lengths <= a) & (2 * lengths >= size - a) & (lengths < size - a)]
+        b = b[have[size - a - b]]
+        found.append(np.stack([np.full_like(b, a), b, size - a - b], 1))
+    return np.concatenate(found)
+
+
+def fit(histogram: dict[int, int], table: np.ndarray, size: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Non-negative least squares of the histogram on the patterns, by accelerated
+    projected gradient steps."""
+    if not len(table):
         return np.zeros(0)
-    lengths = sorted(histogram)
-    row_of = {x: k for k, x in enumerate(lengths)}
-    target = np.array([histogram[x] for x in lengths], float)
-    scale = target.max()
-    target = target / scale
-    row = np.array([row_of[x] for p in table for x in p])
-    column = np.repeat(np.arange(len(table)), [len(p) for p in table])
-    n, m = len(table), len(lengths)
-    forward = lambda x: np.bincount(row, x[column], m)
-    backward = lambda r: np.bincount(column, r[row], n)
-    probe = np.ones(n)
-    for _ in range(20):  # the largest eigenvalue bounds the step
+    target = np.zeros(size + 1)
+    target[list(histogram)] = list(histogram.values())
+    scale = max(target.max(), 1.0)
+    target /= scale
+
+    def forward(x: np.ndarray) -> np.ndarray:
+        used = sum(np.bincount(column, x, size + 1) for column in table.T)
+        used[0] = 0
+        return used
+
+    def backward(r: np.ndarray) -> np.ndarray:
+        return r[table].sum(axis=1)
+
+    probe = np.ones(len(table))
+    for _ in range(8):  # the largest eigenvalue bounds the step
         probe = backward(forward(probe))
         top = np.linalg.norm(probe)
         probe /= top
     step = 1 / (1.05 * top)
-    x = y = np.zeros(n)
+    x = y = np.zeros(len(table))
     t = 1.0
     for _ in range(rounds):
-        new = np.maximum(0, y - step * backward(forward(y) - target))
+        rest = forward(y) - target
+        rest[0] = 0
+        new = np.maximum(0, y - step * backward(rest))
         t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
         y = new + (t - 1) / t_new * (new - x)
         x, t = new, t_new
     return x * scale
 
 
+def rounded(left: dict[int, int], table: np.ndarray, counts: np.ndarray, up: bool) -> list[Run]:
+    """Runs of the patterns by descending count, rounded down or up, as far as the
+    histogram has the pieces; these are taken from it."""
+    runs: list[Run] = []
+    for k in np.argsort(-counts, kind="stable").tolist():
+        wanted = int(np.ceil(counts[k] - 1e-9) if up else counts[k])
+        if wanted < 1:
+            break
+        pattern = tuple(x for x in table[k].tolist() if x)
+        need = Counter(pattern)
+        repeats = min(wanted, *(left[x] // n for x, n in need.items()))
+        if repeats > 0:
+            runs.append((pattern, repeats))
+            for x, n in need.items():
+                left[x] -= n * repeats
+    return runs
+
+
 def best_fit(histogram: dict[int, int], size: int) -> list[Run]:
     """Best fit on a histogram: open a sequence with the longest piece, add the
     longest that fits until none does, and repeat the pattern while its lengths last."""
@@ -115,27 +141,45 @@ def best_fit(histogram: dict[int, int], size: int) -> list[Run]:
     return runs
 
 
-def plan(histogram: dict[int, int], size: int = MAX_TOKENS) -> list[Run]:
-    """Runs that use every piece of the histogram exactly once.
-
-    The fitted plan is kept if it needs no more sequences than best fit alone."""
+def fitted(histogram: dict[int, int], size: int) -> list[Run]:
+    """Runs of the fitted and rounded patterns."""
     left = dict(histogram)
-    table = patterns(left, size)
-    counts = fit(left, table)
-    runs: list[Run] = []
-    for k in np.argsort(-counts, kind="stable"):
-        if counts[k] < 1:
+    runs: list[Run] = [((size,), left.pop(size))] if left.get(size) else []
+    table = patterns(left, size, max(1, size // SHORT))
+    for k in range(FITS):
+        some = np.zeros(size + 1, bool)
+        some[[0, *(x for x, n in left.items() if n)]] = True
+        table = table[some[table].all(axis=1)]
+        taken = rounded(left, table, fit(left, table, size), up=k > 0)
+        runs += taken
+        if k and not taken:
             break
-        need = Counter(table[k])
-        repeats = min(int(counts[k]), min(left[x] // n for x, n in need.items()))
-        if repeats:
-            runs.append((table[k], repeats))
-            for x, n in need.items():
-                left[x] -= n * repeats
-    runs += best_fit(left, size)
-    plain = best_fit(histogram, size)
-    total = lambda rs: sum(n for _, n in rs)
-    return runs if total(runs) <= total(plain) else plain
+    return runs
+
+
+def plan(histogram: dict[int, int], size: int = MAX_TOKENS) -> list[Run]:
+    """Runs that use every piece of the histogram exactly once: fitted patterns, and
+    best fit for the residual.  Where all rounded counts leave the residual too few
+    short pieces, the least of them are given back."""
+    runs = fitted(histogram, size)
+    several = sum(n * len(p) for p, n in runs if len(p) > 1)
+    tokens = sum(x * n for x, n in histogram.items())
+    best: list[Run] | None = None
+    for share in SHARES:
+        kept: list[Run] = []
+        left, room = Counter(histogram), int(share * several)
+        for pattern, repeats in runs:
+            n = repeats if len(pattern) == 1 else min(repeats, room // len(pattern))
+            if n:
+                kept.append((pattern, n))
+                room -= n * len(pattern) if len(pattern) > 1 else 0
+                left.subtract({x: n * k for x, k in Counter(pattern).items()})
+        found = kept + best_fit(left, size)
+        if best is None or sum(n for _, n in found) < sum(n for _, n in best):
+            best = found
+        if sum(n for _, n in best) <= -(-tokens // size):
+            break
+    return best
 
 
 @dataclass(frozen=True)
@@ -185,11 +229,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, max_tokens: int =
     """
     from sextant.llm.encoding import encoder
 
-    small_batches(docs.sparkSession, ENCODED_ROWS)
     rows = docs.select(F.col(id_col).alias("p_id"), F.col(text_col).alias("p_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, ENCODED_ROWS):
             ids, bounds = encoder(tokenizer_path).encode(batch.column(1))
             n = np.diff(bounds) + 1
             ids = np.insert(ids, bounds[1:], np.uint32(end_id))
@@ -217,7 +260,7 @@ def assign(rows: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     ranked within salted groups, as many as the length needs, whose bases are summed
     from the counts of groups: a length that many pieces share is ranked by many tasks.
     """
-    held = materialise(rows, "pieces")
+    held = materialise(rows, "pieces", ENCODED_ROWS)
     histogram = {r[0]: r[1] for r in held.groupBy("length").count().collect()}  # at most max_tokens rows
     places = Places.of(plan(histogram, max_tokens))
     many = {x: 1 + n // RANK_ROWS for x, n in histogram.items() if n > RANK_ROWS}
