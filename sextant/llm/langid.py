@@ -2,14 +2,16 @@
 
 A text is encoded by zstandard once per language, each time primed with a raw
 dictionary of that language's text; the shortest encoding names the language.
-The dictionaries come from a bounded, seeded sample of labelled rows; counts of
-labels cover all rows.  Prediction is one map-only pass over whole texts.
+The dictionaries come from a bounded, seeded sample of the labelled rows of every
+label.  Prediction is one map-only pass over whole texts.
 """
 
 from __future__ import annotations
 
 import functools
 import re
+import sys
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,8 +19,9 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from sextant.llm.common import small_batches
+from sextant.llm.common import slices
 
 #: Predicted for a null text and one without letters.
 UNDETERMINED = "und"
@@ -33,7 +36,7 @@ class Params:
     min_margin: a best encoding shorter than the second by a smaller fraction is
     rejected as undecided.  repeat_to: a shorter text is repeated up to this length,
     since zstandard stores very short inputs as they are; the repetitions cost the
-    same in every language.  max_languages: the most frequent labels are learned."""
+    same in every language."""
 
     dict_bytes: int = 131_072
     sample_docs: int = 200
@@ -42,16 +45,20 @@ class Params:
     level: int = 6
     min_margin: float = 0.005
     repeat_to: int = 256
-    max_languages: int = 200
     seed: str = "langid-1"
 
 
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+@functools.cache
+def _not_letters() -> re.Pattern:
+    """Runs of characters that are no letters (Unicode's L): what \\w leaves out, and
+    of what it takes in the underscore, digits, and numbers such as halves and numerals."""
+    numbers = "".join(c for c in map(chr, range(128, sys.maxunicode)) if c.isnumeric() and unicodedata.category(c)[0] != "L")
+    return re.compile(rf"[\W\d_{numbers}]+")
 
 
 def normalise(text: str | None) -> str:
     """Lower case, with every run of other characters than letters as one space."""
-    return _NOT_LETTERS.sub(" ", (text or "").lower()).strip()
+    return _not_letters().sub(" ", (text or "").lower()).strip()
 
 
 def held_out(id_col: Column) -> Column:
@@ -62,24 +69,28 @@ def held_out(id_col: Column) -> Column:
 def train(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """A raw dictionary per language from rows that are labelled and not held out.
 
-    Labels are counted over all rows (two narrow columns).  Each language's
-    count gives the share of its rows to draw by a seeded hash of the id; of
-    those at most sample_docs, each cut to sample_chars, reach the driver:
-    languages x 200 x 2,000 characters.  Null and empty texts teach nothing.
+    Rows are drawn in the order of a seeded hash of id and text: a first pass over
+    (label, hash) finds up to which hash a language's first sample_docs rows reach,
+    a second takes these rows, each cut to sample_chars, to the driver: languages x
+    200 x 2,000 characters.  Rows that repeat have one hash; a window holds the bound
+    all the same.  Null and empty texts teach nothing.
     """
     rows = docs.select(F.col(id_col).alias("l_id"), F.col(text_col).alias("l_text"), F.col(lang_col).alias("l_lang"))
     rows = rows.filter(F.col("l_lang").isNotNull() & F.col("l_text").isNotNull() & ~held_out(F.col("l_id")))
-    counts = {r[0]: r[1] for r in rows.groupBy("l_lang").count().orderBy(F.desc("count"), "l_lang").limit(params.max_languages).collect()}
-    if not counts:
+    rows = rows.withColumn("l_draw", F.xxhash64(F.col("l_id").cast("string"), F.col("l_text"), F.lit(params.seed)))
+    first = Window.partitionBy("l_lang").orderBy("l_draw")
+    narrow = rows.select("l_lang", "l_draw").withColumn("place", F.row_number().over(first)).filter(F.col("place") <= params.sample_docs)
+    reach = {r[0]: r[1] for r in narrow.groupBy("l_lang").agg(F.max("l_draw")).collect()}
+    if not reach:
         return {}
-    draw = F.pmod(F.xxhash64(F.col("l_id").cast("string"), F.lit(params.seed)), F.lit(1 << 20))
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1 << 20, 1 + (2 * params.sample_docs << 20) // n))])
-    drawn = rows.withColumn("l_draw", draw).filter(F.col("l_draw") < share[F.col("l_lang")])
-    sample = drawn.groupBy("l_lang").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct("l_draw", F.substring("l_text", 1, params.sample_chars).alias("t")))), 1, params.sample_docs)["t"].alias("texts")
-    )
+    drawn = rows.filter(F.col("l_draw") <= F.create_map(*[F.lit(x) for pair in reach.items() for x in pair])[F.col("l_lang")])
+    drawn = drawn.select("l_lang", "l_draw", F.substring("l_text", 1, params.sample_chars).alias("t"))
+    place = F.row_number().over(Window.partitionBy("l_lang").orderBy("l_draw", "t"))
+    sample: dict[str, list[str]] = {}
+    for lang, _, text, _ in sorted(map(tuple, drawn.withColumn("place", place).filter(F.col("place") <= params.sample_docs).collect())):
+        sample.setdefault(lang, []).append(text)
     out = {}
-    for lang, texts in sorted(map(tuple, sample.collect())):
+    for lang, texts in sample.items():
         raw = " ".join(filter(None, map(normalise, texts))).encode()
         if raw:
             out[lang] = raw[: params.dict_bytes]
@@ -130,13 +141,12 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], params: Params = Pa
     Null texts, and texts without a letter, get ``und``, score 0 and are
     rejected.  One row per input row, repeated rows included.
     """
-    small_batches(docs.sparkSession)
     table = tuple(sorted(dictionaries.items()))
     rows = docs.select(F.col(text_col).alias("t"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(carry)])
     carried = rows.schema.fields[1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [classify(t, table, params) for t in batch.column(0).to_pylist()]
             new = [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *new], names=[*[f.name for f in carried], "lang_pred", "score", "margin"])
