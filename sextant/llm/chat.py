@@ -5,9 +5,9 @@ appended, edits replace, and a regeneration discards a message with all that
 followed.  The messages are rendered with a reversible template, in segments of
 bounded size, beside the spans that a training loss covers.
 
-The fold is native: one window over the log for regenerations, then one group
-per message, so a long conversation is folded by many tasks.  Rendering streams
-rows in conversation order and holds one segment at a time.
+The fold is native: one row per message tells up to when regenerations discard
+it, then one group per message, so a long conversation is folded by many tasks.
+Segments are rendered by many tasks too, since each holds a fixed range of places.
 """
 
 from __future__ import annotations
@@ -17,11 +17,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sextant.llm.common import small_batches
+from sextant.llm.common import slices
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 #: Control strings of common chat templates; none may stand unescaped in a text.
@@ -29,6 +29,10 @@ CONTROLS = (OPEN, CLOSE, "<|endoftext|>", "<|startoftext|>", "<s>", "</s>", "<<S
 LEARNED_ROLE = "assistant"
 #: Characters after which a segment of a conversation ends, at the next turn.
 SEGMENT_CHARS = 1 << 20
+#: Places of a conversation that one chunk of segments holds; segments of a chunk.
+CHUNK, CHUNK_SEGMENTS = 512, 1 << 20
+#: Characters of a streamed delta.
+DELTA_CHARS = 48
 
 MESSAGE, DELTA, EDIT, REGENERATE = "message", "delta", "edit", "regenerate"
 
@@ -65,31 +69,36 @@ def fold(log: DataFrame) -> DataFrame:
     discards the message at its place and all at later places, as they were at
     that moment.  The role is that of the message's first event that counts.
     Null texts are empty, null roles empty; events of equal seq apply by kind and
-    text.  An unknown kind counts as ``message``.
+    text, null ones first.  An unknown kind counts as ``message``.
     """
-    later = Window.partitionBy("conv_id").orderBy(F.desc_nulls_last("seq"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
-    cut = F.min(F.when(F.col("kind") == REGENERATE, F.col("place"))).over(later)
-    live = log.select("conv_id", "seq", F.coalesce("kind", F.lit(MESSAGE)).alias("kind"), "place", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    live = live.withColumn("cut", cut).filter((F.col("cut").isNull() | (F.col("place") < F.col("cut"))) & (F.col("kind") != REGENERATE))
+    rows = log.select("conv_id", "place", F.coalesce(F.col("seq").cast("bigint"), F.lit(-(1 << 62))).alias("seq"), F.coalesce("kind", F.lit(MESSAGE)).alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    again = rows.groupBy("conv_id", "place").agg(F.max(F.when(F.col("kind") == REGENERATE, F.col("seq"))).alias("again"))
+    until = F.max("again").over(Window.partitionBy("conv_id").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    discarded = again.select(F.col("conv_id").alias("d_conv"), F.col("place").alias("d_place"), until.alias("until")).filter("until is not null")
+    same = rows["conv_id"].eqNullSafe(discarded["d_conv"]) & rows["place"].eqNullSafe(discarded["d_place"])
+    live = rows.join(discarded, same, "left").filter((F.col("until").isNull() | (F.col("seq") > F.col("until"))) & (F.col("kind") != REGENERATE))
     events = F.array_sort(F.collect_list(F.struct("seq", "kind", "text", "role")))
-    grown = F.aggregate("events", F.lit(""), lambda text, e: F.when(e["kind"] == DELTA, F.concat(text, e["text"])).otherwise(e["text"]))
-    return live.groupBy("conv_id", "place").agg(events.alias("events")).select("conv_id", "place", F.col("events")[0]["role"].alias("role"), grown.alias("text"))
+    found = live.groupBy("conv_id", "place").agg(events.alias("events"))
+    start = F.greatest(F.lit(1), F.array_max(F.transform("events", lambda e, k: F.when(e["kind"] == DELTA, 0).otherwise(k + 1))))  # the last that sets the text anew
+    text = F.array_join(F.transform(F.slice("events", start, F.size("events")), lambda e: e["text"]), "")
+    return found.select("conv_id", "place", F.col("events")[0]["role"].alias("role"), text.alias("text"))
 
 
-def render(messages: DataFrame, segment_chars: int = SEGMENT_CHARS) -> DataFrame:
+def render(messages: DataFrame, segment_chars: int = SEGMENT_CHARS, chunk: int = CHUNK) -> DataFrame:
     """Formatted conversations: ``conv_id, segment, text, loss``.
 
     loss holds the spans (start, end) of each segment's text, in characters, that
-    are texts of the assistant.  The rows of a conversation come in order and in
-    one partition, however many segments it has; a segment ends at a turn's end.
+    are texts of the assistant.  Segments of a conversation are in order of their
+    numbers, which have gaps; a segment ends at a turn's end, after ``chunk`` places
+    or segment_chars characters, so however long a conversation is, many tasks
+    render it.
     """
-    small_batches(messages.sparkSession)
-    rows = messages.select("conv_id", "place", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "place")
+    rows = messages.select("conv_id", F.floor(F.coalesce("place", F.lit(0)) / chunk).cast("bigint").alias("chunk"), "place", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.repartition("conv_id", "chunk").sortWithinPartitions("conv_id", "chunk", "place")
     kind = rows.schema["conv_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv, segment, parts, size, loss, begun = None, 0, [], 0, [], False
+        at, segment, parts, size, loss, begun = None, 0, [], 0, [], False
         out: list[tuple] = []
         names = ["conv_id", "segment", "text", "loss"]
         types = [None, pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
@@ -99,25 +108,25 @@ def render(messages: DataFrame, segment_chars: int = SEGMENT_CHARS) -> DataFrame
             columns = list(zip(*out, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(c, t or id_type) for c, t in zip(columns, types, strict=True)], names=names)
 
-        for batch in batches:
+        for batch in slices(batches):
             id_type = batch.schema.field("conv_id").type
-            for c, role, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if begun and (c != conv or size >= segment_chars):
-                    out.append((conv, segment, "".join(parts), loss))
+            for c, number, _, role, text in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if begun and ((c, number) != at or size >= segment_chars):
+                    out.append((at[0], at[1] * CHUNK_SEGMENTS + segment, "".join(parts), loss))
                     held += size
-                    segment = segment + 1 if c == conv else 0
+                    segment = segment + 1 if (c, number) == at else 0
                     parts, size, loss = [], 0, []
                     if len(out) >= 500 or held >= segment_chars:
                         yield table()
                         out, held = [], 0
-                conv, begun = c, True
+                at, begun = (c, number), True
                 head, body = f"{OPEN}{escape_role(role)}\n", escape(text)
                 if role == LEARNED_ROLE:
                     loss.append({"start": size + len(head), "end": size + len(head) + len(body)})
                 parts += [head, body, CLOSE, "\n"]
                 size += len(head) + len(body) + len(CLOSE) + 1
         if begun:
-            out.append((conv, segment, "".join(parts), loss))
+            out.append((at[0], at[1] * CHUNK_SEGMENTS + segment, "".join(parts), loss))
             yield table()
 
     return rows.mapInArrow(run, f"conv_id {kind}, segment bigint, text string, loss array<struct<start:bigint,end:bigint>>")
@@ -137,9 +146,11 @@ def parse(text: str) -> Iterator[tuple[str, str]]:
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """Turns, digests and lengths of each conversation, parsed from ``render``'s
-    output, a segment at a time: ``conv_id, n_turns, turns_sha256, loss_chars,
-    loss_sha256, formatted_chars, n_segments``."""
+    output: ``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256,
+    formatted_chars, n_segments``.  A digest runs over a conversation in order, so
+    its segments come to one task, sorted, and are parsed one at a time."""
     kind = formatted.schema["conv_id"].dataType.simpleString()
+    rows = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "segment")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, begun = None, False
@@ -151,11 +162,11 @@ def read_back(formatted: DataFrame) -> DataFrame:
         def close() -> tuple:
             return conv, counts[0], turns.hexdigest(), counts[1], loss.hexdigest(), counts[2], counts[3]
 
-        for batch in batches:
+        for batch in slices(batches):
             id_type = batch.schema.field("conv_id").type
             types = [id_type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-            for c, segment, text, spans in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if not begun or c != conv or segment == 0:
+            for c, _, text, spans in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if not begun or c != conv:
                     if begun:
                         out.append(close())
                     conv, begun, turns, loss, counts = c, True, hashlib.sha256(), hashlib.sha256(), [0, 0, 0, 0]
@@ -175,12 +186,44 @@ def read_back(formatted: DataFrame) -> DataFrame:
             out.append(close())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    return formatted.mapInArrow(run, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_segments bigint")
+    return rows.mapInArrow(run, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_segments bigint")
 
 
-def log_of_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """An event log with one ``message`` for every row of a table of turns, in
-    order of turn; rows that repeat a turn follow each other by role and text."""
+def log_of_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", streamed: bool = False) -> DataFrame:
+    """An event log of a table of turns, in order of turn; rows that repeat a turn
+    follow each other by role and text.
+
+    Each turn is one ``message``, or, streamed, what a chat service would log: a
+    message and deltas of DELTA_CHARS characters.  Of these, a third of the turns
+    is first said otherwise and set right by an ``edit`` after the last turn, and a
+    third of the assistant's is said otherwise, regenerated, and said again.
+    """
     named = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
-    return named.select("conv_id", place.alias("seq"), F.lit(MESSAGE).alias("kind"), place.alias("place"), "role", "text")
+    rows = named.withColumn("place", place)
+    if not streamed:
+        return rows.select("conv_id", F.col("place").alias("seq"), F.lit(MESSAGE).alias("kind"), "place", "role", "text")
+    text = F.coalesce("text", F.lit(""))
+    kind = F.pmod(F.xxhash64("conv_id", "place"), F.lit(3))
+    regenerated = (kind == 1) & F.coalesce(F.col("role") == LEARNED_ROLE, F.lit(False))
+
+    def said(what: Column, phase: int) -> Column:
+        """A message and its deltas, one after another."""
+        last = F.greatest(F.lit(0), F.floor((F.length(what) - 1) / DELTA_CHARS).cast("int"))
+        seq = F.col("place").cast("bigint") * (1 << 24) + phase * (1 << 22)
+        return F.transform(
+            F.sequence(F.lit(0), last),
+            lambda k: F.struct((seq + k).alias("seq"), F.when(k == 0, MESSAGE).otherwise(DELTA).alias("kind"), F.substring(what, k * DELTA_CHARS + 1, F.lit(DELTA_CHARS)).alias("text")),
+        )
+
+    def event(seq: Column, name: str, what: Column) -> Column:
+        return F.array(F.struct(seq.cast("bigint").alias("seq"), F.lit(name).alias("kind"), what.alias("text")))
+
+    draft = F.concat(F.reverse(text), F.lit(" ..."))
+    none = F.lit(None).cast("string")
+    log = (
+        F.when(kind == 0, F.concat(said(draft, 0), event(F.lit(1 << 60) + F.col("place"), EDIT, text)))
+        .when(regenerated, F.concat(said(draft, 0), event(F.col("place").cast("bigint") * (1 << 24) + (1 << 22), REGENERATE, none), said(text, 2)))
+        .otherwise(said(text, 0))
+    )
+    return rows.select("conv_id", "place", "role", F.explode(log).alias("e")).select("conv_id", "e.seq", "e.kind", "place", "role", "e.text")

@@ -130,7 +130,7 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = spark.range(2).select(
         F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise(chat.LEARNED_ROLE).alias("role"), said.alias("text")
     )
-    return chat.read_back(chat.render(chat.fold(chat.log_of_turns(turns.unionByName(planted))))).drop("n_segments")
+    return chat.read_back(chat.render(chat.fold(chat.log_of_turns(turns.unionByName(planted), streamed=True)))).drop("n_segments")
 
 
 def _chat_sql() -> str:
@@ -159,7 +159,7 @@ _TOPK_SQL = """
     WITH v AS (
       SELECT row_number() OVER () AS uid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
       FROM embeddings
-      WHERE embedding IS NOT NULL AND len(embedding) > 0
+      WHERE embedding IS NOT NULL
         AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
     s AS (
       SELECT q.uid, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score

@@ -1,6 +1,7 @@
 """Each operator against plain Python, on awkward rows and on an empty table."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -15,9 +16,9 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sextant.llm import chat, encoding, langid, mixing, packing, quality, simhash, sstable, substring, token_count, topk
+from sextant.llm import chat, encoding, langid, mixing, packing, quality, similar, simhash, sstable, substring, token_count, topk
 from sextant.llm.components import components
-from sextant.llm.fmindex import FMIndex, suffix_order
+from sextant.llm.fmindex import FMIndex, WaveletMatrix, suffix_order
 
 BYTE, WORD, PIECE = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
 
@@ -169,7 +170,11 @@ def test_near_duplicates(awkward, nothing):
     assert simhash.near_duplicates(nothing).count() == 0
 
 
-def test_links_and_components(spark):
+@pytest.mark.parametrize(("hot", "short"), [(100_000, 32), (20, 32), (20, 2)])
+def test_links_and_components(spark, monkeypatch, hot, short):
+    """hot 20: lists are split by further positions; short 2: longer ones give a forest."""
+    monkeypatch.setattr(simhash, "HOT", hot)
+    monkeypatch.setattr(simhash, "SHORT", short)
     rnd = random.Random(4)
     base = [rnd.getrandbits(64) for _ in range(40)]
     prints = set(base)
@@ -177,6 +182,7 @@ def test_links_and_components(spark):
         for _ in range(30):
             b ^= 1 << rnd.randrange(64) | 1 << rnd.randrange(64)
             prints.add(b)
+    prints |= {rnd.getrandbits(40) for _ in range(300)}  # many that share three bytes
     signed = [(p - (1 << 64) if p >> 63 else p,) for p in prints]
     edges = simhash.links(spark.createDataFrame(signed, "fp bigint"))
     roots = dict(rows(components(edges)))
@@ -198,6 +204,20 @@ def test_links_and_components(spark):
     assert sorted(map(sorted, want.values())) == sorted(map(sorted, have.values()))
 
 
+def test_tally_of_shared_bytes():
+    rnd = random.Random(11)
+    pairs = [(rnd.getrandbits(64), rnd.getrandbits(64) if rnd.random() < 0.3 else None) for _ in range(500)]
+    pairs = [(a, a ^ sum(1 << rnd.randrange(64) for _ in range(rnd.randrange(6))) % (1 << 64) if b is None else b) for a, b in pairs]
+    x = np.array([a ^ b for a, b in pairs], np.uint64)
+    want = [sum(p == q for p, q in zip(a.to_bytes(8), b.to_bytes(8), strict=True)) for a, b in pairs]
+    assert simhash.shared_bytes(x).tolist() == want
+    assert simhash.links_of(x, 4).tolist() == [(a ^ b).bit_count() <= 4 for a, b in pairs]
+
+
+def test_positions_follow_the_number_of_fingerprints():
+    assert [simhash.positions_for(n) for n in (0, 1 << 20, (1 << 20) + 1, 1 << 28, (1 << 28) + 1, 1 << 40)] == [2, 2, 3, 3, 4, 4]
+
+
 def test_forest_of_a_crowded_key(monkeypatch):
     monkeypatch.setattr(simhash, "DIRECT", 50)  # forces the inner index
     rnd = random.Random(8)
@@ -234,12 +254,12 @@ def test_similar_documents(spark, awkward, nothing):
         docs.append((100 + k, " ".join(w)))
     docs += [(200 + k, " ".join(base[k][: len(base[k]) // 2] + [rnd.choice(vocabulary) for _ in range(200)])) for k in range(20, 40)]  # half in common
     docs += [(300 + k, docs[5][1].upper()) for k in range(60)]  # many copies
-    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in similar.similar_documents(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)).collect()}
     assert all(got[100 + k] == k for k in range(20)) and all(got[300 + k] == 5 for k in range(60))
     assert all(got[k] == k for k in range(40)) and all(got[200 + k] == 200 + k for k in range(20, 40))
-    groups = [(r["doc_id"], r["component_id"]) for r in simhash.similar_documents(awkward).collect()]
+    groups = [(r["doc_id"], r["component_id"]) for r in similar.similar_documents(awkward).collect()]
     assert len(groups) == awkward.count() and dict(groups)[2] == 1 and dict(groups)[4] == dict(groups)[5] == 3 and dict(groups)[10] == 10
-    assert simhash.similar_documents(nothing).count() == 0
+    assert similar.similar_documents(nothing).count() == 0
 
 
 def shingle_sets(docs, n=5):
@@ -266,7 +286,7 @@ def jaccard_groups(docs, p=4, q=5):
 
 
 def similar_groups(spark, docs):
-    found = simhash.similar_documents(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4))
+    found = similar.similar_documents(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4))
     return {r["doc_id"]: r["component_id"] for r in found.collect()}
 
 
@@ -338,21 +358,61 @@ def test_repeats_of_random_texts(spark, monkeypatch, hot):
     assert sorted(got) == sorted(repeats_reference(docs, 6))
 
 
+def test_repeats_of_rows_without_or_with_equal_ids(spark):
+    """Many rows of one id and of none: each text is judged by itself."""
+    rnd = random.Random(17)
+    shared = [[f"s{rnd.randrange(10**6)}" for _ in range(20)] for _ in range(6)]
+    text = lambda k: " ".join(rnd.choice(shared) + [f"o{k}x{j}" for j in range(rnd.randrange(15))] + rnd.choice(shared))
+    docs = [(None, text(k)) for k in range(60)] + [(5, text(100 + k)) for k in range(60)] + [(9, text(200))] + [(k, text(k)) for k in range(10, 30)]
+    docs += docs[:10] + docs[60:70] + [(None, None), (5, "")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(6)
+    assert sorted(map(str, rows(substring.remove_repeats(df)))) == sorted(map(str, repeats_reference(docs, 13)))
+
+
+@pytest.mark.parametrize("window", [5, 40, 70])
+def test_repeats_of_other_windows(spark, window):
+    rnd = random.Random(window)
+    shared = [[rnd.choice("abcdefgh") for _ in range(rnd.randrange(30, 160))] for _ in range(4)]
+    docs = [(d, " ".join(rnd.choice(shared) + [str(rnd.random())] + rnd.choice(shared)[: rnd.randrange(200)])) for d in range(30)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    whole = substring.remove_repeats(df, window=window, untouched=True).collect()
+    want = {d: (n, gone, kept) for d, n, gone, kept in repeats_reference(docs, window)}
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in whole} == want
+
+
+def test_wavelet_matrix():
+    rnd = random.Random(2)
+    values = np.array([rnd.randrange(37) for _ in range(700)])
+    matrix = WaveletMatrix(values, 37)
+    at = np.array([rnd.randrange(701) for _ in range(300)])
+    symbol = np.array([rnd.randrange(37) for _ in range(300)])
+    assert (matrix.walk(symbol, at) - matrix.walk(symbol, 0 * at)).tolist() == [int((values[:a] == s).sum()) for a, s in zip(at, symbol, strict=True)]
+    low, high = np.minimum(at, at[::-1]), np.maximum(at, at[::-1]) + 1
+    high = np.minimum(high, 700)
+    some = low < high
+    assert matrix.least(low[some], high[some]).tolist() == [int(values[a:b].min()) for a, b in zip(low[some], high[some], strict=True)]
+
+
 def test_fm_index():
     rnd = random.Random(1)
     text = np.array([rnd.randrange(1, 5) if rnd.random() < 0.9 else 0 for _ in range(600)] + [0])
+    document = np.array([rnd.randrange(9) for _ in text])
     want = sorted(range(len(text)), key=lambda k: text[k:].tolist())
-    assert suffix_order(text).tolist() == want
-    fm = FMIndex(text)
-    last = text[fm.order - 1]
-    at = np.array([rnd.randrange(len(text) + 1) for _ in range(200)])
-    symbol = np.array([rnd.randrange(0, 5) for _ in range(200)])
-    assert fm.rank(symbol, at).tolist() == [int((last[:a] == s).sum()) for a, s in zip(at, symbol, strict=True)]
-    starts = np.arange(len(text) - 8)
-    matched, low, high = fm.matching(starts, 8)
-    for k in starts.tolist():
-        n = sum(text[j : j + 8].tolist() == text[k : k + 8].tolist() for j in range(len(text) - 7))
-        assert (matched[k] == 8) == (n > 1) and (n == 1 or high[k] - low[k] == n)
+    assert suffix_order(text, 1000).tolist() == want
+    assert [text[k : k + 9].tolist() for k in suffix_order(text, 9)] == sorted(text[k : k + 9].tolist() for k in want)
+    streamed = np.array([rnd.randrange(1, 7) if rnd.random() < 0.1 else int(rnd.choice(text[text > 0])) for _ in range(400)])
+    for fm in (FMIndex(text, document), FMIndex(text, document, 9)):
+        assert not hasattr(fm, "text") and fm.words.nbytes() < 4 * len(text)
+        for pattern, alone in ((text, 1), (streamed, 0)):
+            starts = np.array([k for k in range(len(pattern) - 8) if pattern[k : k + 8].all()])  # patterns hold no separator
+            matched, low, high = fm.matching(pattern, starts, 8, alone)
+            for i, k in enumerate(starts.tolist()):
+                hits = [j for j in range(len(text)) if text[j : j + 8].tolist() == pattern[k : k + 8].tolist()]
+                assert (matched[i] == 8) == (len(hits) > alone)
+                if len(hits) > alone:
+                    assert high[i] - low[i] == len(hits) and fm.earliest(low[i : i + 1], high[i : i + 1])[0] == min(document[hits])
+                n = int(matched[i])
+                assert n == 0 or sum(text[j : j + n].tolist() == pattern[k + 8 - n : k + 8].tolist() for j in range(len(text) - n + 1)) > alone
 
 
 # ------------------------------------------------------------------ 10 language
@@ -371,6 +431,45 @@ def test_language_held_out_accuracy(spark):
     assert all(r["held"] == langid.is_held_out(r["doc_id"]) for r in found.limit(50).collect())
 
 
+def test_only_letters_count(spark):
+    docs = spark.createDataFrame([(k, t, None) for k, t in enumerate(["½ ² ① Ⅷ", "٣ 12 _", "一", "ª", "x½", "\u0301"])], "doc_id bigint, text string, lang string")
+    found = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs, {"aa": b"some words of one", "bb": b"andere rede dort"}).collect()}
+    assert [found[k] == "und" for k in range(6)] == [True, True, False, False, False, True]
+    assert langid.normalise("A½B_c٣Ⅷ d") == "a b c d"
+
+
+def test_every_label_is_learned(spark):
+    learned = [k for k in range(2000) if not langid.is_held_out(k)][:250]
+    rows_ = [(k, f"text of number {k}", f"l{n}") for n, k in enumerate(learned)] + [(None, "a text without an id " + "x" * (j % 7), "none") for j in range(3000)]
+    found = langid.train(spark.createDataFrame(rows_, "doc_id bigint, text string, lang string").repartition(4), langid.Params(sample_docs=5))
+    assert len(found) == 251 and len(found["none"]) <= 5 * 60
+
+
+def test_language_equals_plain_compression(spark):
+    import unicodedata
+
+    import zstandard
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    params = langid.Params()
+    learned = sorted(langid.train(docs, params).items())
+    for r in langid.predict(docs, dict(learned), params, carry=("text",)).collect():
+        letters = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in (r["text"] or "").lower())
+        clean = " ".join(letters.split())
+        if not clean:
+            assert r["lang_pred"] == "und"
+            continue
+        if len(clean) < params.repeat_to:
+            clean = " ".join([clean] * (1 + params.repeat_to // (1 + len(clean))))
+        sizes = []
+        for _, raw in learned:
+            primed = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            coder = zstandard.ZstdCompressor(level=params.level, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append(sum(len(coder.compress(clean[at : at + params.piece_chars].encode())) for at in range(0, len(clean), params.piece_chars)))
+        best, second = sorted(sizes)[:2]
+        assert r["lang_pred"] == learned[sizes.index(best)][0] and abs(r["margin"] - (second - best) / second) < 1e-12 and r["rejected"] == (r["margin"] < params.min_margin)
+
+
 def test_training_ignores_held_out_rows(spark):
     d = next(k for k in range(100) if langid.is_held_out(k))
     docs = spark.createDataFrame([(d, "zzz qqq", "xx"), (d + 1, "der und die", "de")], "doc_id bigint, text string, lang string")
@@ -397,6 +496,17 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.render(chat.fold(chat.log_of_turns(df.filter("1 = 0"))))).count() == 0
 
 
+def test_streamed_log_folds_to_the_turns(spark):
+    """Deltas, edits and regenerations: the log differs, the messages do not."""
+    texts = [None, "", "x", "word " * 40, "\U0001f600" * 97, "</s>" * 30]
+    turns = [(c, t, ["user", "assistant", None][(c + t) % 3], texts[(c * 5 + t) % len(texts)]) for c in range(30) for t in range(c % 9)] + [(None, 1, "assistant", "null id " * 20)]
+    df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").repartition(4)
+    log = chat.log_of_turns(df, streamed=True).cache()
+    assert {r["kind"] for r in log.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+    order = ["conv_id", "place"]
+    assert rows(chat.fold(log).orderBy(order)) == rows(chat.fold(chat.log_of_turns(df)).orderBy(order))
+
+
 def test_chat_events(spark):
     log = [
         (1, 1, "message", 0, "user", "hi"), (1, 2, "message", 1, "assistant", "he"), (1, 3, "delta", 1, "assistant", "llo"), (1, 4, "delta", 1, None, " you"),
@@ -417,23 +527,59 @@ def test_escape_is_reversible():
 
 
 # ------------------------------------------------------------------ 4 top-k
-def test_topk(spark):
+def topk_reference(data, k=5):
+    """All pairs in Python's whole numbers; scores are shown within 64 bits."""
+    whole = lambda x: math.floor(x * 256) if abs(x) < 2**52 else int(x) * 256
+    good = [(d, [whole(x) for x in v]) for d, v in data if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    want = []
+    for i, (d, v) in enumerate(good):
+        if d is not None and d % 10 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), o is None, o or 0) for j, (o, w) in enumerate(good) if j != i and len(w) == len(v))[:k]
+            want += [(d, n + 1, None if none else o, max(-(1 << 63), min((1 << 63) - 1, -s))) for n, (s, none, o) in enumerate(scored)]
+    return want
+
+
+def as_floats(data):
+    return [(d, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for d, v in data]
+
+
+@pytest.mark.parametrize("cut", [4096, 16])
+def test_topk(spark, monkeypatch, cut):
+    for name in ("BLOCK", "QUERIES", "BOUNDED"):
+        monkeypatch.setattr(topk, name, cut)  # 16: many blocks and slices
     rnd = random.Random(6)
     vec = lambda d: [rnd.choice([-1.0, 0.5, 0.1, 2.0]) * rnd.random() for _ in range(d)]
-    data = [(k, vec(6)) for k in range(300)] + [(10, [0.25] * 6), (300, [0.25] * 6), (301, [0.25] * 6), (302, None), (303, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (304, [float("nan")] * 6), (305, [float("inf")] * 6), (306, vec(3)), (310, vec(3)), (None, vec(6)), (320, []), (330, [3e38] * 6)]
+    data = [(k, vec(6)) for k in range(300)] + [(10, [0.25] * 6), (300, [0.25] * 6), (301, [0.25] * 6), (302, None), (303, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (304, [float("nan")] * 6), (305, [float("inf")] * 6), (306, vec(3)), (310, vec(3)), (None, vec(6)), (320, []), (321, []), (None, []), (330, [0.0] * 6)]
+    data += [(400 + k, [0.5, -0.5, 0.25, 1.0, 0.0, 2.0]) for k in range(40)]  # a group of copies
+    data = as_floats(data)
     df = spark.createDataFrame([(k, v, "x", 1) for k, v in data], "vec_id bigint, embedding array<float>, uid string, block int").repartition(4)
-    got = rows(topk.top_k(df, F.col("vec_id") % 10 == 0, k=5))
-    cut = lambda x: int(max(-topk.LARGEST, min(topk.LARGEST, np.floor(float(np.float32(x)) * 256))))
-    good = [(k, [cut(x) for x in v]) for k, v in data if k is not None and v and all(x is not None and np.isfinite(x) for x in v)]
-    want = []
-    for i, (k, v) in enumerate(good):
-        if k % 10 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), o) for j, (o, w) in enumerate(good) if j != i and len(w) == len(v))[:5]
-            want += [(k, n + 1, o, -s) for n, (s, o) in enumerate(scored)]
-    assert sorted(got) == sorted(want)
+    assert sorted(map(str, rows(topk.top_k(df, F.col("vec_id") % 10 == 0, k=5)))) == sorted(map(str, topk_reference(data)))
     assert topk.top_k(df.filter("1 = 0"), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("size", [1e3, 1e6, 3e9, 1e30, 3e38])
+def test_topk_of_large_components(spark, size):
+    """Exact order where scores pass what doubles or 64 bits hold."""
+    rnd = random.Random(int(math.log10(size)))
+    data = [(k, [size * rnd.uniform(-1, 1) for _ in range(4)]) for k in range(120)]
+    data += [(200 + k, [x * (1 + 2**-20 * j) for j, x in enumerate(data[k][1])]) for k in range(30)] + [(300, [0.25] * 4), (310, [100000.0, 0.0, 0.0, 0.0]), (320, [70000.0, 0.0, 0.0, 0.0])]
+    data = as_floats(data)
+    df = spark.createDataFrame(data, "vec_id bigint, embedding array<float>").repartition(3)
+    assert sorted(rows(topk.top_k(df, F.col("vec_id") % 10 == 0, k=5))) == sorted(topk_reference(data))
+
+
+def test_bounds_hold():
+    rnd = np.random.default_rng(3)
+    for size in (3.0, 1e4, 1e9, 1e14):
+        v, q = np.floor(rnd.normal(0, size, (200, 8))), np.floor(rnd.normal(0, size, (20, 8)))
+        a = topk.Approximation.of(np.arange(200), np.arange(200), v)
+        lower, upper = a.bounds(q)
+        for i in range(20):
+            for n in range(200):
+                whole = sum(int(x) * int(y) for x, y in zip(q[i], v[n], strict=True))
+                assert lower[i, n] <= whole <= upper[i, n]
+
+
 # ------------------------------------------------------------------ 1 mixing
 def test_mix(spark, awkward, nothing):
     mixture = mixing.Mixture({"src0": "a", "src1": "a", "src2": "b"}, {"a": 3, "b": 1}, budget=(1, 2), max_epochs=3)

@@ -5,7 +5,7 @@ import pytest
 import corpus_pipeline as P
 from sextant.llm import langid
 from sextant.llm.common import materialise
-from tests.llm.test_operators import repeats_reference
+from tests.llm.test_operators import jaccard_groups, repeats_reference
 
 
 @pytest.fixture(scope="module")
@@ -36,6 +36,16 @@ def test_near_dedup_stage(stages):
     assert len(kept) == len(set(kept)) == len(set(texts.values())) and "2" not in kept and "1" in kept
 
 
+def test_near_dedup_equals_brute_force(spark):
+    """Of the groups that comparing all pairs finds, the smallest id of each stays."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    least = jaccard_groups([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()])
+    texts = dict(map(tuple, docs.select("doc_id", "text").collect()))
+    wordless = sorted(d for d, t in texts.items() if not (t or "").split())
+    want = {d for d, low in least.items() if d == low} - set(wordless[1:])
+    assert {r["doc_id"] for r in P.near_dedup(spark, docs, "").collect()} == want
+
+
 def test_near_dedup_chooses_by_row(spark):
     """Rows without an id, and different texts of one id, each stay or go by their own group."""
     text = lambda name, extra="": " ".join(f"{name}{k}" for k in range(60)) + extra
