@@ -9,8 +9,13 @@ from pyspark.sql import DataFrame
 
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the folder that the cluster shares
-    (spark.checkpoint.dir); where the session sets none, in a temporary one."""
+    (spark.checkpoint.dir).  Only a session on one machine that sets none gets a
+    temporary one: on a cluster each executor would write to its own disk."""
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sextant-"))
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sextant-"))
     return df.checkpoint()
