@@ -48,17 +48,21 @@ class Params:
     seed: str = "langid-1"
 
 
+_NOT_WORDS = re.compile(r"[\W\d_]+")
+
+
 @functools.cache
-def _not_letters() -> re.Pattern:
-    """Runs of characters that are no letters (Unicode's L): what \\w leaves out, and
-    of what it takes in the underscore, digits, and numbers such as halves and numerals."""
-    numbers = "".join(c for c in map(chr, range(128, sys.maxunicode)) if c.isnumeric() and unicodedata.category(c)[0] != "L")
-    return re.compile(rf"[\W\d_{numbers}]+")
+def _numbers() -> re.Pattern:
+    """Characters that \\w takes in beside letters (Unicode's L) and digits, such as halves and numerals."""
+    return re.compile("[" + "".join(c for c in map(chr, range(128, sys.maxunicode)) if c.isnumeric() and unicodedata.category(c)[0] != "L") + "]+")
 
 
 def normalise(text: str | None) -> str:
     """Lower case, with every run of other characters than letters as one space."""
-    return _not_letters().sub(" ", (text or "").lower()).strip()
+    clean = _NOT_WORDS.sub(" ", (text or "").lower())
+    if not clean.isascii() and _numbers().search(clean):  # rare: the class is slow to test
+        clean = " ".join(_numbers().sub(" ", clean).split())
+    return clean.strip()
 
 
 def held_out(id_col: Column) -> Column:

@@ -631,3 +631,17 @@ def test_shortages_go_to_siblings_first(spark):
             for g in ("x", "y"):
                 low = shares_reference([(s, 1, cap[d, g, s]) for s in ("s0", "s1", "s2")], mid[g])
                 assert {s: got[d, g, s] for s in low} == low, trial
+
+
+# ------------------------------------------------------------------ similarity: bitmaps
+def test_bitmaps_never_exceed_the_difference():
+    rnd = np.random.default_rng(5)
+    for n in (1, 30, 32, 33, 700):
+        a = np.unique(rnd.integers(-(2**62), 2**62, n))
+        b = np.unique(np.concatenate([a[: n - n // 7], rnd.integers(-(2**62), 2**62, n // 6)]))
+        lanes = similar.lanes_for(len(a))
+        assert 64 * lanes >= 2 * len(a) and lanes.bit_count() == 1
+        x, y = similar.parities(a, lanes), similar.parities(b, lanes)
+        assert np.bitwise_count((x ^ y).view(np.uint64)).sum() <= len(np.setxor1d(a, b))
+        if lanes > 1:
+            assert (x[: lanes // 2] ^ x[lanes // 2 :]).tolist() == similar.parities(a, lanes // 2).tolist()
