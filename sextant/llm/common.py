@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -41,10 +42,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
     """The batches in parts of at most ``rows`` rows, whatever the session makes
-    them (Spark ends a batch at 64 MB of its own accord)."""
+    them (Spark ends a batch at 64 MB of its own accord).  At the end of a task,
+    memory that the worker no longer uses goes back to the machine."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    trim()
+
+
+def trim() -> None:
+    """Workers live on between tasks: what is free should not stay with them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
 
 
 @contextmanager

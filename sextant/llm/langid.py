@@ -52,16 +52,16 @@ _NOT_WORDS = re.compile(r"[\W\d_]+")
 
 
 @functools.cache
-def _numbers() -> re.Pattern:
+def _numbers() -> frozenset[str]:
     """Characters that \\w takes in beside letters (Unicode's L) and digits, such as halves and numerals."""
-    return re.compile("[" + "".join(c for c in map(chr, range(128, sys.maxunicode)) if c.isnumeric() and unicodedata.category(c)[0] != "L") + "]+")
+    return frozenset(c for c in map(chr, range(128, sys.maxunicode)) if c.isnumeric() and unicodedata.category(c)[0] != "L")
 
 
 def normalise(text: str | None) -> str:
     """Lower case, with every run of other characters than letters as one space."""
     clean = _NOT_WORDS.sub(" ", (text or "").lower())
-    if not clean.isascii() and _numbers().search(clean):  # rare: the class is slow to test
-        clean = " ".join(_numbers().sub(" ", clean).split())
+    if not clean.isascii() and not _numbers().isdisjoint(clean):
+        clean = " ".join("".join(" " if c in _numbers() else c for c in clean).split())
     return clean.strip()
 
 

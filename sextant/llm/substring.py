@@ -41,6 +41,8 @@ SHARD_WORDS = 200_000
 HOT_FRAGMENTS = 10_000
 #: Windows of a fragment: a bit each of a signed 64-bit integer.
 MOST_WINDOWS = 62
+#: Rows of an Arrow batch where both texts and narrow rows go to Python.
+SENT_ROWS = 2_000
 #: Stands for a null id: later than every document.
 LAST = (1 << 63) - 1
 
@@ -219,7 +221,7 @@ def _shared_rows(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups = _Anchors()
-        for batch in batches:
+        for batch in slices(batches, NARROW_ROWS):
             for found in groups.feed([c.to_numpy(zero_copy_only=False) for c in batch.columns]):
                 yield batch_of(found)
         for found in groups.close():
@@ -388,11 +390,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
         F.struct(F.col(id_col).alias("id"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(carry)]).alias("rest"),
     )
     texts = named.select("d", "h", F.coalesce("text", F.lit(b"")).alias("text"))
-    shared = materialise(_shared_rows(_fragment_rows(texts, window, gram)), "fragments")
+    shared = materialise(_shared_rows(_fragment_rows(texts, window, gram)), "fragments", SENT_ROWS)
     asked = shared.filter("probe").groupBy("d", "h").agg(F.collect_set(F.struct("place", "size", "anchor", "hot")).alias("asked"))
     found = _searched(_fragment_texts(texts.join(asked, ["d", "h"]), window), window)
     full = shared.filter("not probe").select("d", "h", "place", (F.expr("shiftleft(1L, size)") - 1).alias("mask"))
-    marks = materialise(found.unionAll(full), "marks")
+    marks = materialise(found.unionAll(full), "marks", SENT_ROWS)
     release(shared)
     marks = marks.groupBy("d", "h").agg(F.collect_set(F.struct("place", "mask")).alias("marks"))
     joined = named.join(marks, ["d", "h"], "left").select("text", "marks", "rest")
