@@ -54,8 +54,8 @@ class TextEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
-        #: The same model without the steps before it, for runs of letters.
-        self.model = Tokenizer.from_str(json.dumps(config | {"normalizer": None, "pre_tokenizer": None}))
+        #: The same model, held once, without the steps before it, for runs of letters.
+        self.model = Tokenizer(self.tokenizer.model)
         self.letters = byte_letters()
         self.cached = cached
         self.now: dict[str, bytes] = {"": b""}
@@ -169,6 +169,6 @@ class TextEncoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> TextEncoder:
+def encoder(path: str, cached: int = CACHED) -> TextEncoder:
     """The encoder of one process for one tokenizer file."""
-    return TextEncoder(path)
+    return TextEncoder(path, cached)

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sextant.llm.common import ENCODED_ROWS, materialise, slices
+from sextant.llm.encoding import CACHED, encoder
 
 MAX_TOKENS = 2048
 #: Pieces under this part of a sequence are left to the residual, which they fill up.
@@ -220,20 +221,19 @@ class Places:
         return sequence, offset
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, max_tokens: int = MAX_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, max_tokens: int = MAX_TOKENS, id_col: str = "doc_id", text_col: str = "text", cached: int = CACHED, rows: int = ENCODED_ROWS) -> DataFrame:
     """``doc_id, piece, start, length, ids`` (little-endian unsigned 32-bit).
 
     A document is its ids and the end id; one longer than max_tokens is cut into
     pieces of max_tokens, of which the first may be shorter.  A null text is
     empty: its only piece is the end id.  Repeated rows give repeated pieces.
+    cached, rows: words remembered by a worker, and texts it encodes at a time.
     """
-    from sextant.llm.encoding import encoder
-
-    rows = docs.select(F.col(id_col).alias("p_id"), F.col(text_col).alias("p_text"))
+    texts = docs.select(F.col(id_col).alias("p_id"), F.col(text_col).alias("p_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, ENCODED_ROWS):
-            ids, bounds = encoder(tokenizer_path).encode(batch.column(1))
+        for batch in slices(batches, rows):
+            ids, bounds = encoder(tokenizer_path, cached).encode(batch.column(1))
             n = np.diff(bounds) + 1
             ids = np.insert(ids, bounds[1:], np.uint32(end_id))
             count = (n + max_tokens - 1) // max_tokens
@@ -249,8 +249,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, max_tokens: int =
                 names=["doc_id", "piece", "start", "length", "ids"],
             )
 
-    kind = rows.schema["p_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids binary")
+    kind = texts.schema["p_id"].dataType.simpleString()
+    return texts.mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids binary")
 
 
 def assign(rows: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
