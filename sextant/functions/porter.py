@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
+import sys
 import unicodedata
 
 _STEP2 = (("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"))
@@ -75,9 +76,15 @@ def stem(word: str) -> str:
     return word
 
 
+@functools.cache
+def _marks() -> dict[int, None]:
+    return dict.fromkeys(c for c in range(0x300, sys.maxunicode + 1) if unicodedata.combining(chr(c)))
+
+
 def fold(text: str) -> str:
     """Lower case without diacritics."""
-    return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
+    low = text.lower()
+    return low if low.isascii() else unicodedata.normalize("NFKD", low).translate(_marks())
 
 
 def analyze(text: str | None) -> list[str]:
