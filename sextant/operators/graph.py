@@ -11,6 +11,9 @@ from pyspark.sql.window import Window
 
 from sextant.scratch import cut
 
+#: Links of a graph that one machine holds.
+MAX_LINKS = 2_000_000
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """Every edge seen from each of its ends: node, other, and the edge's columns."""
@@ -128,8 +131,10 @@ def betweenness(nodes: DataFrame, edges: DataFrame, sources: int = 400, seed: in
 
     One breadth-first pass per source (Brandes 2001), sources spread over tasks;
     the adjacency travels with the task, for graphs of the size that
-    ``analysis_graph`` bounds.  nodes: id, doc_count."""
-    links = [(r[0], r[1]) for r in edges.select("src", "dst").limit(2_000_000).collect()]
+    ``analysis_graph`` bounds; a larger one is an error.  nodes: id, doc_count."""
+    links = [(r[0], r[1]) for r in edges.select("src", "dst").limit(MAX_LINKS + 1).collect()]
+    if len(links) > MAX_LINKS:
+        raise ValueError(f"more than {MAX_LINKS} links: bound the graph by analysis_graph first")
     near: dict[int, list[int]] = {}
     for a, b in links:
         near.setdefault(a, []).append(b)
@@ -235,10 +240,24 @@ def louvain(links: list[tuple[int, int, float]], resolution: float = 1.2, seed:
     return {x: min(group) for group in member.values() for x in group}
 
 
+def communities(edges: DataFrame, weight: str = "docs", resolution: float = 1.2, seed: int = 7) -> DataFrame:
+    """``node, community`` by Louvain's method, on a graph of the size that
+    ``analysis_graph`` bounds; a larger one is an error (``label_propagation`` has
+    no bound)."""
+    links = [(r[0], r[1], float(r[2])) for r in edges.select("src", "dst", weight).orderBy("src", "dst").limit(MAX_LINKS + 1).collect()]
+    if len(links) > MAX_LINKS:
+        raise ValueError(f"more than {MAX_LINKS} links: bound the graph by analysis_graph first")
+    kind = edges.schema["src"].dataType.simpleString()
+    return edges.sparkSession.createDataFrame(sorted(louvain(links, resolution, seed).items()), f"node {kind}, community {kind}")
+
+
 def gexf(nodes: DataFrame, edges: DataFrame, limit: int = 50_000) -> str:
-    """GEXF document of a bounded graph: nodes (id, name), edges (src, dst, docs)."""
+    """GEXF document of a bounded graph: nodes (id, name), edges (src, dst, docs); a
+    graph of more than ``limit`` nodes or edges is an error."""
     from xml.sax.saxutils import quoteattr
 
+    if max(nodes.limit(limit + 1).count(), edges.limit(limit + 1).count()) > limit:
+        raise ValueError(f"more than {limit} nodes or edges")
     rows = ['<?xml version="1.0" encoding="UTF-8"?>', '<gexf xmlns="http://gexf.net/1.3" version="1.3"><graph defaultedgetype="undirected"><nodes>']
     rows += [f"<node id={quoteattr(str(r['id']))} label={quoteattr(r['name'] or '')}/>" for r in nodes.select("id", "name").orderBy("id").limit(limit).collect()]
     rows.append("</nodes><edges>")

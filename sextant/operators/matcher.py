@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -14,6 +15,8 @@ from sextant.functions.text import is_all_caps, tokens
 
 #: Types whose single-word aliases may match in capitals though they are ordinary words.
 CAPS_TYPES = frozenset("place agency organization program technology idea".split())
+#: First tokens of aliases up to which pages without any are left out natively.
+FIRST_TOKENS = 2_000
 
 
 def case_sensitive(alias: str) -> bool:
@@ -81,6 +84,21 @@ class Trie:
             at += best
 
 
+_TRIES: dict[str, Trie] = {}
+
+
+def _trie(name: str, held) -> Trie:
+    """The trie of a broadcast dictionary, built once in a worker, the last one kept."""
+    if name not in _TRIES:
+        words, rows = held.value
+        trie = Trie(words)
+        for row in rows:
+            trie.add(*row)
+        _TRIES.clear()
+        _TRIES[name] = trie
+    return _TRIES[name]
+
+
 def alias_table(entities: DataFrame) -> DataFrame:
     """``alias, key, type``, one owner per alias: the first by pack order, then by
     position.  entities: key, type, aliases, pack_ord, ord."""
@@ -94,18 +112,23 @@ def alias_table(entities: DataFrame) -> DataFrame:
 def match_pages(pages: DataFrame, aliases: DataFrame, words: frozenset[str] = frozenset(), max_aliases: int = 2_000_000, caps_matching: bool = True) -> DataFrame:
     """``doc_id, page_no, key, count`` of gazetteer hits.
 
-    The alias dictionary is collected and its size checked: it travels with the
-    tasks.  Tokens are cut natively; the greedy search runs over Arrow batches."""
+    The alias dictionary is collected, its size checked, and broadcast; a worker
+    builds its trie once.  Tokens are cut natively; the greedy search runs over Arrow
+    batches, and only on pages that have the first token of some alias."""
     rows = aliases.withColumn("path", tokens(F.col("alias"))).orderBy("pack_ord", "ord", "alias").limit(max_aliases + 1).collect()
     if len(rows) > max_aliases:
         raise ValueError(f"more than {max_aliases} aliases: split the dictionary")
-    trie = Trie(words)
-    for r in rows:
-        trie.add(r["alias"], r["path"], r["key"], r["type"])
+    spark = pages.sparkSession
+    held = spark.sparkContext.broadcast((words, [tuple(r[c] for c in ("alias", "path", "key", "type")) for r in rows]))
+    name = uuid.uuid4().hex
     caps = is_all_caps(F.col("text")) if caps_matching else F.lit(False)
     cut = pages.select("doc_id", "page_no", caps.alias("caps"), tokens(F.col("text")).alias("path"))
+    starts = sorted({r["path"][0].lower() for r in rows if r["path"]})
+    if len(starts) <= FIRST_TOKENS:  # few enough for a literal of the plan
+        cut = cut.filter(F.arrays_overlap(F.transform("path", F.lower), F.lit(starts).cast("array<string>")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trie = _trie(name, held)
         for batch in batches:
             found = [(d, p, k, n) for d, p, c, path in batch.itertuples(index=False) for k, n in Counter(trie.find(list(path), bool(c))).items()]
             yield pd.DataFrame(found, columns=["doc_id", "page_no", "key", "count"])

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sextant.scratch import cut
 from sextant.schema import GAZETTEER, NER_NEW, STRUCTURED
 
 
@@ -34,9 +35,21 @@ def entity_stats(facts: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def entity_ids(stats: DataFrame) -> DataFrame:
-    """Identifiers 1, 2, ... by documents (most first), then key.  The window sees
-    one narrow row per entity."""
-    return stats.withColumn("id", F.row_number().over(Window.orderBy(F.desc("doc_count"), "key")))
+    """Identifiers 1, 2, ... by documents (most first), then key."""
+    return numbered(stats, "id", F.desc("doc_count"), F.asc("key"))
+
+
+def numbered(rows: DataFrame, name: str, *order: Column) -> DataFrame:
+    """Rows with numbers 1, 2, ... in an order that has no ties.  Ranges of the order
+    go to tasks; a row's number is its place there plus the rows of all ranges before
+    (the only window without a partition sees a row per range)."""
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    held = cut(dealt.withColumn("n_place", F.monotonically_increasing_id()))
+    task, place = F.shiftright("n_place", 33), F.col("n_place").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = held.groupBy(task.alias("n_task")).agg(F.count(F.lit(1)).alias("n_rows"))
+    before = F.coalesce(F.sum("n_rows").over(Window.orderBy("n_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("n_task", before.alias("n_before"))
+    return held.withColumn("n_task", task).join(F.broadcast(offsets), "n_task").withColumn(name, (F.col("n_before") + place + 1).cast("int")).drop("n_task", "n_place", "n_before")
 
 
 def encode(facts: DataFrame, ids: DataFrame) -> DataFrame:

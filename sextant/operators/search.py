@@ -8,7 +8,7 @@ postings of its terms only.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 
 from sextant.functions.porter import analyze
 from sextant.operators.documents import filter_documents
+from sextant.scratch import cut
 
 K1, B, TITLE_WEIGHT, MIN_IDF = 1.2, 0.75, 3.0, 1e-6
 NEAR_DISTANCE = 10
@@ -28,8 +29,9 @@ class QuerySyntaxError(ValueError):
 
 
 # ------------------------------------------------------------------ index
-def postings(rows: DataFrame, uid: str, text: str) -> DataFrame:
-    """``uid, term, tf, positions, length`` of every text."""
+def postings(rows: DataFrame, uid: str, text: str, keep: Callable[[str], bool] | None = None) -> DataFrame:
+    """``uid, term, tf, positions, length`` of every text, and a row without a term for
+    its length.  keep: the terms that are wanted, where a scan answers one query."""
     source = rows.select(F.col(uid).alias("uid"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -39,7 +41,9 @@ def postings(rows: DataFrame, uid: str, text: str) -> DataFrame:
                 at: dict[str, list[int]] = {}
                 terms = analyze(value)
                 for k, term in enumerate(terms):
-                    at.setdefault(term, []).append(k)
+                    if keep is None or keep(term):
+                        at.setdefault(term, []).append(k)
+                out.append((key, None, 0, [], len(terms)))
                 out += [(key, term, len(places), places, len(terms)) for term, places in at.items()]
             yield pd.DataFrame(out, columns=["uid", "term", "tf", "positions", "length"])
 
@@ -50,9 +54,11 @@ def postings(rows: DataFrame, uid: str, text: str) -> DataFrame:
 def simple_postings(rows: DataFrame, uid: str, text: str) -> DataFrame:
     """The same without stemming, for ASCII letters and digits, all native."""
     terms = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
-    cut = rows.select(F.col(uid).alias("uid"), terms.alias("terms"))
-    flat = cut.select("uid", F.size("terms").alias("length"), F.posexplode("terms").alias("place", "term"))
-    return flat.groupBy("uid", "term", "length").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.array_sort(F.collect_list("place")).alias("positions"))
+    cut_ = rows.select(F.col(uid).alias("uid"), terms.alias("terms"))
+    flat = cut_.select("uid", F.size("terms").alias("length"), F.posexplode("terms").alias("place", "term"))
+    found = flat.groupBy("uid", "term", "length").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.array_sort(F.collect_list("place")).alias("positions"))
+    lengths = cut_.select("uid", F.lit(None).cast("string").alias("term"), F.lit(0).alias("tf"), F.array().cast("array<int>").alias("positions"), F.size("terms").alias("length"))
+    return found.select("uid", "term", "tf", "positions", "length").unionAll(lengths)
 
 
 @dataclass(frozen=True)
@@ -61,11 +67,10 @@ class Statistics:
     average: float
 
 
-def statistics(rows: DataFrame, index: DataFrame, uid: str) -> Statistics:
+def statistics(index: DataFrame) -> Statistics:
     """Number of texts and their mean length; texts without terms count."""
-    total = index.select("uid", "length").distinct().agg(F.sum("length")).first()[0] or 0
-    n = rows.select(uid).count()
-    return Statistics(n, total / n if n else 0.0)
+    n, total = index.filter(F.col("term").isNull()).agg(F.count(F.lit(1)), F.sum("length")).first()
+    return Statistics(n, (total or 0) / n if n else 0.0)
 
 
 # ------------------------------------------------------------------ query language
@@ -217,28 +222,47 @@ def parse(query: str):
     return _Parser(rewrite(query)).parse()
 
 
-def leaves(tree) -> list[Phrase]:
+def leaves(tree, excluded: bool = False) -> list[Phrase]:
+    """The phrases that score, or all that the query reads."""
     if isinstance(tree, Phrase):
         return [tree]
     if isinstance(tree, Near):
         return list(tree.phrases)
-    return leaves(tree.left) + (leaves(tree.right) if tree.kind != "NOT" else [])
+    return leaves(tree.left, excluded) + (leaves(tree.right, excluded) if excluded or tree.kind != "NOT" else [])
+
+
+def terms_of(tree) -> Callable[[str], bool]:
+    """Tells the terms that a query reads, those that it excludes too."""
+    every = leaves(tree, excluded=True)
+    whole = frozenset(t for p in every for t in (p.terms[:-1] if p.prefix else p.terms))
+    starts = tuple(p.terms[-1] for p in every if p.prefix and p.terms)
+    return lambda term: term in whole or term.startswith(starts)
 
 
 # ------------------------------------------------------------------ evaluation
+def _wanted(index: DataFrame, tree) -> DataFrame:
+    """The postings of the query's terms: all that its evaluation reads."""
+    hit = F.lit(False)
+    for p in leaves(tree, excluded=True):
+        whole = p.terms[:-1] if p.prefix else p.terms
+        hit = (hit | F.col("term").isin(*whole)) if whole else hit
+        hit = (hit | F.col("term").startswith(p.terms[-1])) if p.prefix and p.terms else hit
+    return index.filter(hit)
+
+
 def _starts(index: DataFrame, phrase: Phrase) -> DataFrame:
-    """``uid, starts``: where the phrase occurs in each text."""
+    """``uid, starts, length``: where the phrase occurs in each text."""
     out = None
     for k, term in enumerate(phrase.terms):
         last = k == len(phrase.terms) - 1
         rows = index.filter(F.col("term").startswith(term) if phrase.prefix and last else F.col("term") == term)
-        here = rows.groupBy("uid").agg(F.array_distinct(F.flatten(F.collect_list("positions"))).alias("p"))
-        here = here.select("uid", F.transform("p", lambda x: x - k).alias("p"))  # noqa: B023
-        out = here if out is None else out.join(here.withColumnRenamed("p", "q"), "uid").select("uid", F.array_intersect("p", "q").alias("p"))
+        here = rows.groupBy("uid").agg(F.array_distinct(F.flatten(F.collect_list("positions"))).alias("p"), F.max("length").alias("length"))
+        here = here.select("uid", F.transform("p", lambda x: x - k).alias("p"), "length")  # noqa: B023
+        out = here if out is None else out.join(here.select("uid", F.col("p").alias("q")), "uid").select("uid", F.array_intersect("p", "q").alias("p"), "length")
     if out is None:
-        return index.select("uid", F.array().cast("array<int>").alias("p")).limit(0).withColumnRenamed("p", "starts")
+        return index.select("uid", F.array().cast("array<int>").alias("starts"), "length").limit(0)
     if phrase.first:
-        out = out.select("uid", F.filter("p", lambda x: x == 0).alias("p"))
+        out = out.select("uid", F.filter("p", lambda x: x == 0).alias("p"), "length")
     return out.filter(F.size("p") > 0).withColumnRenamed("p", "starts")
 
 
@@ -270,28 +294,25 @@ def matching(index: DataFrame, tree) -> DataFrame:
 
 def bm25(index: DataFrame, tree, stats: Statistics) -> DataFrame:
     """``uid, score`` of the matching texts; negative, lower is better.  A phrase
-    counts as one term."""
-    hits = matching(index, tree)
+    counts as one term.  The index is read once, for the query's terms; how many
+    texts have each phrase is counted in the plan, not by the driver."""
+    own = cut(_wanted(index, tree))
     parts = None
-    lengths = index.select("uid", "length").distinct()
-    for phrase in dict.fromkeys(leaves(tree)):
-        rows = _starts(index, phrase).select("uid", F.size("starts").cast("double").alias("tf"))
-        df = rows.count()
-        idf = max(F_log((stats.documents - df + 0.5) / (df + 0.5)), MIN_IDF)
-        part = rows.withColumn("idf", F.lit(idf))
+    for k, phrase in enumerate(dict.fromkeys(leaves(tree))):
+        part = _starts(own, phrase).select("uid", F.lit(k).alias("phrase"), F.size("starts").cast("double").alias("tf"), "length")
         parts = part if parts is None else parts.unionAll(part)
-    average = stats.average or 1.0
-    scored = parts.join(hits, "uid", "left_semi").join(lengths, "uid")
+    parts = cut(parts)
+    n, average = float(stats.documents), stats.average or 1.0
+    df = F.col("df")
+    idf = F.greatest(F.when(F.lit(n) > df, F.ln((n - df + 0.5) / (df + 0.5))).otherwise(F.lit(MIN_IDF)), F.lit(MIN_IDF))
+    counts = parts.groupBy("phrase").agg(F.count(F.lit(1)).cast("double").alias("df")).select("phrase", idf.alias("idf"))
+    scored = parts.join(F.broadcast(counts), "phrase")  # a row per phrase of the query
+    if not isinstance(tree, Phrase):
+        scored = scored.join(matching(own, tree), "uid", "left_semi")
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / average))
     return scored.groupBy("uid").agg((-F.sum(weight)).alias("score"))
 
 
-def F_log(x: float) -> float:
-    import math
-
-    return math.log(x) if x > 0 else -1.0
-
-
 @dataclass
 class Index:
     """Postings of pages and of titles, with the tables they refer to.
@@ -310,7 +331,12 @@ class Index:
         held = [c for c in title_columns if c in documents.columns]
         titles = documents.select("id", F.concat_ws(" ", *held).alias("t"))
         a, b = postings(pages, "page_uid", "text").cache(), postings(titles, "id", "t").cache()
-        return Index(pages, documents, a, b, statistics(pages, a, "page_uid"), statistics(titles, b, "id"))
+        return Index(pages, documents, a, b, statistics(a), statistics(b))
+
+    def close(self) -> None:
+        """Release the postings that the session holds."""
+        self.page_postings.unpersist()
+        self.title_postings.unpersist()
 
 
 def search_pages(index: Index, query: str, limit: int | None = None) -> DataFrame:

@@ -65,7 +65,7 @@ def _query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def _edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Edges, entities and mentions of the supplier corpus."""
-    entities, mentions = star.entities(spark, sf_dir), star.mentions(spark, sf_dir)
+    entities, mentions = star.corpus(spark, sf_dir)
     n = star.documents(spark, sf_dir).count()
     return E.edges(mentions, entities.select(F.col("id").alias("entity_id"), "doc_count"), n), entities, mentions
 
@@ -345,13 +345,19 @@ def pagerank_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, entities, _ = _edges(spark, sf_dir)
-    strong = GR.strongest_links(edges, 3)
-    return GR.betweenness(GR.connected(entities.select("id", "doc_count"), strong), strong)
+    nodes, links = GR.analysis_graph(entities.select("id", "doc_count"), GR.strongest_links(edges, 3), 10**9, 3000, 1)
+    return GR.betweenness(nodes, links)
 
 
 @_query()
 def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return GR.label_propagation(GR.strongest_links(_edges(spark, sf_dir)[0], 3))
+    edges, entities, _ = _edges(spark, sf_dir)
+    return GR.communities(GR.analysis_graph(entities.select("id", "doc_count"), GR.strongest_links(edges, 3), 10**9, 3000, 1)[1])
+
+
+@_query()
+def spreading_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return GR.label_propagation(GR.strongest_links(_edges(spark, sf_dir)[0], 3)).withColumnRenamed("community", "label")
 
 
 @_query("""SELECT l_returnflag AS type, l_suppkey AS id, n, rank FROM (
@@ -507,16 +513,17 @@ SELECT doc_id, round(-sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf *
 FROM tf JOIN q USING (term) JOIN l USING (doc_id) JOIN hits USING (doc_id), s, a GROUP BY doc_id""")
 def bm25_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
-    index = SE.simple_postings(docs, "doc_id", "text").cache()
+    index = SE.simple_postings(docs, "doc_id", "text")
     tree = SE.Op("OR", SE.Phrase(("license",)), SE.Phrase(("reserved",)))
-    return SE.bm25(index, tree, SE.statistics(docs, index, "doc_id")).select(F.col("uid").alias("doc_id"), F.round("score", 6).alias("score"))
+    return SE.bm25(index, tree, SE.statistics(index)).select(F.col("uid").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @_query()
 def bm25_porter(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
-    index = SE.postings(docs, "doc_id", "text").cache()
-    return SE.bm25(index, SE.parse('licensed OR "rights reserved" OR NEAR(all reserved, 3) NOT oran*'), SE.statistics(docs, index, "doc_id"))
+    tree = SE.parse('licensed OR "rights reserved" OR NEAR(all reserved, 3) NOT oran*')
+    index = cut(SE.postings(docs, "doc_id", "text", SE.terms_of(tree)))  # a scan for one query
+    return SE.bm25(index, tree, SE.statistics(index))
 
 
 # ------------------------------------------------------------------ tokens, metadata, sorting, scans

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sextant.operators import mentions as M
 from sextant.schema import GAZETTEER
+from sextant.scratch import cut
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +38,10 @@ def facts(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = ("supplier"
 
 def entities(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = ("supplier",)) -> DataFrame:
     """id, key, name, type, aliases, auto and statistics."""
-    ids = M.entity_ids(M.entity_stats(facts(spark, sf_dir, kinds), documents(spark, sf_dir)))
+    return _named(spark, sf_dir, kinds, M.entity_ids(M.entity_stats(facts(spark, sf_dir, kinds), documents(spark, sf_dir))))
+
+
+def _named(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...], ids: DataFrame) -> DataFrame:
     names = []
     if "supplier" in kinds:
         names.append(read(spark, sf_dir, "supplier").select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("key"), F.col("s_name").alias("name"), F.lit("company").alias("type")))
@@ -54,6 +58,13 @@ def mentions(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = ("suppli
     return M.encode(found, M.entity_ids(M.entity_stats(found, documents(spark, sf_dir))))
 
 
+def corpus(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = ("supplier",)) -> tuple[DataFrame, DataFrame]:
+    """``entities`` and ``mentions`` from one pass over the facts and one numbering."""
+    found = cut(facts(spark, sf_dir, kinds))
+    ids = M.entity_ids(M.entity_stats(found, documents(spark, sf_dir)))
+    return _named(spark, sf_dir, kinds, ids), M.encode(found, ids)
+
+
 def raw_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """customer -> supplier "ordered from", with the order as evidence."""
     o, line = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
