@@ -13,7 +13,7 @@ DEFAULTS: dict = {
     "title": "", "packs": [],
     "dates": {"min_year": 1900, "max_year": 0, "text_min_year": 0, "text_max_year": 0, "two_digit_century": 1900},
     "extract": {"include": [], "exclude": [], "archives": True, "archive_members": [], "max_file_mb": 500, "text_page_chars": 12_000},
-    "index": {"ner": False, "codenames": True, "identifiers": True, "allcaps_matching": True, "window": 5, "max_window_entities": 400, "min_edge_docs": 2, "suppress_aliases": [], "keep_aliases": []},
+    "index": {"ner": False, "codenames": True, "identifiers": True, "allcaps_matching": True, "window": 5, "max_window_entities": 400, "min_edge_docs": 2, "min_candidate_docs": 2, "suppress_aliases": [], "keep_aliases": []},
     "metadata": {"collection_depth": 1, "collection_aliases": {}, "publisher_rules": [], "origin_rules": [], "html_origin": "", "default_origin": "", "title_strip": ""},
     "ui": {"hide_hubs": 800}, "records": [],
 }

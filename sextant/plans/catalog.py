@@ -8,6 +8,37 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sextant.scratch import cut
+
+
+class HeldTables:
+    """A catalog of tables that a session holds as DataFrames: what ``api`` reads,
+    without a store.  Writing checkpoints."""
+
+    def __init__(self, spark: SparkSession, tables: dict[str, dict[str, DataFrame]]):
+        self.spark, self.tables = spark, tables
+        self.versions = dict.fromkeys(tables, "held")
+
+    def corpora(self) -> list[str]:
+        return sorted(self.tables)
+
+    def version(self, corpus: str) -> str | None:
+        return self.versions.get(corpus)
+
+    def read(self, corpus: str, table: str) -> DataFrame:
+        return self.tables[corpus][table]
+
+    def write(self, corpus: str, tables: dict[str, DataFrame]) -> str:
+        self.tables[corpus] = {name: cut(df) for name, df in tables.items()}
+        self.versions[corpus] = uuid.uuid4().hex
+        return self.versions[corpus]
+
+    def stale(self, stamp: str) -> bool:
+        return self.version("_global") is None or self.read("_global", "meta").filter("k = 'stamp'").first()["v"] != stamp
+
+    def stamp(self) -> str:
+        return "|".join(f"{c}={self.version(c)}" for c in self.corpora() if not c.startswith("_"))
+
 
 class Catalog:
     """Tables under ``root/corpus/version``; ``root/corpus/_CURRENT`` names the version.

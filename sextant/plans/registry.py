@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from sextant.functions import fold as FO
 from sextant.functions import text as TX
 from sextant.operators import codenames as CN
 from sextant.operators import documents as D
@@ -21,7 +21,7 @@ from sextant.operators import search as SE
 from sextant.operators import themes as TH
 from sextant.operators import timeline as T
 from sextant.operators.codenames import CONFUSED
-from sextant.plans import star
+from sextant.plans import build, star
 from sextant.scratch import cut
 from sextant.sources import formats as FM
 from sextant.sources import records as RC
@@ -277,7 +277,7 @@ def years_zero_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ global index: a corpus per order priority
 _LOCAL = """m AS (SELECT DISTINCT o_orderpriority AS cid, 'supplier:' || l_suppkey AS key, l_orderkey AS doc_id, year(o_orderdate)::INT AS year FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-local AS (SELECT cid, key, s_name AS name, substr(s_name, 1, length(s_name) - 1) AS gkey, count(*) AS doc_count, min(year) AS first_year, max(year) AS last_year
+local AS (SELECT cid, key, s_name AS name, 'company:' || lower(substr(s_name, 1, length(s_name) - 1)) AS gkey, count(*) AS doc_count, min(year) AS first_year, max(year) AS last_year
           FROM m JOIN supplier ON key = 'supplier:' || s_suppkey GROUP BY ALL)"""
 
 
@@ -290,7 +290,7 @@ def _local(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     names = star.read(spark, sf_dir, "supplier").select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("key"), F.col("s_name").alias("name"))
     rows = per.join(names, "key").select(
         "corpus_id", "key", "name", F.lit("company").alias("type"), F.lit("").alias("description"), F.lit(0).alias("auto"), "doc_count", F.col("doc_count").alias("mention_count"),
-        "first_year", "last_year", F.array("name").alias("aliases"), F.expr("substring(name, 1, length(name) - 1)").alias("gkey"),
+        "first_year", "last_year", F.array("name").alias("aliases"), FO.gkey(F.lit("company"), F.expr("substring(name, 1, length(name) - 1)")).alias("gkey"),
     )
     return G.local_entities(rows), found.select("corpus_id", "key", "doc_id")
 
@@ -364,8 +364,8 @@ def spreading_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY n DESC, l_suppkey)::INT AS rank
   FROM (SELECT l_returnflag, l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL)) WHERE rank <= 12""")
 def top_per_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = star.read(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("type"), F.col("l_suppkey").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("rank", F.row_number().over(Window.partitionBy("type").orderBy(F.desc("n"), "id"))).filter("rank <= 12")
+    counts = star.read(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("type"), F.col("l_suppkey").alias("id")).agg(F.count(F.lit(1)).alias("doc_count"))
+    return build.top_per_type(counts).withColumnRenamed("doc_count", "n")
 
 
 # ------------------------------------------------------------------ text: identifiers, themes, vocabulary
@@ -459,8 +459,8 @@ def url_dest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT page::INT + 1 AS page_no, '[parts]' || chr(10) || 'key' || chr(9) || 'name' || chr(10) || string_agg(p_partkey || chr(9) || p_name, chr(10) ORDER BY p_partkey) AS text FROM r GROUP BY page""")
 def table_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = star.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("row"), F.concat_ws("\t", F.col("p_partkey").cast("string"), "p_name").alias("line"))
-    page = F.floor((F.row_number().over(Window.orderBy("row")) - 1) / 100).cast("int") + 1
-    lines = part.withColumn("page_no", page).groupBy("page_no").agg(F.array_sort(F.collect_list(F.struct("row", "line")))["line"].alias("ls"))
+    page = F.floor((F.col("n") - 1) / 100).cast("int") + 1
+    lines = M.numbered(part, "n", F.asc("row")).withColumn("page_no", page).groupBy("page_no").agg(F.array_sort(F.collect_list(F.struct("row", "line")))["line"].alias("ls"))
     return lines.select("page_no", F.concat(F.lit("[parts]\nkey\tname\n"), F.array_join("ls", "\n")).alias("text"))
 
 

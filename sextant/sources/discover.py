@@ -55,6 +55,16 @@ def could_contain(folder: str, includes: list[str]) -> bool:
     return not includes or any(p.startswith(folder) or folder.startswith(p) or p == "" for p in map(literal_prefix, includes))
 
 
+def may_contain(folder: Column, includes: list[str]) -> Column:
+    """``could_contain`` as an expression, to leave folders out before they are listed."""
+    if not includes:
+        return F.lit(True)
+    here, out = F.concat(F.rtrim(folder, F.lit("/")), F.lit("/")), F.lit(False)
+    for p in map(literal_prefix, includes):
+        out = out | (F.lit(True) if p == "" else F.startswith(F.lit(p), here) | F.startswith(here, F.lit(p)))
+    return out
+
+
 def wanted(path: Column, includes: list[str], excludes: list[str]) -> Column:
     """Exclude wins; no include means everything."""
     keep = F.lit(True)
@@ -90,9 +100,22 @@ def looks_like_html(content: Column) -> Column:
     return head.rlike(r"<html|<!doctype html")
 
 
-def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """``relpath, path, size, mtime`` of every file; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+def _folders(spark: SparkSession, root: str, includes: list[str]) -> list[str]:
+    """The folders that includes name before their first wildcard, if all name one
+    that exists; else the root."""
+    named = {literal_prefix(p).rpartition("/")[0] for p in includes}
+    if not named or "" in named:
+        return [root]
+    outer = sorted(n for n in named if not any(n.startswith(f"{o}/") for o in named))
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{n}") for n in outer]
+    return [str(p.toString()) for p in paths] if all(p.getFileSystem(conf).exists(p) for p in paths) else [root]
+
+
+def list_files(spark: SparkSession, root: str, includes: list[str] = ()) -> DataFrame:
+    """``relpath, path, size, mtime`` of every file; contents are not read, nor are
+    folders listed that no include names."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(_folders(spark, root, list(includes))).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
     base = re.escape(root.removeprefix("file://").rstrip("/") + "/")
     return files.withColumn("relpath", F.regexp_replace("path", rf"^(?:file:/*)?/?{base.lstrip('/')}", ""))
 

@@ -51,6 +51,13 @@ def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, s
     return reader.option("header", "true").csv(path)
 
 
+def csv_lines(lines: DataFrame, columns: list[str], sep: str = ",", quote: str = '"', escape: str = '"') -> DataFrame:
+    """Rows of CSV text that is in a table already: column line; the others stay."""
+    schema = ", ".join(f"`{c}` STRING" for c in columns)
+    parsed = F.from_csv("line", F.lit(schema), {"sep": sep, "quote": quote, "escape": escape, "mode": "PERMISSIVE"})
+    return lines.withColumn("csv", parsed).select(*[c for c in lines.columns if c != "line"], "csv.*")
+
+
 def _value(config_value: str | None, columns: dict[str, Column]) -> Column:
     if not config_value:
         return F.lit("")

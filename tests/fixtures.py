@@ -97,6 +97,8 @@ def write(root: str) -> None:
         info.size = len(data)
         t.addfile(info, io.BytesIO(data))
     put("packed.tar.gz", out.getvalue())
+    put("torn.zip", b"PK\x03\x04 and then nothing")
+    put("other/scan.png", b"\x89PNG")
     put("other/data.bin", b"\0\1")
     put(".hidden/secret.txt", "never")
 

@@ -47,6 +47,38 @@ def test_formats(corpus):
     assert rows["office/broken.docx"]["error"] and text["office/broken.docx"] == [""]
     assert text["mail/one.eml"][1] == "attached words" and rows["mail/one.eml"]["doc_date"] == "1962-02-03"
     assert rows["mail/box.mbox#1"]["title"] == "Re 1"
+    assert "BadZipFile" in rows["torn.zip"]["error"] and text["torn.zip"] == [""] and rows["packed.zip!/in/paper.txt"]["member"] == "in/paper.txt"
+
+
+def test_recognised_text(spark, corpus):
+    _, extracted, _, _ = corpus
+    text = spark.createDataFrame([("other/scan.png", 1, "seen on a scan")], "relpath string, page_no int, ocr_text string")
+    for cache, want in ((text, ("seen on a scan", 1, True)), (text.limit(0), ("", 0, False))):
+        rows = {r["relpath"]: r for r in build.with_ocr(extracted, cache).collect()}
+        page = rows["other/scan.png"]["pages"][0]
+        assert (page["text"], page["ocr"], rows["other/scan.png"]["complete"]) == want and rows["office/talk.pptx"]["complete"]
+
+
+def test_codenames_and_candidates_reach_the_index(spark):
+    """A word in capitals becomes a program, unless it is a surname; recognised names
+    resolve to known entities, stay if enough documents have them, or go."""
+    texts = ["Plan MOONRAKER began. Ada Brook met Tarn Mills Ltd.", "Then MOONRAKER ended. Ada Brook left; John GULLWING stayed.", "John GULLWING and Ben Stone wrote."]
+    pages = [(f"d/{k}.txt", "text", [(1, t, 0)]) for k, t in enumerate(texts)]
+    none = F.lit(None).cast("string")
+    docs = spark.createDataFrame(pages, "relpath string, kind string, pages array<struct<n:int,text:string,ocr:int>>")
+    ref = "struct<type:string,name:string,key:string,aliases:array<string>,description:string,source:string>"
+    docs = docs.select("*", *[none.alias(c) for c in ("title", "author", "doc_date", "origin", "classification", "member", "collection", "error")], F.lit(None).cast("map<string,string>").alias("fields"), F.lit(None).cast(f"array<{ref}>").alias("entities"), F.lit(None).cast(f"array<struct<src:{ref},type:string,dst:{ref}>>").alias("relations"), F.lit(None).cast("array<string>").alias("attachments"))
+    names = lambda p: p.select("doc_id", "page_no", F.explode(F.regexp_extract_all("text", F.lit("(?:Ada|Ben|John) [A-Za-z]+|Tarn Mills"), F.lit(0))).alias("name")).withColumn("label", F.when(F.col("name").startswith("Tarn"), "organization").otherwise("person"))
+    tables = build.index(docs, merge(["base"], demo.PACKS), C.from_dict("x", {"index": {"min_edge_docs": 1}}), ner=names)
+    found = {r["key"]: (r["auto"], r["doc_count"]) for r in tables["entities"].collect()}
+    assert found == {"program:MOONRAKER": (1, 2), "person:Ada Brook": (1, 2), "person:John Gullwing": (1, 2), "company:Tarn Mills": (0, 1)}
+
+
+def test_only_named_folders_are_listed(spark, corpus):
+    cfg = corpus[0]
+    listed = {r["relpath"] for r in discover.list_files(spark, cfg.root, ["office/*.docx", "mail/one*"]).collect()}
+    assert {p.split("/")[0] for p in listed} == {"office", "mail"} and "office/notes.docx" in listed
+    assert discover.list_files(spark, cfg.root, ["reports", "x/*"]).count() == discover.list_files(spark, cfg.root).count()
 
 
 def test_metadata(corpus):

@@ -160,6 +160,26 @@ def test_measures(spark):
     assert '<node id="1"' in GR.gexf(nodes.withColumn("name", F.lit('a"b')), edges)
 
 
+def test_bounded_measures_refuse_larger_graphs(spark, monkeypatch):
+    monkeypatch.setattr(GR, "MAX_LINKS", 2)
+    edges = graph_of(spark, [(1, 2, 1), (2, 3, 1), (3, 4, 1)])
+    nodes = spark.createDataFrame([(k, 1, "n") for k in range(1, 5)], "id int, doc_count bigint, name string")
+    with pytest.raises(ValueError, match="analysis_graph"):
+        GR.betweenness(nodes, edges)
+    with pytest.raises(ValueError, match="analysis_graph"):
+        GR.communities(edges)
+    with pytest.raises(ValueError, match="more than 3"):
+        GR.gexf(nodes, edges, 3)
+    assert {tuple(r) for r in GR.communities(edges.limit(2)).collect()} == {(1, 1), (2, 1), (3, 1)}
+
+
+def test_numbers_follow_the_order(spark):
+    rows = spark.range(5000).select(F.col("id").cast("string").alias("key"), (F.col("id") % 7).alias("doc_count")).repartition(9)
+    got = [(r["key"], r["id"]) for r in M.entity_ids(rows).orderBy("id").collect()]
+    want = sorted(((str(k), k % 7) for k in range(5000)), key=lambda x: (-x[1], x[0]))
+    assert got == [(k, n + 1) for n, (k, _) in enumerate(want)] and M.entity_ids(rows.limit(0)).count() == 0
+
+
 def test_dedupe_choice(spark):
     rows = [("z.zip!/a.txt", "h"), ("long/path/a.txt", "h"), ("keep/deep/down/a.txt", "h"), ("b.txt", "g")]
     got = {r["sha1"]: (r["relpath"], r["duplicates"]) for r in D.dedupe(spark.createDataFrame(rows, "relpath string, sha1 string"), ("keep/",)).collect()}
