@@ -593,14 +593,6 @@ def hub_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.pairs(E.window_entities(star.mentions(spark, sf_dir), 5, 3))
 
 
-@_query("SELECT 'sha:' || sha1('m1' || chr(0) || coalesce(text, '')) AS hash, count(*) AS pages FROM documents WHERE coalesce(text, '') NOT IN (SELECT coalesce(text, '') FROM documents WHERE doc_id % 3 = 0) GROUP BY 1")
-def uncached_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.concat(F.lit("sha:"), F.sha1(F.concat(F.lit("m1\0"), F.coalesce("text", F.lit(""))).cast("binary"))).alias("hash")
-    pages = _docs(spark, sf_dir).select("doc_id", key)
-    pending = pages.join(pages.filter("doc_id % 3 = 0").select("hash").distinct(), "hash", "left_anti")
-    return pending.groupBy("hash").agg(F.count(F.lit(1)).alias("pages"))
-
-
 @_query("""SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'person:explicit' WHEN 1 THEN 'company:Tarn Mills' WHEN 2 THEN 'person:Ada Brook' ELSE 'person:' || c_name END AS key FROM customer""")
 def resolved_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
@@ -925,15 +917,6 @@ def view_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found["results"].select("id", "doc_date")
 
 
-@_query("SELECT n_nationkey AS id, n_nationkey % 2 = 0 AS bad, 0::BIGINT AS n FROM nation")
-def malformed_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A query that does not parse gives a message and no rows."""
-    index = _browser(spark, sf_dir)
-    rows, error = SE.safe_search(index, '"open')
-    assert error and SE.safe_search(index, "*")[1] is None
-    return star.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), (F.col("n_nationkey") % 2 == 0).alias("bad"), F.lit(rows.count()).cast("bigint").alias("n"))
-
-
 _TWO = ("1-URGENT", "2-HIGH")
 _LIBRARIES: dict[tuple[str, str], api.Library] = {}
 
