@@ -9,11 +9,11 @@ import re
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm import chat, langid, mixing, packing, quality, simhash, sstable, substring, token_count, topk
-from sextant.llm.common import table
+from sextant.llm import chat, langid, mixing, packing, periodic, quality, simhash, spotsigs, sstable, substring, token_count, topk, trie
+from sextant.llm.common import let, table, words_of
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,6 +189,130 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", langid.held_out(F.col("doc_id"))).select("doc_id", "held_out", "lang_pred", "score", "margin", "rejected")
 
 
+def _crc32(number: Column) -> Column:
+    return F.crc32(number.cast("string").cast("binary"))
+
+
+def _with_planted_run(doc_id: Column, text: Column) -> Column:
+    """The text, a tenth of them with a run planted by the id's checksum."""
+    g = F.floor(_crc32(doc_id) / 10)
+
+    def planted(words: Column) -> Column:
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        again = F.transform(F.sequence(a, n - 1), lambda i: words[a + (i - a) % p])
+        return F.when(n > 0, F.array_join(F.concat(F.slice(words, F.lit(1), a), again), " ")).otherwise("")
+
+    return F.when(_crc32(doc_id) % 10 == 0, let(words_of(text), planted)).otherwise(text)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = periodic.find_runs(docs.select("doc_id", _with_planted_run(F.col("doc_id"), F.col("text")).alias("text")))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("order"), r["start"].alias("start"), r["period"].alias("period"), r["length"].alias("length"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    found = found.withColumn("r", longest)
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "r.start", "r.length", "r.period",
+        F.floor(1000 * F.col("r.length") / F.col("r.period")).cast("bigint").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words",
+    )
+
+
+def _shared_openings(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Conversations rebuilt, as ``conv_id, place, label, n_bytes``, and their ids: c has
+    the first h turns of c - c % 5, then its own after its first h."""
+    own = trie.numbered(turns)
+    sizes = own.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    h = F.coalesce(_crc32(F.col("conv_id")) % 9, F.lit(0))
+    ids = sizes.select("conv_id", h.alias("h"), (F.col("conv_id") - F.col("conv_id") % 5).alias("base"))
+    base = sizes.select(F.col("conv_id").alias("base"), F.col("n").alias("base_n"))
+    ids = ids.join(base, "base", "left").withColumn("shared", F.least("h", F.coalesce("base_n", F.lit(0))))
+    opening = own.filter("place <= 8").withColumnRenamed("conv_id", "base")
+    shared = ids.select("conv_id", "base", "h").join(opening, "base").filter("place <= h").select("conv_id", "place", "label", "n_bytes")
+    of = ids.select(F.col("conv_id").alias("of"), "h", "shared")
+    kept = own.join(of, F.col("conv_id").eqNullSafe(F.col("of"))).filter("place > h")
+    kept = kept.select("conv_id", (F.col("place") - F.col("h") + F.col("shared")).cast("int").alias("place"), "label", "n_bytes")
+    return shared.unionByName(kept), ids.select("conv_id")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(*_shared_openings(table(spark, sf_dir, "conversations")))
+
+
+_CRC_BYTE = "list_concat([ascii(x)::BIGINT], [-1, -1, -1, -1, -1, -1, -1, -1])"
+_CRC_SQL = f"""xor(4294967295::BIGINT, list_reduce(
+        list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: {_CRC_BYTE}))),
+        lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, 3988292384 * (c & 1)) END))"""
+_TRIE_SQL = f"""
+    WITH lab AS (
+      SELECT conv_id, turn, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes,
+             md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS label
+      FROM conversations),
+    own AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, label) AS place FROM lab),
+    sizes AS (SELECT conv_id, count(*) AS n FROM own GROUP BY conv_id),
+    ids AS (
+      SELECT s.conv_id, s.h, s.conv_id - s.conv_id % 5 AS base, least(s.h, coalesce(b.n, 0)) AS shared
+      FROM (SELECT *, {_CRC_SQL} % 9 AS h FROM sizes) s LEFT JOIN sizes b ON b.conv_id = s.conv_id - s.conv_id % 5),
+    built AS (
+      SELECT i.conv_id, place, label, n_bytes FROM ids i JOIN own o ON o.conv_id = i.base WHERE place <= h
+      UNION ALL
+      SELECT i.conv_id, place - h + shared, label, n_bytes FROM ids i JOIN own o ON o.conv_id = i.conv_id WHERE place > h),
+    p AS (
+      SELECT conv_id, place AS depth, n_bytes, string_agg(label, ',') OVER (PARTITION BY conv_id ORDER BY place ROWS UNBOUNDED PRECEDING) AS key FROM built
+      UNION ALL SELECT conv_id, 0, 0, '' FROM ids),
+    node AS (SELECT key, depth, count(*) AS n_convs, min(conv_id) AS conv_id, any_value(n_bytes) AS n_bytes FROM p GROUP BY key, depth),
+    up AS (SELECT n.*, p.key AS parent FROM node n LEFT JOIN p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1),
+    children AS (SELECT parent, count(*) AS n FROM up WHERE depth > 0 GROUP BY parent),
+    full_ AS (SELECT up.*, coalesce(c.n, 0) AS n_children FROM up LEFT JOIN children c ON c.parent = up.key),
+    sums AS (
+      SELECT p.key, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END)::BIGINT AS n_leaves, sum((f.n_convs - 1) * f.n_bytes)::BIGINT AS saved
+      FROM full_ f JOIN p ON p.conv_id = f.conv_id AND p.depth <= f.depth GROUP BY p.key),
+    last AS (SELECT conv_id, max_by(key, depth) AS key FROM p GROUP BY conv_id),
+    ends AS (SELECT key, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS members FROM last GROUP BY key)
+    SELECT f.conv_id, f.depth::BIGINT AS depth, pn.conv_id AS parent_conv_id, f.n_convs::BIGINT AS n_convs, f.n_children::BIGINT AS n_children,
+           s.n_leaves, s.saved AS saved_tokens, sha256(coalesce(e.members, '')) AS ends_sha256
+    FROM full_ f JOIN sums s ON s.key = f.key LEFT JOIN node pn ON pn.key = f.parent AND f.depth > 0 LEFT JOIN ends e ON e.key = f.key"""
+
+
+def op13_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = spotsigs.edited_fingerprints(table(spark, sf_dir, "documents"))
+    return f.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), spotsigs.fingerprint(F.col("found")).alias("fingerprint"), spotsigs.fingerprint(F.col("edited_found")).alias("edited_fingerprint"),
+        spotsigs.likeness(F.col("found"), F.col("edited_found")).alias("near_edited"), spotsigs.likeness(F.col("found"), F.col("next_found")).alias("near_next"),
+    )
+
+
+def _spot_sql() -> str:
+    stop = ", ".join(f"'{w}'" for w in dict.fromkeys(quality.STOP_WORDS))
+
+    def found(text: str) -> str:
+        hashed = lambda anchor, chain: f"substr(md5({anchor} || ' ' || coalesce(array_to_string({chain}, ' '), '')), 1, {spotsigs.DIGITS})"
+        spot = hashed("w[i]", f"list_filter(c[i + 1:i + {spotsigs.REACH}], lambda x: x IS NOT NULL)[1:{spotsigs.CHAIN}]")
+        every = hashed("w[i]", f"w[i + 1:i + {spotsigs.CHAIN}]")
+        return f"""(
+      SELECT uid, list_sort(list_distinct(CASE WHEN len(spots) > 0 THEN list_transform(spots, lambda i: {spot}) ELSE list_transform(range(1, len(w) + 1), lambda i: {every}) END)) AS found
+      FROM (SELECT *, list_filter(range(1, len(w)), lambda i: c[i] IS NULL AND c[i + 1] IS NOT NULL) AS spots
+            FROM (SELECT *, list_transform(w, lambda x: CASE WHEN x IN ({stop}) THEN NULL ELSE x END) AS c
+                  FROM (SELECT uid, regexp_extract_all(lower({text}), '[^\x20\x09-\x0D]+') AS w FROM d))))"""
+
+    def likeness(a: str, b: str) -> str:
+        jaccard = f"len(list_intersect({a}, {b}))::DOUBLE / (len({a}) + len({b}) - len(list_intersect({a}, {b})))"
+        return f"CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1.0 WHEN {jaccard} >= {spotsigs.LEAST}::DOUBLE THEN {jaccard} ELSE 0.0 END::DOUBLE"
+
+    return f"""
+    WITH o AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST) AS uid, doc_id, coalesce(text, '') AS text FROM documents),
+    n AS (SELECT *, coalesce(lead(text) OVER (ORDER BY uid), first_value(text) OVER (ORDER BY uid)) AS next_text, uid % (SELECT count(*) FROM o) + 1 AS next_uid FROM o),
+    d AS (SELECT *, length(text)::BIGINT AS n_chars,
+                 left(text, length(text) - length(text) // 4) || left(next_text, length(text) // 4) AS edited FROM n),
+    a AS {found("text")},
+    b AS {found("edited")}
+    SELECT d.doc_id, n_chars, sha256(edited) AS edited_sha256, array_to_string(a.found, '') AS fingerprint, array_to_string(b.found, '') AS edited_fingerprint,
+           {likeness("a.found", "b.found")} AS near_edited, {likeness("a.found", "nx.found")} AS near_next
+    FROM d JOIN a ON a.uid = d.uid JOIN b ON b.uid = d.uid JOIN a nx ON nx.uid = d.next_uid"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_chat_formatting": op2_chat_formatting,
@@ -200,6 +324,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_language_id": op10_language_id,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_spot_signatures": op13_spot_signatures,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -207,4 +334,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_chat_formatting": _chat_sql(),
     "op4_vector_topk": _TOPK_SQL,
     "op9_quality_rules": _quality_sql(),
+    "op12_prefix_trie": _TRIE_SQL,
+    "op13_spot_signatures": _spot_sql(),
 }
