@@ -288,9 +288,9 @@ def _spot_sql() -> str:
     stop = ", ".join(f"'{w}'" for w in dict.fromkeys(quality.STOP_WORDS))
 
     def found(text: str) -> str:
-        hashed = lambda anchor, chain: f"substr(md5({anchor} || ' ' || coalesce(array_to_string({chain}, ' '), '')), 1, {spotsigs.DIGITS})"
-        spot = hashed("w[i]", f"list_filter(c[i + 1:i + {spotsigs.REACH}], lambda x: x IS NOT NULL)[1:{spotsigs.CHAIN}]")
-        every = hashed("w[i]", f"w[i + 1:i + {spotsigs.CHAIN}]")
+        hashed = lambda *parts: f"substr(md5(concat_ws(' ', {', '.join(parts)})), 1, {spotsigs.DIGITS})"
+        spot = hashed("w[i]", "c[i + 1]", f"list_filter(c[i + 2:i + {spotsigs.REACH}], lambda x: x IS NOT NULL)[1]")
+        every = hashed("w[i]", "w[i + 1]", "w[i + 2]")
         return f"""(
       SELECT uid, list_sort(list_distinct(CASE WHEN len(spots) > 0 THEN list_transform(spots, lambda i: {spot}) ELSE list_transform(range(1, len(w) + 1), lambda i: {every}) END)) AS found
       FROM (SELECT *, list_filter(range(1, len(w)), lambda i: c[i] IS NULL AND c[i + 1] IS NOT NULL) AS spots

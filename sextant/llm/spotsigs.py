@@ -20,8 +20,8 @@ from pyspark.sql.window import Window
 from sextant.llm.common import let, words_of
 from sextant.llm.quality import STOP_WORDS
 
-#: Content words of a chain, and the words after an anchor among which they are looked for.
-CHAIN, REACH = 2, 8
+#: Words after an anchor among which the second word of its chain is looked for.
+REACH = 8
 #: Similarity below which two sets count as unlike.
 LEAST = 0.1
 #: Hex digits of a signature.
@@ -34,27 +34,26 @@ def signatures(text: Column, anchors: list[str] | tuple[str, ...] = tuple(STOP_W
     """The sorted set of a text's spot signatures, each DIGITS hex digits of an MD5.
 
     Anchors are common words right before a content word, upper and lower case
-    alike; its chain is the first CHAIN content words of the REACH words after it.  In
+    alike; its chain is that word and the next content word of the REACH words after it.  In
     a text that has no such place every word is an anchor.  A null text is empty, and
     a text without a word has no signature.
     """
 
-    def hashed(anchor: Column, chain: Column) -> Column:
-        return F.substring(F.md5(F.concat_ws(" ", anchor, F.array_join(chain, " ")).cast("binary")), 1, DIGITS)
+    def hashed(*parts: Column) -> Column:
+        return F.substring(F.md5(F.concat_ws(" ", *parts).cast("binary")), 1, DIGITS)
 
     def of(words: Column) -> Column:
-        last = F.size(words) - 1
         content = F.transform(words, lambda w: F.when(~w.isin(*anchors), w))
 
         def spots(c: Column) -> Column:
-            places = F.filter(F.sequence(F.lit(0), last), lambda i: c[i].isNull() & (i < last) & c[F.least(i + 1, last)].isNotNull())
-            chain = lambda i: F.slice(F.filter(F.slice(c, i + 2, REACH), lambda x: x.isNotNull()), 1, CHAIN)
-            every = F.transform(words, lambda w, i: hashed(w, F.slice(words, i + 2, CHAIN)))
-            return let(places, lambda p: F.when(F.size(p) > 0, F.transform(p, lambda i: hashed(words[i], chain(i)))).otherwise(every))
+            places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(c, i).isNull() & F.get(c, i + 1).isNotNull())
+            second = lambda i: F.coalesce(*[F.get(c, i + k) for k in range(2, REACH + 1)])
+            every = F.transform(words, lambda w, i: hashed(w, F.get(words, i + 1), F.get(words, i + 2)))
+            return let(places, lambda p: F.when(F.size(p) > 0, F.transform(p, lambda i: hashed(words[i], c[i + 1], second(i)))).otherwise(every))
 
         return F.when(F.size(words) > 0, let(content, spots)).otherwise(F.array().cast("array<string>"))
 
-    return F.array_sort(F.array_distinct(let(words_of(F.lower(text)), of)))
+    return F.sort_array(F.array_distinct(let(words_of(F.lower(text)), of)))
 
 
 def fingerprint(found: Column) -> Column:
