@@ -241,7 +241,7 @@ def prefix_trie(turns: DataFrame, conversations: DataFrame | None = None, heavy:
     counts = materialise(counts, "counts")
     along = Window.partitionBy("rep").orderBy("depth")
     so_far = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    is_heavy = F.col("n_seqs") > heavy
+    is_heavy = F.col("n_seqs") > max(1, heavy)
     light = lambda c: F.first(F.when(~is_heavy, F.col(c)), ignorenulls=True).over(so_far)
     placed = told.join(counts, "key").select("*", light("key").alias("shard"), light("depth").alias("top_depth"), (F.lag("n_seqs").over(along) == 1).alias("in_tail"), is_heavy.alias("is_heavy"))
     placed = materialise(placed, "placed")
