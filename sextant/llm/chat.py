@@ -196,25 +196,27 @@ def log_of_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     Each turn is one ``message``, or, streamed, what a chat service would log: a
     message and deltas of DELTA_CHARS characters.  Of these, a third of the turns
     is first said otherwise and set right by an ``edit`` after the last turn, and a
-    third of the assistant's is said otherwise, regenerated, and said again.
+    third of the assistant's is said otherwise, regenerated, and said again: half of
+    them at once, half after the next turn, which is then said again as well.
     """
     named = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
-    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
-    rows = named.withColumn("place", place)
+    along = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = named.withColumn("place", F.row_number().over(along))
     if not streamed:
         return rows.select("conv_id", F.col("place").alias("seq"), F.lit(MESSAGE).alias("kind"), "place", "role", "text")
-    text = F.coalesce("text", F.lit(""))
-    kind = F.pmod(F.xxhash64("conv_id", "place"), F.lit(3))
-    regenerated = (kind == 1) & F.coalesce(F.col("role") == LEARNED_ROLE, F.lit(False))
-
-    def said(what: Column, phase: int) -> Column:
-        """A message and its deltas, one after another."""
-        last = F.greatest(F.lit(0), F.floor((F.length(what) - 1) / DELTA_CHARS).cast("int"))
-        seq = F.col("place").cast("bigint") * (1 << 24) + phase * (1 << 22)
-        return F.transform(
-            F.sequence(F.lit(0), last),
-            lambda k: F.struct((seq + k).alias("seq"), F.when(k == 0, MESSAGE).otherwise(DELTA).alias("kind"), F.substring(what, k * DELTA_CHARS + 1, F.lit(DELTA_CHARS)).alias("text")),
-        )
+    chance = F.pmod(F.xxhash64("conv_id", "place"), F.lit(6))
+    learned = F.coalesce(F.col("role") == LEARNED_ROLE, F.lit(False))
+    late = learned & (chance == 4)
+    rows = rows.withColumn("late", late).withColumn("again", F.coalesce(F.lag("late").over(along), F.lit(False)))
+    text, slot = F.coalesce("text", F.lit("")), 1 << 22  # events that a saying has at most
+    base = F.col("place").cast("bigint") * (16 * slot)
+    own = base + F.when(F.col("again"), 6 * slot).otherwise(0)  # after what the turn before does below
+
+    def said(what: Column, first: Column) -> Column:
+        """A message and its deltas, one after another, in time linear in the text."""
+        parts = F.regexp_extract_all(what, F.lit(f"(?s).{{1,{DELTA_CHARS}}}"), F.lit(0))
+        parts = F.when(what == "", F.array(F.lit(""))).otherwise(parts)
+        return F.transform(parts, lambda x, k: F.struct((first + k).alias("seq"), F.when(k == 0, MESSAGE).otherwise(DELTA).alias("kind"), x.alias("text")))
 
     def event(seq: Column, name: str, what: Column) -> Column:
         return F.array(F.struct(seq.cast("bigint").alias("seq"), F.lit(name).alias("kind"), what.alias("text")))
@@ -222,8 +224,10 @@ def log_of_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     draft = F.concat(F.reverse(text), F.lit(" ..."))
     none = F.lit(None).cast("string")
     log = (
-        F.when(kind == 0, F.concat(said(draft, 0), event(F.lit(1 << 60) + F.col("place"), EDIT, text)))
-        .when(regenerated, F.concat(said(draft, 0), event(F.col("place").cast("bigint") * (1 << 24) + (1 << 22), REGENERATE, none), said(text, 2)))
-        .otherwise(said(text, 0))
+        F.when(chance < 2, F.concat(said(draft, own), event(F.lit(1 << 60) + F.col("place"), EDIT, text)))
+        .when(F.col("late"), F.concat(said(draft, own), event(base + 20 * slot, REGENERATE, none), said(text, base + 21 * slot)))
+        .when(learned & (chance == 5), F.concat(said(draft, own), event(own + slot, REGENERATE, none), said(text, own + 2 * slot)))
+        .otherwise(said(text, own))
     )
+    log = F.when(F.col("again"), F.concat(said(draft, base), log)).otherwise(log)  # the first saying, which the turn before discards
     return rows.select("conv_id", "place", "role", F.explode(log).alias("e")).select("conv_id", "e.seq", "e.kind", "place", "role", "e.text")
