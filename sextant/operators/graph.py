@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sextant.scratch import cut
-
-#: Links of a graph that one machine holds.
-MAX_LINKS = 2_000_000
+from sextant.scratch import cut, drop
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -126,51 +122,42 @@ def pagerank(edges: DataFrame, weight: str = "docs", damping: float = 0.85, roun
     return ranks
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, sources: int = 400, seed: int = 1) -> DataFrame:
+def betweenness(nodes: DataFrame, edges: DataFrame, sources: int = 400, seed: int = 1, max_levels: int = 10_000) -> DataFrame:
     """Unweighted betweenness from sampled sources, and bridge score bc / sqrt(docs).
 
-    One breadth-first pass per source (Brandes 2001), sources spread over tasks;
-    the adjacency travels with the task, for graphs of the size that
-    ``analysis_graph`` bounds; a larger one is an error.  nodes: id, doc_count."""
-    links = [(r[0], r[1]) for r in edges.select("src", "dst").limit(MAX_LINKS + 1).collect()]
-    if len(links) > MAX_LINKS:
-        raise ValueError(f"more than {MAX_LINKS} links: bound the graph by analysis_graph first")
-    near: dict[int, list[int]] = {}
-    for a, b in links:
-        near.setdefault(a, []).append(b)
-        near.setdefault(b, []).append(a)
-    n = len(near)
-    picked = nodes.select("id").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sources)
-    scale = F.lit(1.0)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[int, float] = {}
-        for batch in batches:
-            for s in batch["id"].tolist():
-                order, parents, sigma, depth = [], {s: []}, {s: 1.0}, {s: 0}
-                queue = [s]
-                for v in queue:
-                    order.append(v)
-                    for w in near.get(v, ()):
-                        if w not in depth:
-                            depth[w], sigma[w], parents[w] = depth[v] + 1, 0.0, []
-                            queue.append(w)
-                        if depth[w] == depth[v] + 1:
-                            sigma[w] += sigma[v]
-                            parents[w].append(v)
-                delta = dict.fromkeys(order, 0.0)
-                for w in reversed(order):
-                    for v in parents[w]:
-                        delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
-                    if w != s:
-                        total[w] = total.get(w, 0.0) + delta[w]
-        yield pd.DataFrame({"id": list(total), "part": list(total.values())})
-
-    k = min(sources, max(1, nodes.count()))
-    if n > 2:
-        scale = F.lit(n / k / ((n - 1) * (n - 2)))
-    sums = picked.repartition(8, "id").mapInPandas(run, "id bigint, part double").groupBy("id").agg((F.sum("part") * scale).alias("betweenness"))
-    out = nodes.select(F.col("id").cast("bigint").alias("id"), "doc_count").join(sums, "id", "left").fillna(0.0, ["betweenness"])
+    Brandes' algorithm (2001) for all sources at once, as joins: a level's nodes and
+    path counts come from the links of the level before; then dependencies are summed
+    backward over the stored levels.  Of an undirected graph a level's neighbours lie in
+    it, the one before, or the next, so only these are looked at.  nodes: id,
+    doc_count; the rows at work are sources x nodes, whatever the size of a level."""
+    nodes = cut(nodes.select("id", "doc_count"))
+    link = edges.select(F.col("src").cast("bigint").alias("a"), F.col("dst").cast("bigint").alias("b")).filter("a <> b")
+    near = cut(link.unionAll(link.select("b", "a")).distinct())
+    picked = nodes.select(F.col("id").cast("bigint").alias("id")).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sources)
+    n, k = near.select("a").distinct().count(), max(1, picked.count())
+    levels = [cut(picked.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("paths")))]
+    while len(levels) < max_levels:
+        before = levels[-1].select("s", "v")
+        before = before if len(levels) == 1 else before.unionAll(levels[-2].select("s", "v"))
+        reached = levels[-1].join(near, F.col("v") == F.col("a")).groupBy("s", "b").agg(F.sum("paths").alias("paths")).withColumnRenamed("b", "v")
+        level = cut(reached.join(before, ["s", "v"], "left_anti"))
+        if level.isEmpty():
+            break
+        levels.append(level)
+    given, parts = None, []
+    for above, level in reversed([*zip(levels[:-1], levels[1:], strict=True)]):
+        owed = level.withColumn("owed", F.lit(0.0)) if given is None else level.join(given, ["s", "v"], "left").withColumn("owed", F.coalesce("owed", F.lit(0.0)))
+        owed = cut(owed.select("s", "v", "paths", "owed"))
+        parts.append(owed.groupBy("v").agg(F.sum("owed").alias("part")))
+        back = owed.join(near, F.col("v") == F.col("a")).select("s", F.col("b").alias("v"), ((1 + F.col("owed")) / F.col("paths")).alias("share"))
+        given = back.join(above, ["s", "v"]).groupBy("s", "v").agg((F.sum("share") * F.first("paths")).alias("owed"))
+    scale = n / k / ((n - 1) * (n - 2)) if n > 2 else 1.0
+    out = nodes.select(F.col("id").cast("bigint").alias("id"), "doc_count")
+    if parts:
+        every = reduce(DataFrame.unionAll, parts).groupBy(F.col("v").alias("id")).agg((F.sum("part") * scale).alias("betweenness"))
+        out = out.join(every, "id", "left").fillna(0.0, ["betweenness"])
+    else:
+        out = out.withColumn("betweenness", F.lit(0.0))
     return out.withColumn("bridge", F.col("betweenness") / F.sqrt("doc_count"))
 
 
@@ -189,66 +176,93 @@ def label_propagation(edges: DataFrame, weight: str = "docs", rounds: int = 10)
     return labels.select("node", F.col("label").alias("community"))
 
 
-def louvain(links: list[tuple[int, int, float]], resolution: float = 1.2, seed: int = 7) -> dict[int, int]:
-    """Louvain communities (Blondel et al. 2008) of a graph that fits one machine,
-    such as ``analysis_graph`` gives; the label is the smallest member."""
-    import random
-
-    graph: dict[int, dict[int, float]] = {}
-    for a, b, w in links:
-        graph.setdefault(a, {})[b] = graph.setdefault(a, {}).get(b, 0.0) + w
-        graph.setdefault(b, {})[a] = graph.setdefault(b, {}).get(a, 0.0) + w
-    member = {v: {v} for v in graph}
-    rng = random.Random(seed)
-    while graph:
-        degree = {v: sum(w for u, w in near.items()) + near.get(v, 0.0) for v, near in graph.items()}
-        m2 = sum(degree.values())
-        if not m2:
+#: Weights are whole multiples of this, so that sums do not depend on their order.
+UNIT = 1e-6
+#: A round of moves is made by one in so many nodes.
+PARTS = 4
+
+
+def _move(links: DataFrame, nodes: DataFrame, m2: int, resolution: float, turn: int) -> DataFrame:
+    """One round of local moves: ``node, k, home``.  One in PARTS nodes, in the next turn
+    others, may go to the community around them that gains modularity most, ties
+    to the smaller one; two neighbours that would swap seldom both may.
+
+    links: node, other, w (both ways, no loops); nodes: node, k (degree), home.  The
+    gains of a node are summed before they meet: links by (node, community), degrees by
+    community."""
+    total = nodes.groupBy("home").agg(F.sum("k").alias("total")).select(F.col("home").alias("to"), "total")
+    around = links.join(nodes.select(F.col("node").alias("other"), F.col("home").alias("to")), "other").groupBy("node", "to").agg(F.sum("w").alias("w"))
+    here = nodes.select("node", F.col("home").alias("to"), F.lit(0).cast("bigint").alias("w"))
+    scored = around.select("node", "to", "w").unionAll(here).join(nodes, "node").join(total, "to")
+    stays = F.col("to") == F.col("home")
+    others = (F.col("total") - F.when(stays, F.col("k")).otherwise(0)).cast("double")
+    gain = F.col("w").cast("double") - F.lit(resolution) * others * F.col("k").cast("double") / F.lit(float(m2))
+    scored = scored.withColumn("gain", gain).withColumn("rest", F.when(stays, F.col("gain")))
+    # links into the own community came as a row of their own beside ``here``
+    best = scored.groupBy("node", "k", "home").agg(F.max_by("to", F.struct("gain", -F.col("to"))).alias("to"), F.max("gain").alias("gain"), F.max("rest").alias("rest"))
+    free = F.pmod(F.pmod(F.xxhash64("node", F.lit(turn // PARTS)), F.lit(PARTS)) + turn, F.lit(PARTS)) == 0
+    moves = free & (F.col("gain") > F.col("rest") + 1e-9)
+    return best.select("node", "k", F.when(moves, F.col("to")).otherwise(F.col("home")).alias("home"))
+
+
+def _modularity(links: DataFrame, nodes: DataFrame, looped: int, m2: int, resolution: float) -> float:
+    """Of the partition ``home``, in one pass; looped: the weight of loops, counted twice."""
+    a, b = nodes.select("node", F.col("home").alias("a")), nodes.select(F.col("node").alias("other"), F.col("home").alias("b"))
+    inside = links.join(a, "node").join(b, "other").filter("a = b").select(F.col("a").alias("home"), "w", F.lit(0).cast("bigint").alias("k"))
+    each = inside.unionAll(nodes.select("home", F.lit(0).cast("bigint"), "k")).groupBy("home").agg(F.sum("w").alias("w"), F.sum("k").cast("double").alias("k"))
+    inner, spread = each.agg(F.sum("w"), F.sum(F.pow(F.col("k") / F.lit(float(m2)), F.lit(2.0)))).first()
+    return ((inner or 0) + looped) / m2 - resolution * (spread or 0.0)
+
+
+def _settle(graph: DataFrame, nodes: DataFrame, m2: int, resolution: float, sweeps: int) -> tuple[DataFrame, bool]:
+    """Sweeps of local moves, PARTS rounds each, while modularity grows; and whether it
+    did.  A sweep that makes it less is not kept."""
+    links = graph.filter("node <> other")
+    looped = graph.filter("node = other").agg(F.sum("w")).first()[0] or 0
+    nodes = cut(nodes)
+    best, changed = _modularity(links, nodes, looped, m2, resolution), False
+    for sweep in range(sweeps):
+        moved, done = nodes, []
+        for turn in range(PARTS):
+            moved = cut(_move(links, moved, m2, resolution, sweep * PARTS + turn))
+            done.append(moved)
+        now = _modularity(links, moved, looped, m2, resolution)
+        if now <= best + 1e-12:
+            drop(*done)
             break
-        home = {v: v for v in graph}
-        total = dict(degree)
-        order = sorted(graph)
-        rng.shuffle(order)
-        moved_ever, moved = False, True
-        while moved:
-            moved = False
-            for v in order:
-                links_to: dict[int, float] = {}
-                for u, w in graph[v].items():
-                    if u != v:
-                        links_to[home[u]] = links_to.get(home[u], 0.0) + w
-                old = home[v]
-                total[old] -= degree[v]
-                gain = lambda c: links_to.get(c, 0.0) - resolution * total[c] * degree[v] / m2  # noqa: B023, E731
-                best = max(sorted(links_to), key=gain, default=old)
-                if gain(best) <= gain(old) + 1e-12:
-                    best = old
-                home[v] = best
-                total[best] += degree[v]
-                if best != old:
-                    moved = moved_ever = True
-        if not moved_ever:
-            break
-        merged: dict[int, dict[int, float]] = {}
-        joined: dict[int, set[int]] = {}
-        for v, near in graph.items():
-            joined.setdefault(home[v], set()).update(member[v])
-            row = merged.setdefault(home[v], {})
-            for u, w in near.items():
-                row[home[u]] = row.get(home[u], 0.0) + (w if u != v or home[u] != home[v] else w)
-        graph, member = merged, joined
-    return {x: min(group) for group in member.values() for x in group}
-
-
-def communities(edges: DataFrame, weight: str = "docs", resolution: float = 1.2, seed: int = 7) -> DataFrame:
-    """``node, community`` by Louvain's method, on a graph of the size that
-    ``analysis_graph`` bounds; a larger one is an error (``label_propagation`` has
-    no bound)."""
-    links = [(r[0], r[1], float(r[2])) for r in edges.select("src", "dst", weight).orderBy("src", "dst").limit(MAX_LINKS + 1).collect()]
-    if len(links) > MAX_LINKS:
-        raise ValueError(f"more than {MAX_LINKS} links: bound the graph by analysis_graph first")
+        drop(nodes, *done[:-1])
+        best, nodes, changed = now, moved, True
+    return nodes, changed
+
+
+def communities(edges: DataFrame, weight: str = "docs", resolution: float = 1.2, sweeps: int = 10, levels: int = 8) -> DataFrame:
+    """``node, community`` by Louvain's method (Blondel et al. 2008), as joins and sums.
+
+    A level is up to ``sweeps`` sweeps of local moves, in rounds of a part of the nodes;
+    then every community becomes a node of the next level, whose links are sums of
+    links.  At the end single nodes move once more, which mends what was merged too
+    early.  The label is the smallest member; results do not depend on how rows are
+    dealt.  Repeated and opposite edges add up; weights that are null or not positive
+    are left out."""
     kind = edges.schema["src"].dataType.simpleString()
-    return edges.sparkSession.createDataFrame(sorted(louvain(links, resolution, seed).items()), f"node {kind}, community {kind}")
+    w = F.round(F.col(weight).cast("double") / UNIT).cast("bigint")
+    plain = edges.select(F.col("src").cast("bigint").alias("a"), F.col("dst").cast("bigint").alias("b"), w.alias("w")).filter("w > 0 and a is not null and b is not null")
+    first = cut(plain.select(F.col("a").alias("node"), F.col("b").alias("other"), "w").unionAll(plain.select("b", "a", "w")).groupBy("node", "other").agg(F.sum("w").alias("w")))
+    m2 = first.agg(F.sum("w")).first()[0] or 1
+    degrees = first.groupBy("node").agg(F.sum("w").alias("k"))
+    graph, home = first, None
+    for _ in range(levels):
+        own = graph.groupBy("node").agg(F.sum("w").alias("k"), F.first("node").alias("home"))
+        settled, changed = _settle(graph, own, m2, resolution, sweeps)
+        found = settled.select("node", "home")
+        home = found if home is None else cut(home.select("node", F.col("home").alias("via")).join(found.select(F.col("node").alias("via"), "home"), "via").select("node", "home"))
+        if not changed:
+            break
+        a, b = found.select("node", F.col("home").alias("a")), found.select(F.col("node").alias("other"), F.col("home").alias("b"))
+        graph = cut(graph.join(a, "node").join(b, "other").groupBy("a", "b").agg(F.sum("w").alias("w")).select(F.col("a").alias("node"), F.col("b").alias("other"), "w"))
+    home, _ = _settle(first, degrees.join(home, "node"), m2, resolution, sweeps)
+    label = home.groupBy("home").agg(F.min("node").alias("community"))
+    return home.join(label, "home").select(F.col("node").cast(kind).alias("node"), F.col("community").cast(kind).alias("community"))
 
 
 def gexf(nodes: DataFrame, edges: DataFrame, limit: int = 50_000) -> str:

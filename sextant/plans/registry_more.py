@@ -453,6 +453,17 @@ def derived_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query("""WITH t AS (SELECT c_custkey AS k, c_name AS n, 12000 + 1 + c_custkey % 900 AS m FROM customer),
+p AS (SELECT k, unnest([n, repeat('x', 12000), repeat('x', (m - 12000)::INT) || chr(10) || chr(10) || n, n || ' a' || chr(10) || ' ' || chr(10) || 'b', repeat('y', 7000), repeat('z', 5500), 'end']) AS text, generate_subscripts([1, 2, 3, 4, 5, 6, 7], 1) AS page_no FROM t)
+SELECT k, page_no::INT AS page_no, md5(text) AS md5 FROM p""")
+def paragraph_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A short paragraph before a long one, gaps, form feeds, and a cut at a space."""
+    n, m = F.col("c_name"), (12001 + F.col("c_custkey") % 900).cast("int")
+    text = F.concat(n, F.lit("\n\n"), F.repeat(F.lit("x"), m), F.lit("\n\n"), n, F.lit("\f\n\n"), n, F.lit(" a\n \nb\f"), F.repeat(F.lit("y"), F.lit(7000)), F.lit(" "), F.repeat(F.lit("z"), F.lit(5500)), F.lit("\n\n"), F.lit("\fend"))
+    pages = formats.text_pages(star.read(spark, sf_dir, "customer").select("c_custkey", text.alias("text")), "c_custkey", "text")
+    return pages.select(F.col("doc_id").alias("k"), "page_no", F.md5(F.col("text").cast("binary")).alias("md5"))
+
+
 @_query("SELECT o_orderkey AS id, o_orderpriority AS subject, 'Embassy Norvale' AS origin, 'Relations,Norvale' AS named, o_orderstatus AS agency, '19' || o_orderkey % 90 + 10 AS published FROM orders")
 def parsed_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     cable = F.concat(F.lit("FM AMEMBASSY NORVALE\nTAGS: PREL, NV\nSUBJECT: "), "o_orderpriority", F.lit("\n\nBody"))
@@ -484,6 +495,22 @@ def folded_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_SURNAME_SQL = "'Z' || translate(lower(substr(md5(s_name), 1, 8)), '0123456789', 'ghijklmnop')"
+
+
+@_query(f"""WITH t AS (SELECT s_suppkey AS k, s_suppkey % 8 AS c, {_SURNAME_SQL} AS s FROM supplier)
+SELECT k, CASE c WHEN 0 THEN 'Al ' || s WHEN 1 THEN 'Van ' || s WHEN 2 THEN 'Bin ' || s WHEN 3 THEN 'Maria de la ' || s WHEN 5 THEN 'Abu ' || s || ' Hassan Omar' WHEN 6 THEN 'Ann ' || s END AS person,
+CASE WHEN c < 3 THEN 'Al ' || s WHEN c < 6 THEN s || ' al Amin' END AS shown FROM t""")
+def particle_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names whose first word is also a particle, and rows of particles that are none."""
+    k = F.col("s_suppkey")
+    s = F.concat(F.lit("Z"), F.translate(F.lower(F.substring(F.md5(F.col("s_name").cast("binary")), 1, 8)), "0123456789", "ghijklmnop"))
+    join = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    spans = _case(k % 8, join("Al ", s), join("Van ", s), join("Bin ", s), join("Maria de la ", s), join("Maria De La ", s), join("Abu ", s, " Hassan Omar"), join("Dr. Ann Q. ", s, "'s"), join("van der ", s))
+    shown = F.when(k % 8 < 3, join(s, ", Al")).when(k % 8 < 6, join(s, " al Amin (Legal)")).otherwise(join("al, ", s))
+    return star.read(spark, sf_dir, "supplier").select(k.alias("k"), NM.person_udf()(spans).alias("person"), NM.display_udf()(shown).alias("shown"))
+
+
 @_query("""WITH c AS (SELECT c_custkey AS k, lpad(c_custkey::VARCHAR, 18, '0') AS b FROM customer), v AS (SELECT k, b, 98 - ((b || '131400')::HUGEINT % 97)::INT AS digits FROM c)
 SELECT k, 'DE' || lpad(digits::VARCHAR, 2, '0') || b AS iban FROM v WHERE k % 2 = 0""")
 def ibans_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ from sextant.operators import mentions as M
 from sextant.operators import metadata as MD
 from sextant.operators import timeline as T
 from sextant.sources import discover, formats, links
+from tests import yardsticks
 
 
 def column(spark, values, expr, kind="string"):
@@ -65,6 +66,10 @@ def test_persons(raw, name):
 
 def test_other_names(spark):
     assert N.normalize_person("JOHN SMITH", allcaps=True) == "John Smith"
+    given = ["Al Gore", "Van Morrison", "Bin Laden", "Dr. Abu Zubaydah Hassan Omar", "Maria de la Cruz", "Maria De La Cruz", "van der Berg", "John van", "Ann Van Buren NASSER"]
+    assert [N.normalize_person(x) for x in given] == ["Al Gore", "Van Morrison", "Bin Laden", "Abu Zubaydah Hassan Omar", "Maria de la Cruz", None, None, None, None]
+    assert N.display_name("Gore, Al") == "Al Gore"
+    assert [N.normalize_org(x) for x in ("Attn", "FYI", "PAC", "the Board", "Board of Trade")] == [None, None, None, None, "Board of Trade"]
     assert [N.display_name(x) for x in ("Smith, John", '"JOHN SMITH" ', "John Smith (Legal)", "a@b.c", "")] == ["John Smith", "John Smith", "John Smith", None, None]
     assert [N.normalize_org(x) for x in ("the Harbour Board's", "committee", "ab", "UN", "lower case")] == ["Harbour Board", None, None, "UN", None]
     assert column(spark, ["Gull Shipping Ltd.", "Ltd", "Ada Brook"], N.looks_like_company) == [True, False, False]
@@ -151,8 +156,6 @@ def test_measures(spark):
     nodes = spark.createDataFrame([(k, 4) for k in range(1, 11)], "id int, doc_count bigint")
     between = {r["id"]: r["betweenness"] for r in GR.betweenness(nodes, edges, 100).collect()}
     assert between[5] == between[6] == max(between.values()) and abs(between[5] - 20 * 2 / (9 * 8)) < 1e-9 and between[1] == 0
-    groups = GR.louvain(links)
-    assert {groups[k] for k in range(1, 6)} == {1} and {groups[k] for k in range(6, 11)} == {6}
     spread = {r["node"]: r["community"] for r in GR.label_propagation(edges).collect()}
     assert len({spread[k] for k in range(1, 6)}) == 1 and len({spread[k] for k in range(6, 11)}) == 1
     ranks = {r["node"]: r["rank"] for r in GR.pagerank(graph_of(spark, [(1, 2, 1), (2, 3, 1), (3, 2, 1)]), rounds=40).collect()}
@@ -160,17 +163,66 @@ def test_measures(spark):
     assert '<node id="1"' in GR.gexf(nodes.withColumn("name", F.lit('a"b')), edges)
 
 
-def test_bounded_measures_refuse_larger_graphs(spark, monkeypatch):
-    monkeypatch.setattr(GR, "MAX_LINKS", 2)
+def random_graph(seed, n, m):
+    rnd = random.Random(seed)
+    made = {}
+    for _ in range(m):
+        a, b = rnd.randrange(n), rnd.randrange(n)
+        if rnd.random() < 0.8:  # mostly within groups of ten
+            b = a - a % 10 + rnd.randrange(10)
+        if a != b:
+            made[min(a, b), max(a, b)] = made.get((min(a, b), max(a, b)), 0) + rnd.randrange(1, 4)
+    return [(a, b, w) for (a, b), w in made.items()]
+
+
+def test_communities_are_as_good_as_louvain_on_one_machine(spark):
+    links = random_graph(3, 40, 110)
+    found = {r["node"]: r["community"] for r in GR.communities(graph_of(spark, links).repartition(3)).collect()}
+    assert all(found[c] == c for c in found.values())
+    assert yardsticks.modularity(links, found) >= yardsticks.modularity(links, yardsticks.louvain(links)) - 0.002
+
+
+def test_communities_of_awkward_graphs(spark):
+    assert GR.communities(graph_of(spark, [])).count() == 0
+    odd = spark.createDataFrame([(1, 1, 5.0), (2, 3, 0.5), (3, 2, 0.5), (3, 4, None), (None, 4, 1.0), (5, 6, -1.0)], "src int, dst int, docs double")
+    assert {tuple(r) for r in GR.communities(odd).collect()} == {(1, 1), (2, 2), (3, 2)}
+
+
+def test_betweenness_equals_brandes_by_hand(spark):
+    links = random_graph(5, 40, 70)
+    near = {}
+    for a, b, _ in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = dict.fromkeys(near, 0.0)
+    for s in near:
+        depth, paths, order = {s: 0}, {s: 1.0}, [s]
+        for v in order:
+            for w in near[v]:
+                if w not in depth:
+                    depth[w], paths[w] = depth[v] + 1, 0.0
+                    order.append(w)
+                if depth[w] == depth[v] + 1:
+                    paths[w] += paths[v]
+        owed = dict.fromkeys(order, 0.0)
+        for w in reversed(order):
+            for v in near[w]:
+                if depth[v] == depth[w] - 1:
+                    owed[v] += paths[v] / paths[w] * (1 + owed[w])
+            want[w] += owed[w] if w != s else 0
+    n = len(near)
+    nodes = spark.createDataFrame([(k, 4) for k in near], "id int, doc_count bigint")
+    got = {r["id"]: r["betweenness"] for r in GR.betweenness(nodes, graph_of(spark, links)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[v] - want[v] / ((n - 1) * (n - 2))) < 1e-9 for v in want)
+    none = GR.betweenness(nodes, graph_of(spark, [])).collect()
+    assert all(r["betweenness"] == 0 for r in none) and len(none) == n
+
+
+def test_exports_refuse_larger_graphs(spark):
     edges = graph_of(spark, [(1, 2, 1), (2, 3, 1), (3, 4, 1)])
     nodes = spark.createDataFrame([(k, 1, "n") for k in range(1, 5)], "id int, doc_count bigint, name string")
-    with pytest.raises(ValueError, match="analysis_graph"):
-        GR.betweenness(nodes, edges)
-    with pytest.raises(ValueError, match="analysis_graph"):
-        GR.communities(edges)
     with pytest.raises(ValueError, match="more than 3"):
         GR.gexf(nodes, edges, 3)
-    assert {tuple(r) for r in GR.communities(edges.limit(2)).collect()} == {(1, 1), (2, 1), (3, 1)}
 
 
 def test_numbers_follow_the_order(spark):
@@ -208,6 +260,20 @@ def test_page_scans(spark):
     assert [tuple(r) for r in discover.page_scans(files).collect()] == [("s/book", ["s/book_1.png", "s/book_2.png", "s/book_10.png"], 13, 9)]
 
 
+@pytest.mark.parametrize(
+    ("text", "size", "pages"),
+    [
+        ("short\n\n" + "a" * 60 + " " + "b" * 98, 100, ["short", "a" * 60, "b" * 98]),
+        ("one\n\ntwo\n \nthree", 9, ["one\n\ntwo", "three"]),
+        ("x" * 8 + "\n\n\n\nyy zz", 10, ["x" * 8, "yy zz"]),
+        ("a\fb\n\n" + "c" * 9, 6, ["a", "b", "c" * 6, "c" * 3]),
+        (" \f\n\n ", 3, [""]),
+    ],
+)
+def test_paginate(text, size, pages):
+    assert formats.paginate(text, size) == pages
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="ab \n\f", max_size=200), st.integers(3, 40))
 def test_paginate_loses_nothing(text, size):
