@@ -9,7 +9,7 @@ import sys
 import duckdb
 import pytest
 
-from sextant.plans import registry, registry_more, registry_search  # noqa: F401
+from sextant.plans import registry, registry_more, registry_search, registry_staging  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
