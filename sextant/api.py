@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,6 +17,8 @@ from sextant.operators import search as S
 from sextant.operators import timeline as T
 from sextant.plans.catalog import Catalog
 
+#: Seconds after which a build that failed is tried again.
+BACKOFF = 300
 CHIP_TYPES = ("person", "agency", "company", "place", "program")
 
 
@@ -109,12 +114,13 @@ class Library:
 
     def __init__(self, catalog: Catalog, lo: int = 1000, hi: int = 9999):
         self.catalog, self.lo, self.hi = catalog, lo, hi
+        self._failed = -math.inf
 
     def corpora(self) -> list[str]:
         return [c for c in self.catalog.corpora() if not c.startswith("_")]
 
-    def all(self, table: str) -> DataFrame:
-        parts = [self.catalog.read(c, table).withColumn("corpus_id", F.lit(c)) for c in self.corpora()]
+    def all(self, table: str, corpora: list[str] | None = None) -> DataFrame:
+        parts = [self.catalog.read(c, table).withColumn("corpus_id", F.lit(c)) for c in (self.corpora() if corpora is None else corpora)]
         out = parts[0]
         for more in parts[1:]:
             out = out.unionByName(more, allowMissingColumns=True)
@@ -134,24 +140,59 @@ class Library:
         return S.search_all(out, per_corpus).orderBy(F.desc("total"), "corpus_id", "rank")
 
     # -------------------------------------------------------------- global index
-    def build_global(self) -> str:
+    def current(self, required: bool = True) -> str | None:
+        """The version of the global index that views read: the last good one, also while
+        it is stale.  Where none was built yet, a view that requires one waits for it and
+        any other gets None.  A build that failed is not tried again for BACKOFF seconds."""
+        version = self.catalog.version("_global")
+        if version is not None or not required:
+            return version
+        if time.monotonic() - self._failed < BACKOFF:
+            raise RuntimeError(f"the global index could not be built; next attempt after {BACKOFF} seconds")
+        try:
+            return self.build_global()
+        except Exception:
+            self._failed = time.monotonic()
+            raise
+
+    def build_global(self, full: bool = False) -> str:
         """Merge all corpora; does nothing if no corpus changed.  The last good
-        version stays current until the new one is whole."""
+        version stays current until the new one is whole.
+
+        With a last version, only corpora of another version than it knows (new, rebuilt
+        or removed) are read: their rows are taken out of it and put in anew, and what
+        they touch is merged again."""
         stamp = self.catalog.stamp()
-        if not self.catalog.stale(stamp):
+        if not self.catalog.stale(stamp) and not full:
             return self.catalog.version("_global")
-        local = G.local_entities(self.all("entities").withColumn("gkey", gkey(F.col("type"), F.col("name"))))
-        keys = self.all("entities").select("corpus_id", F.col("id").alias("entity_id"), "key")
-        mentions = self.all("mentions").join(keys, ["corpus_id", "entity_id"]).select("corpus_id", "key", "doc_id")
-        variants = G.distinct_docs(local, mentions)
-        docs = self.all("documents")
+        now = dict(x.split("=", 1) for x in stamp.split("|") if x)
+        before: dict[str, str] = {}
+        if not full and self.catalog.version("_global") is not None:
+            before = dict(x.split("=", 1) for x in self.table("meta").filter("k = 'stamp'").first()["v"].split("|") if x)
+        changed = sorted(c for c, v in now.items() if before.get(c) != v)
+        gone = sorted(c for c, v in before.items() if now.get(c) != v)
+        meta = self.catalog.spark.createDataFrame([("stamp", stamp), ("read", "|".join(changed))], "k string, v string")
+        if not before:
+            t = self._parts(changed)
+            merged = G.merge(t["local"], t["variants"])
+            return self.catalog.write("_global", t | {"entities": merged, "links": G.sum_links(t["corpus_links"]), "type_counts": G.type_counts(merged), "meta": meta})
+        old = {name: self.table(name) for name in ("local", "variants", "corpora", "years", "corpus_links", "entities", "links")}
+        new = self._parts(changed) if changed else {name: old[name].limit(0) for name in ("local", "variants", "corpora", "years", "corpus_links")}
+        t = {name: G.replaced(old[name], df, gone) for name, df in new.items()}
+        merged = G.merged_again(old["entities"], old["local"], t["local"], t["variants"], new["local"], gone)
+        return self.catalog.write("_global", t | {"entities": merged, "links": G.links_again(old["links"], old["corpus_links"], new["corpus_links"], gone), "type_counts": G.type_counts(merged), "meta": meta})
+
+    def _parts(self, corpora: list[str]) -> dict[str, DataFrame]:
+        """What some corpora give to the global index, each row with its corpus in cid."""
+        local = G.local_entities(self.all("entities", corpora).withColumn("gkey", gkey(F.col("type"), F.col("name"))))
+        keys = self.all("entities", corpora).select("corpus_id", F.col("id").alias("entity_id"), "key")
+        mentions = self.all("mentions", corpora).join(keys, ["corpus_id", "entity_id"]).select("corpus_id", "key", "doc_id")
+        docs = self.all("documents", corpora)
         bounds = G.corpus_bounds(docs, self.lo, self.hi)
         a = keys.select("corpus_id", F.col("entity_id").alias("src"), F.col("key").alias("src_key"))
         b = keys.select("corpus_id", F.col("entity_id").alias("dst"), F.col("key").alias("dst_key"))
-        edges = self.all("edges").join(a, ["corpus_id", "src"]).join(b, ["corpus_id", "dst"])
-        merged = G.merge(local, variants)
-        meta = self.catalog.spark.createDataFrame([("stamp", stamp)], "k string, v string")
-        return self.catalog.write("_global", {"entities": merged, "local": local, "variants": variants, "corpora": bounds, "years": G.years(docs, bounds), "links": G.links(edges, local), "type_counts": G.type_counts(merged), "meta": meta})
+        edges = self.all("edges", corpora).join(a, ["corpus_id", "src"]).join(b, ["corpus_id", "dst"])
+        return {"local": local, "variants": G.distinct_docs(local, mentions), "corpora": bounds, "years": G.years(docs, bounds), "corpus_links": G.corpus_links(edges, local)}
 
     def table(self, name: str) -> DataFrame:
         return self.catalog.read("_global", name)

@@ -63,17 +63,48 @@ def total_years(per_corpus: DataFrame) -> DataFrame:
     return per_corpus.groupBy("year").agg(F.sum("n").alias("n"))
 
 
-def links(edges: DataFrame, local: DataFrame) -> DataFrame:
-    """Undirected links between global entities: the most documents over spelling
-    variants within a corpus, summed over corpora.  edges: corpus_id, src_key, dst_key, docs."""
+def corpus_links(edges: DataFrame, local: DataFrame) -> DataFrame:
+    """``cid, a, b, docs``: undirected links between global entities within each corpus,
+    the most documents over spelling variants.  edges: corpus_id, src_key, dst_key, docs."""
     k = local.select(F.col("cid").alias("corpus_id"), "key", "gkey")
     a = k.select("corpus_id", F.col("key").alias("src_key"), F.col("gkey").alias("ga"))
     b = k.select("corpus_id", F.col("key").alias("dst_key"), F.col("gkey").alias("gb"))
     joined = edges.join(a, ["corpus_id", "src_key"]).join(b, ["corpus_id", "dst_key"]).filter("ga <> gb")
-    per = joined.groupBy("corpus_id", F.least("ga", "gb").alias("a"), F.greatest("ga", "gb").alias("b")).agg(F.max("docs").alias("docs"))
+    return joined.groupBy(F.col("corpus_id").alias("cid"), F.least("ga", "gb").alias("a"), F.greatest("ga", "gb").alias("b")).agg(F.max("docs").alias("docs"))
+
+
+def sum_links(per: DataFrame) -> DataFrame:
     return per.groupBy("a", "b").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("n_corpora"))
 
 
+def links(edges: DataFrame, local: DataFrame) -> DataFrame:
+    """Links between global entities, summed over corpora."""
+    return sum_links(corpus_links(edges, local))
+
+
+def replaced(old: DataFrame, new: DataFrame, gone: list[str]) -> DataFrame:
+    """A table with a row's corpus in cid, without the rows of some corpora and with
+    the new ones."""
+    return old.filter(~F.col("cid").isin(*gone)).unionByName(new, allowMissingColumns=True)
+
+
+def merged_again(old: DataFrame, old_local: DataFrame, local: DataFrame, variants: DataFrame, new_local: DataFrame, gone: list[str]) -> DataFrame:
+    """Global entities after some corpora changed: only those that an old or a new row
+    of these corpora belongs to are merged again, the others stay as they are."""
+    touched = old_local.filter(F.col("cid").isin(*gone)).select("gkey").union(new_local.select("gkey")).distinct()
+    again = merge(local.join(touched, "gkey", "left_semi"), variants.join(touched, "gkey", "left_semi"))
+    return old.join(touched, "gkey", "left_anti").unionByName(again)
+
+
+def links_again(old: DataFrame, old_per: DataFrame, new_per: DataFrame, gone: list[str]) -> DataFrame:
+    """Links after some corpora changed: what these gave is subtracted, what they give
+    now is added, and a link that no corpus has any more goes."""
+    took = old_per.filter(F.col("cid").isin(*gone)).select("a", "b", (-F.col("docs")).alias("docs"), F.lit(-1).cast("bigint").alias("n_corpora"))
+    gave = new_per.select("a", "b", "docs", F.lit(1).cast("bigint").alias("n_corpora"))
+    moved = took.unionByName(gave).groupBy("a", "b").agg(F.sum("docs").alias("docs"), F.sum("n_corpora").alias("n_corpora"))
+    return old.unionByName(moved).groupBy("a", "b").agg(F.sum("docs").alias("docs"), F.sum("n_corpora").alias("n_corpora")).filter("n_corpora > 0")
+
+
 def neighbours(all_links: DataFrame, gkey: str) -> DataFrame:
     near = all_links.filter((F.col("a") == gkey) | (F.col("b") == gkey))
     return near.select(F.when(F.col("a") == gkey, F.col("b")).otherwise(F.col("a")).alias("gkey"), "docs")

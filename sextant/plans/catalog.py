@@ -28,6 +28,13 @@ class HeldTables:
     def read(self, corpus: str, table: str) -> DataFrame:
         return self.tables[corpus][table]
 
+    def hold(self, corpus: str, tables: dict[str, DataFrame] | None) -> None:
+        """A new version of a corpus, or none any more."""
+        self.tables.pop(corpus, None)
+        self.versions.pop(corpus, None)
+        if tables is not None:
+            self.tables[corpus], self.versions[corpus] = tables, uuid.uuid4().hex
+
     def write(self, corpus: str, tables: dict[str, DataFrame]) -> str:
         self.tables[corpus] = {name: cut(df) for name, df in tables.items()}
         self.versions[corpus] = uuid.uuid4().hex

@@ -945,24 +945,33 @@ def view_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TWO = ("1-URGENT", "2-HIGH")
-_LIBRARIES: dict[tuple[str, str], api.Library] = {}
+_LIBRARIES: dict[tuple, api.Library] = {}
+
+
+def _orders_corpus(spark: SparkSession, sf_dir: str, priority: str, first_year: int = 0) -> dict[str, DataFrame]:
+    """The tables of a corpus: the orders of one priority, suppliers as entities."""
+    docs = star.documents(spark, sf_dir).filter((F.col("corpus_id") == priority) & (F.col("year") >= first_year)).drop("corpus_id").withColumn("pages", F.lit(1).cast("bigint"))
+    facts = star.facts(spark, sf_dir).join(docs.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    ids = M.entity_ids(M.entity_stats(facts, docs))
+    mentions = M.encode(facts, ids)
+    names = star.read(spark, sf_dir, "supplier").select(F.concat(F.lit("supplier:"), _s("s_suppkey")).alias("key"), F.col("s_name").alias("name"))
+    entities = ids.join(names, "key").select("*", F.lit("company").alias("type"), F.lit("").alias("description"), F.lit(0).alias("auto"), F.array("name").alias("aliases"))
+    edges = E.edges(mentions, ids.select(F.col("id").alias("entity_id"), "doc_count"), F.lit(docs.count()))
+    return {"documents": docs, "entities": entities, "mentions": mentions, "edges": edges}
+
+
+def _changed_at(spark: SparkSession, sf_dir: str, *tables: str) -> tuple:
+    """When the tables' files changed last."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet") for t in tables]
+    return tuple(p.getFileSystem(conf).getFileStatus(p).getModificationTime() for p in paths)
 
 
 def _library(spark: SparkSession, sf_dir: str) -> api.Library:
-    """Two corpora of orders and their global index, built once a session."""
-    name = (spark.sparkContext.applicationId, sf_dir)
+    """Two corpora of orders and their global index, built once for unchanged tables."""
+    name = (spark.sparkContext.applicationId, sf_dir, _changed_at(spark, sf_dir, "orders", "lineitem", "supplier"))
     if name not in _LIBRARIES:
-        corpora = {}
-        for k in _TWO:
-            docs = star.documents(spark, sf_dir).filter(F.col("corpus_id") == k).drop("corpus_id").withColumn("pages", F.lit(1).cast("bigint"))
-            facts = star.facts(spark, sf_dir).join(docs.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-            ids = M.entity_ids(M.entity_stats(facts, docs))
-            mentions = M.encode(facts, ids)
-            names = star.read(spark, sf_dir, "supplier").select(F.concat(F.lit("supplier:"), _s("s_suppkey")).alias("key"), F.col("s_name").alias("name"))
-            entities = ids.join(names, "key").select("*", F.lit("company").alias("type"), F.lit("").alias("description"), F.lit(0).alias("auto"), F.array("name").alias("aliases"))
-            edges = E.edges(mentions, ids.select(F.col("id").alias("entity_id"), "doc_count"), F.lit(docs.count()))
-            corpora[k] = {"documents": docs, "entities": entities, "mentions": mentions, "edges": edges}
-        library = api.Library(HeldTables(spark, corpora), 1900, 2100)
+        library = api.Library(HeldTables(spark, {k: _orders_corpus(spark, sf_dir, k) for k in _TWO}), 1900, 2100)
         library.build_global()
         _LIBRARIES.clear()
         _LIBRARIES[name] = library

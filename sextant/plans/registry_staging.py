@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sextant import api
 from sextant.plans import staging, star
+from sextant.plans.catalog import HeldTables
 from sextant.plans.registry import _docs, _query
-from sextant.scratch import fresh_path
+from sextant.plans.registry_more import _orders_corpus
+from sextant.scratch import cut, fresh_path
 
 
 @_query("SELECT doc_id, lang, n_chars, md5(coalesce(text, '')) AS md5 FROM documents")
@@ -32,3 +35,35 @@ def stored_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
     for run in (even, ~even):
         staging.stage_attachments(staging.mail_attachments(mails.filter(run)), root)
     return staging.stored_attachments(spark, root).select("sha1", F.col("content").cast("string").alias("content"), "references")
+
+
+_AFTER = """d AS (SELECT o_orderkey AS id, o_orderpriority AS cid, year(o_orderdate)::INT AS year FROM orders WHERE o_orderpriority = '3-MEDIUM' OR (o_orderpriority = '2-HIGH' AND year(o_orderdate) >= 1995)),
+m AS (SELECT DISTINCT cid, year, id AS doc_id, l_suppkey AS s FROM lineitem JOIN d ON id = l_orderkey),
+per AS (SELECT cid, s, count(*) AS docs, min(year)::INT AS first_year, max(year)::INT AS last_year FROM m GROUP BY ALL)"""
+
+
+def _after_changes(spark: SparkSession, sf_dir: str) -> api.Library:
+    """A global index after a corpus was added, one rebuilt and one removed."""
+    built = lambda *which: {name: cut(df) for name, df in _orders_corpus(spark, sf_dir, *which).items()}
+    library = api.Library(HeldTables(spark, {k: built(k) for k in ("1-URGENT", "2-HIGH")}), 1900, 2100)
+    library.build_global()
+    library.catalog.hold("3-MEDIUM", built("3-MEDIUM"))
+    library.build_global()
+    library.catalog.hold("2-HIGH", built("2-HIGH", 1995))
+    library.catalog.hold("1-URGENT", None)
+    library.build_global()
+    return library
+
+
+@_query(f"""WITH {_AFTER} SELECT 'company:' || lower(s_name) AS gkey, s_name AS name, sum(docs)::BIGINT AS doc_count, count(*) AS n_corpora, min(first_year) AS first_year, max(last_year) AS last_year
+FROM per JOIN supplier ON s = s_suppkey GROUP BY ALL""")
+def incremental_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _after_changes(spark, sf_dir).table("entities").select("gkey", "name", "doc_count", "n_corpora", "first_year", "last_year")
+
+
+@_query(f"""WITH {_AFTER}, w AS (SELECT DISTINCT cid, l_orderkey AS doc_id, (l_linenumber - 1) // 5 AS w, l_suppkey AS s FROM lineitem JOIN d ON id = l_orderkey),
+p AS (SELECT DISTINCT x.cid, x.doc_id, least(a.s_name, b.s_name) AS a, greatest(a.s_name, b.s_name) AS b FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.w = y.w AND x.s <> y.s JOIN supplier a ON a.s_suppkey = x.s JOIN supplier b ON b.s_suppkey = y.s),
+c AS (SELECT cid, a, b, count(*) AS docs FROM p GROUP BY ALL HAVING count(*) >= 2)
+SELECT 'company:' || lower(a) AS a, 'company:' || lower(b) AS b, sum(docs)::BIGINT AS docs, count(*) AS n_corpora FROM c GROUP BY ALL""")
+def incremental_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _after_changes(spark, sf_dir).table("links").select("a", "b", "docs", "n_corpora")

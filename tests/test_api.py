@@ -1,5 +1,7 @@
 """Views over built corpora, the global index, and streams."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,7 +10,7 @@ from sextant import config as C
 from sextant.knowledge import demo
 from sextant.knowledge.pack import merge
 from sextant.plans import build
-from sextant.plans.catalog import Catalog
+from sextant.plans.catalog import Catalog, HeldTables
 from sextant.scratch import cut
 from sextant.sources import records as RC
 from sextant.streaming import incremental as ST
@@ -53,6 +55,52 @@ def test_global_merge(library):
     assert lib.graph()["links"].count() > 0 and lib.library().count() == 2 and lib.entity("person:ada brook")["presence"].count() == 2
 
 
+def small_corpus(spark, seed):
+    """A corpus of a few entities, two of them spellings of one name."""
+    rnd = random.Random(seed)
+    names = ["Ada Brook", "ada brook", "Ben Stone", "Tarn", "Norvale", "Orrin Vale"]
+    chosen = sorted(rnd.sample(range(6), 4))
+    mentions = sorted({(k, f"d{rnd.randrange(8)}") for k in chosen for _ in range(5)})
+    docs = {k: len({d for e, d in mentions if e == k}) for k in chosen}
+    entities = [(k, f"person:{names[k]}", names[k], "person", "", k % 2, docs[k], docs[k], 1990 + k, 1999, [names[k]]) for k in chosen]
+    edges = [(a, b, rnd.randrange(1, 5)) for a in chosen for b in chosen if a < b]
+    return {
+        "entities": spark.createDataFrame(entities, "id int, key string, name string, type string, description string, auto int, doc_count bigint, mention_count bigint, first_year int, last_year int, aliases array<string>"),
+        "mentions": spark.createDataFrame(mentions, "entity_id int, doc_id string").withColumn("count", F.lit(1)),
+        "documents": spark.createDataFrame([(f"d{k}", 1990 + k) for k in range(8)], "id string, year int").withColumn("pages", F.lit(1)),
+        "edges": spark.createDataFrame(edges, "src int, dst int, docs bigint"),
+    }
+
+
+def test_incremental_merge_equals_a_full_build(spark):
+    held = HeldTables(spark, {k: small_corpus(spark, n) for n, k in enumerate("abc")})
+    lib = api.Library(held, 1900, 2100)
+    assert lib.current(required=False) is None
+    lib.current()
+    old = lib.table("links")
+    changes = [("d", small_corpus(spark, 9), "d"), ("b", small_corpus(spark, 10), "b"), ("a", None, "")]
+    for name, tables, read in changes:
+        held.hold(name, tables)
+        lib.build_global()
+        assert lib.table("meta").filter("k = 'read'").first()["v"] == read
+    show = lambda x: {t: sorted(map(str, x.table(t).select(*sorted(x.table(t).columns)).collect())) for t in ("entities", "links", "variants", "years", "type_counts")}
+    full = api.Library(HeldTables(spark, {k: v for k, v in held.tables.items() if k != "_global"}), 1900, 2100)
+    full.build_global()
+    assert show(lib) == show(full)
+    assert old.count() > 0  # a reader of the first version still has it
+
+
+def test_a_failed_build_is_not_tried_at_once(spark, monkeypatch):
+    lib = api.Library(HeldTables(spark, {"a": {}}), 1900, 2100)
+    with pytest.raises(KeyError):
+        lib.current()
+    with pytest.raises(RuntimeError, match="next attempt"):
+        lib.current()
+    monkeypatch.setattr(api, "BACKOFF", 0)
+    with pytest.raises(KeyError):
+        lib.current()
+
+
 def test_corpus_views(library):
     lib = library[0]
     c = api.Corpus(lib.catalog, "one", 1900, 2100)
