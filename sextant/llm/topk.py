@@ -1,9 +1,10 @@
 """Exact top-k inner products by vector-approximation files.
 
 Two files are written: the exact vectors, a row each, and the approximations, in
-blocks: a byte per component that names a cell of the block's grid.  A scan of
-the approximations alone gives a lower and an upper bound of every score at the
-price of one product.  What no longer can be among a query's k best goes at once;
+blocks: BITS bits per component that name a cell of the block's grid.  Cells are
+equi-depth: each holds about as many of the block's values, and is known by the
+least and greatest of them.  A scan of the approximations alone gives a lower and an
+upper bound of every score at the price of two products.  What no longer can be among a query's k best goes at once;
 of the rest, exact vectors are read in order of their bounds, first as many as
 usually suffice, then all whose bound reaches the k-th score found, until that
 is certain.
@@ -26,7 +27,9 @@ from pyspark.sql.window import Window
 from sextant.llm.common import NARROW_ROWS, materialise, release, slices
 
 SCALE = 256
-CELLS = 256
+#: Bits of a component's cell.
+BITS = 6
+CELLS = 1 << BITS
 BLOCK = 4_096
 QUERIES = 1_024
 #: Approximation blocks that one task holds.
@@ -54,35 +57,49 @@ def usable(embedding: Column) -> Column:
 
 @dataclass
 class Approximation:
-    """One block of the approximation file: ids, and each component's cell."""
+    """One block of the approximation file: ids, each component's cell, and the least
+    and greatest value of every cell (cell, component)."""
 
     uid: np.ndarray
     ids: np.ndarray
     low: np.ndarray
-    width: np.ndarray
+    high: np.ndarray
     cells: np.ndarray
 
     @staticmethod
     def of(uid: np.ndarray, ids: np.ndarray, exact: np.ndarray) -> Approximation:
-        low, high = exact.min(axis=0), exact.max(axis=0)
-        width = np.maximum(1.0, np.ceil((high - low + 1) / CELLS))
-        cells = np.clip(np.floor((exact - low) / width), 0, CELLS - 1).astype(np.uint8)
-        return Approximation(uid, ids, low, width, cells)
+        n, dim = exact.shape
+        ordered = np.sort(exact, axis=0)
+        low, high, cells = np.zeros((CELLS, dim)), np.zeros((CELLS, dim)), np.zeros((n, dim), np.uint8)
+        for j in range(dim):
+            first = np.unique(ordered[np.arange(CELLS) * n // CELLS, j])
+            cells[:, j] = np.searchsorted(first, exact[:, j], "right") - 1
+            low[: len(first), j] = first
+            high[: len(first), j] = ordered[np.append(np.searchsorted(ordered[:, j], first[1:]), n) - 1, j]
+        return Approximation(uid, ids, low, high, cells)
 
     def bounds(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Lower and upper bound of every query's score with every vector: a component
-        lies between its cell's first and last whole number.  Where doubles are not
-        exact, cells count as one wider to each side and sums as far off as they may be."""
-        most = np.abs(self.low) + CELLS * self.width
-        slack = float(most.max(initial=0) >= EXACT / CELLS)
-        low, reach = self.low - slack * self.width, self.width - 1 + slack * (2 * self.width + 1)
+        lies as far from the middle of its cell as the cell's ends at most.  Where doubles
+        are not exact, sums count as far off as they may be."""
+        low, high = (np.take_along_axis(x, self.cells.astype(np.intp), axis=0) / 2 for x in (self.low, self.high))
+        most = np.maximum(np.abs(self.low), np.abs(self.high)).max(axis=0, initial=0)
         with np.errstate(over="ignore", invalid="ignore"):
-            corner = (q * self.width) @ self.cells.T.astype(np.float64) + (q @ low)[:, None]
-            total = np.abs(q) @ (most + 2 * self.width)
-            off = np.where(total < EXACT, 0.0, total * (len(most) + 4) * 2.0**-50)
-            lower, upper = corner + (np.minimum(q, 0) @ reach - off)[:, None], corner + (np.maximum(q, 0) @ reach + off)[:, None]
+            middle, around = q @ (low + high).T, np.abs(q) @ (high - low).T
+            total = np.abs(q) @ most
+            off = np.where(total < EXACT / 4, 0.0, total * (len(most) + 4) * 2.0**-50)[:, None]
+            lower, upper = middle - around - off, middle + around + off
         return np.where(np.isfinite(lower), lower, -np.inf), np.where(np.isfinite(upper), upper, np.inf)
 
+    def packed(self) -> bytes:
+        """The cells, BITS bits each."""
+        return np.packbits(np.unpackbits(self.cells[..., None], axis=2)[..., 8 - BITS :]).tobytes()
+
+    @staticmethod
+    def unpacked(packed: bytes, n: int, dim: int) -> np.ndarray:
+        bits = np.unpackbits(np.frombuffer(packed, np.uint8), count=n * dim * BITS).reshape(n, dim, BITS)
+        return (bits << np.arange(BITS - 1, -1, -1, dtype=np.uint8)).sum(axis=2, dtype=np.uint8)
+
 
 def scan(blocks: list[Approximation], q: np.ndarray, own: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
     """What may be among the k best of each query: query places, uids, ids, lower and
@@ -133,7 +150,7 @@ def _bytes(x: np.ndarray, kind: str) -> bytes:
     return np.ascontiguousarray(x, kind).tobytes()
 
 
-_FILE = "dim int, block bigint, uid binary, ids binary, low binary, width binary, cells binary"
+_FILE = "dim int, block bigint, uid binary, ids binary, low binary, high binary, cells binary"
 
 
 def _approximated(rows: DataFrame) -> DataFrame:
@@ -142,7 +159,7 @@ def _approximated(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for dim, uid, ids, exact in _blocks(batches, BLOCK):
             a = Approximation.of(uid, ids, exact)
-            values = [dim, int(uid[0]), _bytes(uid, "<i8"), _bytes(ids, "<i8"), _bytes(a.low, "<f8"), _bytes(a.width, "<f8"), _bytes(a.cells, "u1")]
+            values = [dim, int(uid[0]), _bytes(uid, "<i8"), _bytes(ids, "<i8"), _bytes(a.low, "<f8"), _bytes(a.high, "<f8"), a.packed()]
             kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names=[c.split()[0] for c in _FILE.split(", ")])
 
@@ -174,10 +191,10 @@ def _bounded(blocks: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     n = blocks.count()
     parts = max(1, -(-n // SLICE_BLOCKS), min(n, spark.sparkContext.defaultParallelism))
     none = F.lit(None).cast("binary")
-    scanned = blocks.select(F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int").alias("s"), F.lit(0).alias("kind"), "dim", "block", "uid", "ids", "low", "width", "cells", none.alias("exact"))
-    streamed = asked.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("s"), F.lit(1).alias("kind"), "dim", "block", "uid", *[none.alias(c) for c in ("ids", "low", "width", "cells")], "exact")
+    scanned = blocks.select(F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int").alias("s"), F.lit(0).alias("kind"), "dim", "block", "uid", "ids", "low", "high", "cells", none.alias("exact"))
+    streamed = asked.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("s"), F.lit(1).alias("kind"), "dim", "block", "uid", *[none.alias(c) for c in ("ids", "low", "high", "cells")], "exact")
     seed = [_loaded(r) for r in blocks.orderBy("block").limit(1).collect()]  # one block: a first floor for every query
-    dim = len(seed[0].low) if seed else -1
+    dim = seed[0].low.shape[1] if seed else -1
     rows = scanned.unionByName(streamed).repartition(parts, "s").sortWithinPartitions("s", "kind", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,8 +225,8 @@ def _bounded(blocks: DataFrame, asked: DataFrame, k: int) -> DataFrame:
 
 def _loaded(row) -> Approximation:
     uid, ids = (np.frombuffer(row[c], "<i8") for c in ("uid", "ids"))
-    low, width = (np.frombuffer(row[c], "<f8") for c in ("low", "width"))
-    return Approximation(uid, ids, low, width, np.frombuffer(row["cells"], "u1").reshape(len(uid), len(low)))
+    low, high = (np.frombuffer(row[c], "<f8").reshape(CELLS, row["dim"]) for c in ("low", "high"))
+    return Approximation(uid, ids, low, high, Approximation.unpacked(row["cells"], len(uid), row["dim"]))
 
 
 def _read(pairs: DataFrame, vectors: DataFrame, asked: DataFrame) -> DataFrame:
@@ -228,7 +245,7 @@ def _read(pairs: DataFrame, vectors: DataFrame, asked: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "q bigint, uid bigint, ids bigint, score bigint, near double, key string")
 
 
-def top_k(vectors: DataFrame, query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def top_k(vectors: DataFrame, query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", report: dict[str, int] | None = None) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the k best candidates of every query.
 
     Queries are the rows for which query (a condition on the input) is true;
@@ -238,7 +255,8 @@ def top_k(vectors: DataFrame, query: Column, k: int = 5, id_col: str = "vec_id",
     that are null or hold null or non-finite components take no part.  Rows that
     repeat an id are different rows.  Ranks are exact for components of any size;
     a score beyond 64 bits shows as the limit.  Fewer than k candidates are all
-    returned; an empty table gives no rows.
+    returned; an empty table gives no rows.  report: gets ``pairs`` of a query and a
+    vector, and how many of them were ``read`` exactly.
     """
     rows = vectors.select(F.col(id_col).cast("bigint").alias("v_id"), F.col(vector_col).alias("v_vector"), F.coalesce(query, F.lit(False)).alias("v_query"))
     rows = rows.filter(usable(F.col("v_vector")))
@@ -263,6 +281,8 @@ def top_k(vectors: DataFrame, query: Column, k: int = 5, id_col: str = "vec_id",
     rest = left.filter(F.col("place") > FIRST * k).join(reached, "q", "left").filter(F.col("near").isNull() | (F.col("upper") >= F.col("near")))
     scores = materialise(first.unionByName(_read(rest, held, asked)), "scores", NARROW_ROWS)
     release(bounds, left, first)
+    if report is not None:
+        report |= {"pairs": asked.count() * held.count(), "read": scores.count()}
     ranked = scores.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     names = held.select("uid", "v_id")
     out = ranked.join(names.withColumnRenamed("v_id", "vec_id"), "uid").join(names.select(F.col("uid").alias("q"), F.col("v_id").alias("query_id")), "q")

@@ -3,13 +3,14 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from sextant.llm import periodic, quality, queries, spotsigs, trie
+from sextant.llm import chat, periodic, quality, queries, spotsigs, topk, trie
 
 
 def words(text):
@@ -20,6 +21,53 @@ def rows(df):
     return [tuple(r) for r in df.collect()]
 
 
+# ------------------------------------------------------------------ 4 top-k
+def test_cells_are_coarser_than_the_values():
+    rnd = topk.np.random.default_rng(4)
+    for n, dim in ((1, 3), (50, 5), (3000, 7), (4, 0)):
+        exact = topk.np.floor(rnd.normal(0, 5000, (n, dim)))
+        a = topk.Approximation.of(topk.np.arange(n), topk.np.arange(n), exact)
+        assert (topk.Approximation.unpacked(a.packed(), n, dim) == a.cells).all() and len(a.packed()) <= (n * dim * topk.BITS + 7) // 8
+        low, high = (topk.np.take_along_axis(x, a.cells.astype(int), axis=0) for x in (a.low, a.high))
+        assert ((low <= exact) & (exact <= high)).all()
+        assert n < 3000 or topk.np.bincount(a.cells[:, 0]).max() < 3 * n / topk.CELLS
+
+
+@pytest.mark.parametrize("width", [0.12, 40.0])
+def test_few_exact_vectors_are_read(spark, width):
+    rnd = topk.np.random.default_rng(5)
+    data = [(k, v.tolist()) for k, v in enumerate(rnd.normal(0, width, (2000, 32)))]
+    df = spark.createDataFrame(data, "vec_id bigint, embedding array<double>").repartition(4)
+    report = {}
+    got = rows(topk.top_k(df, F.col("vec_id") % 100 == 0, k=5, report=report))
+    whole = topk.np.floor(topk.np.array([v for _, v in data]) * 256)
+    for q in (0, 700, 1900):
+        scores = whole @ whole[q]
+        best = [j for j in topk.np.lexsort((topk.np.arange(2000), -scores)).tolist() if j != q][:5]
+        assert [(v, s) for a, _, v, s in sorted(got) if a == q] == [(j, int(scores[j])) for j in best]
+    assert report["pairs"] == 20 * 2000 and report["read"] < 0.05 * report["pairs"]
+
+
+# ------------------------------------------------------------------ 2 chat log
+def test_a_long_turn_is_logged_in_linear_time(spark):
+    text = F.repeat(F.concat(F.lit("é漢 xyz.\n-"), F.col("id").cast("string")), F.lit(500_000))
+    df = spark.range(3).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("assistant").alias("role"), text.alias("text"))
+    began = time.monotonic()
+    found = chat.fold(chat.log_of_turns(df, streamed=True)).select("place", F.length("text").alias("n"), F.md5(F.col("text").cast("binary")).alias("m"))
+    assert sorted(rows(found)) == [(k + 1, 5_000_000, hashlib.md5((f"é漢 xyz.\n-{k}" * 500_000).encode()).hexdigest()) for k in range(3)]
+    assert time.monotonic() - began < 120
+
+
+def test_some_regenerations_discard_later_turns(spark):
+    df = spark.range(200).select(F.floor(F.col("id") / 8).alias("conv_id"), (F.col("id") % 8).alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    log = chat.log_of_turns(df, streamed=True).cache()
+    again = log.filter("kind = 'regenerate'").select("conv_id", F.col("place").alias("r_place"), F.col("seq").alias("r_seq"))
+    lost = log.join(again, "conv_id").filter("place > r_place and seq < r_seq and kind = 'message'")
+    assert lost.count() > 3
+    order = ["conv_id", "place"]
+    assert rows(chat.fold(log).orderBy(order)) == rows(chat.fold(chat.log_of_turns(df)).orderBy(order))
+
+
 # ------------------------------------------------------------------ 11 periodic runs
 def runs_by_hand(w):
     found = {}
