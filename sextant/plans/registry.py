@@ -229,7 +229,8 @@ SELECT doc_id, round(sum(1.0::DOUBLE / doc_count), 9) AS weight, count(DISTINCT
 WHERE doc_id <> {_ONE} AND entity_id IN (FROM own) GROUP BY doc_id ORDER BY weight DESC, doc_id LIMIT 12""")
 def related_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = str(star.read(spark, sf_dir, "lineitem").agg(F.min("l_orderkey")).first()[0])
-    return D.related_documents(star.mentions(spark, sf_dir), star.entities(spark, sf_dir), one)
+    entities, mentions = star.corpus(spark, sf_dir)
+    return D.related_documents(mentions, entities, one)
 
 
 @_query(f"WITH {_STATS} SELECT DISTINCT doc_id FROM ment WHERE entity_id = 1 AND doc_id IN (SELECT doc_id FROM ment WHERE entity_id = 2)")
