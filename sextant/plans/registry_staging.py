@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sextant import api
 from sextant.plans import staging, star
@@ -11,6 +14,7 @@ from sextant.plans.catalog import HeldTables
 from sextant.plans.registry import _docs, _query
 from sextant.plans.registry_more import _orders_corpus
 from sextant.scratch import cut, fresh_path
+from sextant.sources import links, listers
 
 
 @_query("SELECT doc_id, lang, n_chars, md5(coalesce(text, '')) AS md5 FROM documents")
@@ -67,3 +71,28 @@ c AS (SELECT cid, a, b, count(*) AS docs FROM p GROUP BY ALL HAVING count(*) >=
 SELECT 'company:' || lower(a) AS a, 'company:' || lower(b) AS b, sum(docs)::BIGINT AS docs, count(*) AS n_corpora FROM c GROUP BY ALL""")
 def incremental_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _after_changes(spark, sf_dir).table("links").select("a", "b", "docs", "n_corpora")
+
+
+@_query("SELECT 'part' || p_partkey AS identifier, p_partkey % 10 || '/part' || p_partkey || s AS path FROM part, (VALUES ('.pdf'), ('_text.txt')) v(s)")
+def listed_by_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A listing read page after page by the cursors that its responses name."""
+    part = star.read(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 20).cast("int").alias("page"), F.concat(F.lit("part"), F.col("p_partkey").cast("string")).alias("identifier"))
+    last = F.max("page").over(Window.partitionBy())  # a row per page
+    cursor = lambda page: F.concat(F.lit("c/"), page.cast("string"))
+    pages = part.groupBy("page").agg(F.collect_list(F.struct("identifier")).alias("items")).withColumn("last", last)
+    body = F.to_json(F.struct("items", F.when(F.col("page") < F.col("last"), cursor(F.col("page") + 1)).alias("cursor")))
+    path = fresh_path(spark, "listing")
+
+    def store(batches):
+        system, folder = pyarrow.fs.FileSystem.from_uri(path)
+        system.create_dir(folder, recursive=True)
+        for batch in batches:
+            for name, text in zip(batch["name"], batch["body"], strict=True):
+                with system.open_output_stream(f"{folder}/{listers.response_name(name)}") as f:
+                    f.write(text.encode())
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    pages.select(F.when(F.col("page") == 0, "*").otherwise(cursor(F.col("page"))).alias("name"), body.alias("body")).mapInPandas(store, "n int").agg(F.sum("n")).first()
+    listers.register(spark)
+    found = spark.read.format("listing").option("path", path).option("lister", "search").load()
+    return links.search_items(found.select("page", "body"), (".pdf", "_text.txt"), r"(\d)$")
