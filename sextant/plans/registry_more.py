@@ -4,6 +4,7 @@ with its SQL equivalent over the same tables."""
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,7 @@ from sextant.operators import timeline as T
 from sextant.plans import build, samples, star
 from sextant.plans.catalog import HeldTables
 from sextant.plans.registry import _CAPS, _EDGES, _LOCAL, _RELATIONS, _STATS, _TOKENS_SQL, _docs, _edges, _local, _pages, _query, _relations
+from sextant.scratch import cut, fresh_path
 from sextant.sources import archives, discover, formats, links
 from sextant.sources import records as RC
 
@@ -175,7 +177,7 @@ def _built(rows: DataFrame, key: str, make, schema: str) -> DataFrame:
     return rows.groupBy(key).applyInPandas(lambda k, df: make(k[0], df.sort_values("n")), schema)
 
 
-@_query("""SELECT 'a' || doc_id % 6 || CASE WHEN doc_id % 2 = 0 THEN '.zip' ELSE '.tar.gz' END || '!/in/' || doc_id || '.txt' AS relpath, octet_length(encode(coalesce(text, '')))::BIGINT AS size, sha1(coalesce(text, '')) AS sha1
+@_query("""SELECT 'a' || doc_id // 200 || CASE WHEN doc_id // 200 % 2 = 0 THEN '.zip' ELSE '.tar.gz' END || '!/in/' || doc_id || '.txt' AS relpath, octet_length(encode(coalesce(text, '')))::BIGINT AS size, sha1(coalesce(text, '')) AS sha1
 FROM documents WHERE octet_length(encode(coalesce(text, ''))) <= 20000""")
 def archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     def make(k: int, df: pd.DataFrame) -> pd.DataFrame:
@@ -183,7 +185,7 @@ def archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
         packed, name, kind = (samples.zipped(inside), f"a{k}.zip", "zip") if k % 2 == 0 else (samples.tarred(inside), f"a{k}.tar.gz", "tar")
         return pd.DataFrame([(name, kind, packed)], columns=["relpath", "kind", "content"])
 
-    rows = _docs(spark, sf_dir).select((F.col("doc_id") % 6).alias("k"), F.col("doc_id").alias("n"), "text")
+    rows = _docs(spark, sf_dir).select(F.floor(F.col("doc_id") / 200).alias("k"), F.col("doc_id").alias("n"), "text")
     found = archives.expand(_built(rows, "k", make, "relpath string, kind string, content binary"), ("txt",), 0.02)
     return found.select("relpath", "size", F.sha1("content").alias("sha1"))
 
@@ -201,12 +203,37 @@ def mailbox_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT p_partkey AS id, p_name || p_brand AS text FROM part WHERE p_partkey % 4 = 1")
 def one_member(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def make(k: int, df: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(f"{k}.zip", "zip", samples.zipped([(f"{n}.txt", t.encode()) for n, t in zip(df["n"], df["text"], strict=True)]))], columns=["relpath", "kind", "content"])
+    """One member of each archive, read where it lies."""
+    listed = archives.list_members(_part_archives(spark, sf_dir).filter("kind = 'zip'")).filter(F.col("member") == "1.txt")
+    found = archives.read_member(listed)
+    return found.select((F.regexp_extract("path", r"(\d+)\.zip$", 1).cast("bigint") * 4 + 1).alias("id"), F.col("content").cast("string").alias("text"))
+
+
+def _part_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``path, kind``: archives in the shared folder, a zip, a tar and a packed tar for
+    every four parts."""
+    root = fresh_path(spark, "archives")
+
+    def store(k: int, df: pd.DataFrame) -> pd.DataFrame:
+        members = [(f"{n}.txt", t.encode()) for n, t in zip(df["n"], df["text"], strict=True)]
+        made = (("zip", f"{root}/{k}.zip", samples.zipped(members)), ("tar", f"{root}/{k}.tar", samples.tarred(members, "w")), ("tar", f"{root}/{k}.tar.gz", samples.tarred(members, "w:gz")))
+        system, folder = pyarrow.fs.FileSystem.from_uri(root)
+        system.create_dir(folder, recursive=True)
+        for _, path, data in made:
+            with system.open_output_stream(pyarrow.fs.FileSystem.from_uri(path)[1], compression=None) as f:
+                f.write(data)
+        return pd.DataFrame([(path, kind) for kind, path, _ in made], columns=["path", "kind"])
 
     rows = star.read(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 4).alias("k"), (F.col("p_partkey") % 4).alias("n"), F.concat("p_name", "p_brand").alias("text"))
-    found = archives.expand(_built(rows, "k", make, "relpath string, kind string, content binary"), ("txt",)).filter(F.col("member") == "1.txt")
-    return found.select((F.split("archive", r"\.")[0].cast("bigint") * 4 + 1).alias("id"), F.col("content").cast("string").alias("text"))
+    return cut(_built(rows, "k", store, "path string, kind string"))
+
+
+@_query("SELECT p_partkey AS id, kind, p_name || p_brand AS text FROM part, (VALUES ('zip'), ('tar'), ('gz')) v(kind)")
+def members_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All members of zips, tars and packed tars, by directory, by range, and decoded."""
+    found = archives.read_member(archives.list_members(_part_archives(spark, sf_dir)))
+    place = F.regexp_extract("path", r"(\d+)\.[a-z.]+$", 1).cast("bigint") * 4 + F.regexp_extract("member", r"^(\d)", 1).cast("bigint")
+    return found.select(place.alias("id"), F.regexp_extract("path", r"([a-z]+)$", 1).alias("kind"), F.col("content").cast("string").alias("text"))
 
 
 # ------------------------------------------------------------------ formats

@@ -24,9 +24,9 @@ def zipped(members: Iterable[tuple[str, bytes]]) -> bytes:
     return out.getvalue()
 
 
-def tarred(members: Iterable[tuple[str, bytes]]) -> bytes:
+def tarred(members: Iterable[tuple[str, bytes]], mode: str = "w:gz") -> bytes:
     out = io.BytesIO()
-    with tarfile.open(fileobj=out, mode="w:gz") as t:
+    with tarfile.open(fileobj=out, mode=mode) as t:
         for name, data in members:
             info = tarfile.TarInfo(name)
             info.size = len(data)

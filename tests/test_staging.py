@@ -1,9 +1,12 @@
 """Staged documents and attachments."""
 
+import io
+
 import pytest
 from pyspark.sql import functions as F
 
-from sextant.plans import staging
+from sextant.plans import samples, staging
+from sextant.sources import archives
 
 
 @pytest.fixture(scope="module")
@@ -80,3 +83,35 @@ def test_attachments_of_mails(spark):
     mail = b'Content-Type: multipart/mixed; boundary="b"\r\n\r\n--b\r\nContent-Type: text/plain\r\n\r\nbody\r\n--b\r\nContent-Disposition: attachment; filename="x.bin"\r\nContent-Transfer-Encoding: base64\r\n\r\nAAEC\r\n--b--\r\n'
     df = spark.createDataFrame([("a", mail), ("b", b"no mail"), ("c", None)], "relpath string, content binary")
     assert [(r["relpath"], r["n"], r["name"], bytes(r["content"])) for r in staging.mail_attachments(df).select("relpath", "n", "name", F.col("content")).collect()] == [("a", 1, "x.bin", b"\x00\x01\x02")]
+
+
+def test_members_are_read_in_place(spark, tmp_path, monkeypatch):
+    members = [(f"m{k}", bytes([k]) * 300_000 + b"end") for k in range(8)]
+    (tmp_path / "a.zip").write_bytes(samples.zipped(members))
+    (tmp_path / "a.tar").write_bytes(samples.tarred(members, "w"))
+    (tmp_path / "a.tgz").write_bytes(samples.tarred(members))
+    (tmp_path / "bad.zip").write_bytes(b"no archive")
+    paths = spark.createDataFrame([(f"file://{tmp_path}/{n}", k) for n, k in (("a.zip", "zip"), ("a.tar", "tar"), ("a.tgz", "tar"), ("bad.zip", "zip"), ("gone.zip", "zip"))], "path string, kind string")
+    listed = archives.list_members(paths)
+    assert listed.count() == 24
+    got = {(r["path"].rsplit(".", 1)[-1], r["member"]): bytes(r["content"]) for r in archives.read_member(listed.filter("member in ('m2', 'm7')")).collect()}
+    assert got == {(e, m): dict(members)[m] for e in ("zip", "tar", "tgz") for m in ("m2", "m7")}
+
+    read = []
+
+    class Counted(io.FileIO):
+        def read(self, n=-1):
+            out = super().read(n)
+            read.append(len(out))
+            return out
+
+        def readinto(self, b):
+            n = super().readinto(b)
+            read.append(n)
+            return n
+
+    monkeypatch.setattr(archives, "_opened", lambda path: Counted(path.removeprefix("file://")))
+    for name, kind in (("a.zip", "zip"), ("a.tar", "tar")):
+        read.clear()
+        (one,) = [(kind, *m) for m in archives.members_at(f"{tmp_path}/{name}", kind) if m[0] == "m5"]
+        assert archives.contents_at(f"{tmp_path}/{name}", [one]) == {"m5": dict(members)["m5"]} and sum(read) < 400_000  # of 2,400,000
