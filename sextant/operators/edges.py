@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 WINDOW, MAX_ENTITIES, MIN_DOCS = 5, 400, 2
 
@@ -15,11 +16,14 @@ def page_window(page_no: Column, window: int = WINDOW) -> Column:
 
 def window_entities(mentions: DataFrame, window: int | None = WINDOW, max_entities: int = MAX_ENTITIES) -> DataFrame:
     """Sorted distinct entities of each (doc, window); windows with more than
-    max_entities are hubs and left out before they are collected."""
+    max_entities are hubs and left out before they are collected.
+
+    Rows are dealt by (doc, window) once: what follows, the distinct rows, their number
+    and the collection, keeps that partitioning and is not shuffled again."""
     win = page_window(F.col("page_no"), window) if window else F.lit(0)
-    rows = mentions.select("doc_id", win.alias("win"), F.col("entity_id").alias("e")).distinct()
-    sizes = rows.groupBy("doc_id", "win").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) & (F.col("n") <= max_entities))
-    return rows.join(sizes, ["doc_id", "win"]).groupBy("doc_id", "win").agg(F.array_sort(F.collect_list("e")).alias("es"))
+    rows = mentions.select("doc_id", win.alias("win"), F.col("entity_id").alias("e")).repartition("doc_id", "win").distinct()
+    n = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "win"))
+    return rows.withColumn("n", n).filter((F.col("n") > 1) & (F.col("n") <= max_entities)).groupBy("doc_id", "win").agg(F.array_sort(F.collect_list("e")).alias("es"))
 
 
 def pairs(windows: DataFrame) -> DataFrame:
