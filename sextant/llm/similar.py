@@ -1,8 +1,12 @@
 """Groups of texts whose sets of word shingles are similar, without a lost link.
 
 The pipeline's near-duplicate stage asks for five-word shingles and a Jaccard
-similarity of 0.8.  That is some ten bits of a 64-bit fingerprint, far more than
-four shared bytes can promise, so this stage lists the shingles themselves: with
+similarity of 0.8.  Its first step is SimHash: fingerprints of the sets are listed
+under their bytes, pairs are tallied and verified on 64 bits (``simhash.links``), and
+those that link are decided by the shingles of both.
+
+A similarity of 0.8 is some ten bits of a fingerprint, more than four shared bytes can
+promise, so pairs that the fingerprints leave in different groups are met exactly: with
 all shingles in one order, two texts so similar share one of their first
 ``n - ceil(0.8 n) + 1``.  Pairs that share a list are dropped where sizes, places
 or parity bitmaps rule them out (in long lists one of 2,048 bits, then one of two
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 
 from sextant.llm.common import BATCH_ROWS, materialise, release, slices
 from sextant.llm.components import components
-from sextant.llm.simhash import SEED, bounds, runs, shingle_hashes, within
+from sextant.llm.simhash import MAX_BITS, SEED, bounds, links, majority, runs, shingle_hashes, within
 
 #: Lanes of 64 bits of the parity bitmap that goes with a text into long lists.
 LANES = 32
@@ -196,14 +200,15 @@ def _edges(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 
 def _described(rows: DataFrame, ngram: int, similarity: Fraction) -> DataFrame:
-    """``doc_id, t, node, size, first, bits, small`` of every row; first is null where
-    the task has described the same set before.  bits, small: the two bitmaps."""
+    """``doc_id, t, node, size, first, bits, small, fp`` of every row; first is null where
+    the task has described the same set before.  bits, small: the two bitmaps; fp: the
+    SimHash of the set."""
     common, weight = _common(rows, ngram)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies are listed once a task
         for batch in slices(batches):
-            node, size, first, bits, small = [], [], [], [], []
+            node, size, first, bits, small, fp = [], [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 tokens = _tokens(text, ngram)
                 node.append(_node(tokens))
@@ -211,12 +216,38 @@ def _described(rows: DataFrame, ngram: int, similarity: Fraction) -> DataFrame:
                 first.append(None if node[-1] in seen else prefix(tokens, common, weight, similarity))
                 bits.append(parities(tokens, lanes_for(len(tokens))))
                 small.append(parities(tokens).tobytes())
+                fp.append(majority(tokens.view(np.uint64)))
                 seen.add(node[-1])
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (first, bits)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int64()), *lists, pa.array(small, pa.binary())], names=["doc_id", "t", "node", "size", "first", "bits", "small"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int64()), *lists, pa.array(small, pa.binary()), pa.array(np.array(fp, np.uint64).view(np.int64))], names=["doc_id", "t", "node", "size", "first", "bits", "small", "fp"])
 
     kind = rows.schema["f_id"].dataType.simpleString()
-    return rows.mapInArrow(describe, f"doc_id {kind}, t bigint, node bigint, size bigint, first array<bigint>, bits array<bigint>, small binary")
+    return rows.mapInArrow(describe, f"doc_id {kind}, t bigint, node bigint, size bigint, first array<bigint>, bits array<bigint>, small binary, fp bigint")
+
+
+def _distinct(described: DataFrame) -> DataFrame:
+    """``node, t, size, bits, small, fp`` of every different set."""
+    first = [F.first(c).alias(c) for c in ("bits", "small", "fp")]
+    return described.groupBy("node").agg(F.min("t").alias("t"), F.max("size").alias("size"), *first)
+
+
+def by_fingerprint(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """Pairs ``a, b`` of sets (node, fp) that connect those whose fingerprints differ in at
+    most max_bits bits: a forest of the fingerprints, and of each its other sets."""
+    named = materialise(distinct.groupBy("fp").agg(F.min("node").alias("least")), "fingerprints")
+    a, b = (named.select(F.col("fp").alias(n), F.col("least").alias(f"{n}_node")) for n in ("a", "b"))
+    near = links(named.select("fp"), max_bits).join(a, "a").join(b, "b").select("a_node", "b_node")
+    same = distinct.join(named, "fp").filter("node <> least").select("least", "node")
+    x, y = (F.col(c) for c in ("a_node", "b_node"))
+    out = materialise(near.unionAll(same).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct(), "near-fingerprints")
+    release(named)
+    return out
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs of two groups; roots: node, root of the nodes that have a smaller one."""
+    a, b = (roots.select(F.col("node").alias(n), F.col("root").alias(f"{n}_root")) for n in ("a", "b"))
+    return pairs.join(a, "a", "left").join(b, "b", "left").filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, ngram: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,16 +256,17 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, ngram: int = 5,
     or by a chain, and the smallest row of each (ids first, null ids last; of equal
     ids the smaller key, an XXH64 of the text).
 
-    No link is lost, and shingles are 64-bit hashes.  Lists of many texts are first
-    joined to a forest; where that leaves several groups, all their pairs across
-    groups are decided too.  Texts without words, null ones among them, form one
+    Sets whose fingerprints are near are decided first; then come all other pairs that
+    share a list of shingles and lie in different groups.  No link is lost, and shingles
+    are 64-bit hashes.  Lists of many texts are first joined to a forest; where that
+    leaves several groups, all their pairs across groups are decided too.  Texts without words, null ones among them, form one
     group; repeated rows give repeated rows; an empty table gives none.
     """
     exact = Fraction(str(similarity))
     rules = _Rules(exact)
     rows = docs.select(F.col(id_col).alias("f_id"), F.xxhash64(F.col(text_col).cast("binary")).alias("t"), F.col(text_col).cast("binary").alias("f_text"))
     described = materialise(_described(rows, ngram, exact), "described", BATCH_ROWS)
-    distinct = materialise(described.groupBy("node").agg(F.min("t").alias("t"), F.max("size").alias("size"), F.first("bits").alias("bits"), F.first("small").alias("small")), "distinct-sets")
+    distinct = materialise(_distinct(described), "distinct-sets")
     held = materialise(described.select("doc_id", "t", "node"), "nodes")
     index = described.select("node", "size", F.posexplode("first").alias("pos", "k")).select("k", "node", "size", F.col("pos").cast("bigint").alias("pos"))
     index = index.repartition("k").sortWithinPartitions("k", "node")
@@ -248,6 +280,11 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, ngram: int = 5,
     met = materialise(index.mapInArrow(meet, "a bigint, b bigint, pos bigint"), "met")
     release(described)
 
+    candidates = by_fingerprint(distinct.select("node", "fp"))
+    near = _decided(candidates, rows, distinct, rules, ngram)
+    known = components(near)
+    release(candidates)
+
     def links_of(crowds: DataFrame, choose: Callable[[_Rules, _List], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k, node, size, pos, root, small in runs(batches):
@@ -262,8 +299,10 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, ngram: int = 5,
     crowds = met.filter("pos >= 0").select(F.col("a").alias("k"), F.col("b").alias("node"), "pos")
     crowds = crowds.join(distinct.select("node", "size", "small"), "node")
     pairs = met.filter("pos < 0").select("a", "b").unionAll(links_of(crowds.withColumn("root", F.lit(0).cast("bigint")), _first_links))
-    tried = materialise(_may(pairs.distinct(), distinct, rules), "tried", LISTED_ROWS)
-    linked = _decided(tried, rows, distinct, rules, ngram)
+    tried = materialise(_may(_apart(pairs.distinct(), known), distinct, rules), "tried", LISTED_ROWS)
+    release(known)
+    rest = _decided(tried, rows, distinct, rules, ngram)
+    linked = near.unionAll(rest)
     roots = components(linked)
     if not crowds.isEmpty():
         grouped = crowds.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -280,7 +319,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, ngram: int = 5,
     groups = leasts.groupBy("root").agg(F.min("least").alias("least"))
     found = placed.join(groups, "root").select("node", F.col("least.doc_id").alias("component_id"), F.col("least.t").alias("component_key"))
     out = materialise(held.join(found, "node").select("doc_id", F.col("t").alias("text_key"), "component_id", "component_key"), "similar")
-    release(held, distinct, met, tried, linked, roots)
+    release(held, distinct, met, tried, near, rest, roots)
     return out
 
 

@@ -290,6 +290,24 @@ def similar_groups(spark, docs):
     return {r["doc_id"]: r["component_id"] for r in found.collect()}
 
 
+def test_near_copies_link_by_fingerprint_first(spark, monkeypatch):
+    """SimHash comes first: what it links is not decided again by lists of shingles, and
+    these settle what it leaves."""
+    rnd = random.Random(5)
+    docs = [(k, " ".join(f"s{rnd.randrange(10**9)}" for _ in range(600))) for k in range(40)]
+    docs += [(100 + k, docs[k][1] + " end") for k in range(30)] + [(200 + k, docs[k][1].replace(" ", " x ", 10)) for k in range(5)]
+    seen, decided = [], similar._decided
+
+    def kept(pairs, *others):
+        out = decided(pairs, *others)
+        seen.append((pairs.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(similar, "_decided", kept)
+    assert similar_groups(spark, docs) == jaccard_groups(docs)
+    assert seen[0][1] >= 25 and seen[1][0] <= 10
+
+
 @pytest.mark.parametrize("crowd", [6, 120])
 def test_copies_beside_a_merely_similar_hub(spark, crowd):
     """True copies meet texts of smaller id that share much with all of them and are copies of none."""
