@@ -16,6 +16,7 @@ from sextant.operators import graph as GR
 from sextant.operators import search as S
 from sextant.operators import timeline as T
 from sextant.plans.catalog import Catalog
+from sextant.scratch import cut, drop
 
 #: Seconds after which a build that failed is tried again.
 BACKOFF = 300
@@ -174,25 +175,30 @@ class Library:
         meta = self.catalog.spark.createDataFrame([("stamp", stamp), ("read", "|".join(changed))], "k string, v string")
         if not before:
             t = self._parts(changed)
-            merged = G.merge(t["local"], t["variants"])
+            merged = cut(G.merge(t["local"], t["variants"]))
             return self.catalog.write("_global", t | {"entities": merged, "links": G.sum_links(t["corpus_links"]), "type_counts": G.type_counts(merged), "meta": meta})
         old = {name: self.table(name) for name in ("local", "variants", "corpora", "years", "corpus_links", "entities", "links")}
         new = self._parts(changed) if changed else {name: old[name].limit(0) for name in ("local", "variants", "corpora", "years", "corpus_links")}
         t = {name: G.replaced(old[name], df, gone) for name, df in new.items()}
-        merged = G.merged_again(old["entities"], old["local"], t["local"], t["variants"], new["local"], gone)
+        merged = cut(G.merged_again(old["entities"], old["local"], t["local"], t["variants"], new["local"], gone))
         return self.catalog.write("_global", t | {"entities": merged, "links": G.links_again(old["links"], old["corpus_links"], new["corpus_links"], gone), "type_counts": G.type_counts(merged), "meta": meta})
 
     def _parts(self, corpora: list[str]) -> dict[str, DataFrame]:
-        """What some corpora give to the global index, each row with its corpus in cid."""
-        local = G.local_entities(self.all("entities", corpora).withColumn("gkey", gkey(F.col("type"), F.col("name"))))
+        """What some corpora give to the global index, each row with its corpus in cid.
+        Each table is written once; those that follow from it read its files.  Mentions
+        are read for entities alone of which one corpus has several spellings."""
+        local = cut(G.local_entities(self.all("entities", corpora).withColumn("gkey", gkey(F.col("type"), F.col("name")))))
         keys = self.all("entities", corpora).select("corpus_id", F.col("id").alias("entity_id"), "key")
-        mentions = self.all("mentions", corpora).join(keys, ["corpus_id", "entity_id"]).select("corpus_id", "key", "doc_id")
+        several = cut(keys.join(G.spellings(local).select(F.col("cid").alias("corpus_id"), "key"), ["corpus_id", "key"], "left_semi"))
+        mentions = self.all("mentions", corpora).join(several, ["corpus_id", "entity_id"]).select("corpus_id", "key", "doc_id")
         docs = self.all("documents", corpora)
-        bounds = G.corpus_bounds(docs, self.lo, self.hi)
+        bounds = cut(G.corpus_bounds(docs, self.lo, self.hi))
         a = keys.select("corpus_id", F.col("entity_id").alias("src"), F.col("key").alias("src_key"))
         b = keys.select("corpus_id", F.col("entity_id").alias("dst"), F.col("key").alias("dst_key"))
         edges = self.all("edges", corpora).join(a, ["corpus_id", "src"]).join(b, ["corpus_id", "dst"])
-        return {"local": local, "variants": G.distinct_docs(local, mentions), "corpora": bounds, "years": G.years(docs, bounds), "corpus_links": G.corpus_links(edges, local)}
+        made = {"local": local, "variants": cut(G.distinct_docs(local, mentions)), "corpora": bounds, "years": cut(G.years(docs, bounds)), "corpus_links": cut(G.corpus_links(edges, local))}
+        drop(several)
+        return made
 
     def table(self, name: str) -> DataFrame:
         return self.catalog.read("_global", name)

@@ -16,11 +16,16 @@ def local_entities(entities: DataFrame, gkey: str = "gkey") -> DataFrame:
     return entities.select(F.col(gkey).alias("gkey"), F.col("corpus_id").alias("cid"), "key", "name", "type", "description", "auto", "doc_count", "mention_count", "first_year", "last_year", "aliases")
 
 
+def spellings(local: DataFrame) -> DataFrame:
+    """``gkey, cid, key`` of the entities that one corpus has under several keys."""
+    many = local.groupBy("gkey", "cid").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gkey", "cid")
+    return local.join(many, ["gkey", "cid"], "left_semi").select("gkey", "cid", "key")
+
+
 def distinct_docs(local: DataFrame, mentions: DataFrame) -> DataFrame:
     """Documents per (gkey, cid) where several spellings of one corpus merged.
     mentions: corpus_id, key, doc_id."""
-    many = local.groupBy("gkey", "cid").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gkey", "cid")
-    keys = local.join(many, ["gkey", "cid"], "left_semi").select("gkey", "cid", "key")
+    keys = spellings(local)
     found = mentions.select(F.col("corpus_id").alias("cid"), "key", "doc_id").join(keys, ["cid", "key"])
     return found.groupBy("gkey", "cid").agg(F.countDistinct("doc_id").alias("docs"))
 

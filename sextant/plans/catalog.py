@@ -8,12 +8,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.scratch import cut
+from sextant.scratch import cut, is_cut
 
 
 class HeldTables:
     """A catalog of tables that a session holds as DataFrames: what ``api`` reads,
-    without a store.  Writing checkpoints."""
+    without a store.  Writing cuts what is not in files already."""
 
     def __init__(self, spark: SparkSession, tables: dict[str, dict[str, DataFrame]]):
         self.spark, self.tables = spark, tables
@@ -36,7 +36,7 @@ class HeldTables:
             self.tables[corpus], self.versions[corpus] = tables, uuid.uuid4().hex
 
     def write(self, corpus: str, tables: dict[str, DataFrame]) -> str:
-        self.tables[corpus] = {name: cut(df) for name, df in tables.items()}
+        self.tables[corpus] = {name: df if is_cut(df) else cut(df) for name, df in tables.items()}
         self.versions[corpus] = uuid.uuid4().hex
         return self.versions[corpus]
 

@@ -29,7 +29,7 @@ from sextant.operators import timeline as T
 from sextant.plans import build, samples, star
 from sextant.plans.catalog import HeldTables
 from sextant.plans.registry import _CAPS, _EDGES, _LOCAL, _RELATIONS, _STATS, _TOKENS_SQL, _docs, _edges, _local, _pages, _query, _relations
-from sextant.scratch import cut, fresh_path
+from sextant.scratch import cut, drop, fresh_path
 from sextant.sources import archives, discover, formats, links
 from sextant.sources import records as RC
 
@@ -975,15 +975,25 @@ _TWO = ("1-URGENT", "2-HIGH")
 _LIBRARIES: dict[tuple, api.Library] = {}
 
 
+def _orders_documents(spark: SparkSession, sf_dir: str, priority: str, first_year: int = 0) -> DataFrame:
+    """The orders of one priority as documents of one page."""
+    docs = star.documents(spark, sf_dir).filter((F.col("corpus_id") == priority) & (F.col("year") >= first_year))
+    return docs.drop("corpus_id").withColumn("pages", F.lit(1).cast("bigint"))
+
+
 def _orders_corpus(spark: SparkSession, sf_dir: str, priority: str, first_year: int = 0) -> dict[str, DataFrame]:
-    """The tables of a corpus: the orders of one priority, suppliers as entities."""
-    docs = star.documents(spark, sf_dir).filter((F.col("corpus_id") == priority) & (F.col("year") >= first_year)).drop("corpus_id").withColumn("pages", F.lit(1).cast("bigint"))
-    facts = star.facts(spark, sf_dir).join(docs.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    ids = M.entity_ids(M.entity_stats(facts, docs))
-    mentions = M.encode(facts, ids)
+    """The tables of a corpus: the orders of one priority, suppliers as entities.  Each
+    is written once, and what follows from it reads the files."""
+    docs = cut(_orders_documents(spark, sf_dir, priority, first_year))
+    own = star.raw_mentions(spark, sf_dir).join(docs.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    facts = cut(M.mention_facts(own))
+    ids = cut(M.entity_ids(M.entity_stats(facts, docs)))
+    mentions = cut(M.encode(facts, ids))
+    drop(facts)
     names = star.read(spark, sf_dir, "supplier").select(F.concat(F.lit("supplier:"), _s("s_suppkey")).alias("key"), F.col("s_name").alias("name"))
-    entities = ids.join(names, "key").select("*", F.lit("company").alias("type"), F.lit("").alias("description"), F.lit(0).alias("auto"), F.array("name").alias("aliases"))
-    edges = E.edges(mentions, ids.select(F.col("id").alias("entity_id"), "doc_count"), F.lit(docs.count()))
+    entities = cut(ids.join(names, "key").select("*", F.lit("company").alias("type"), F.lit("").alias("description"), F.lit(0).alias("auto"), F.array("name").alias("aliases")))
+    edges = cut(E.edges(mentions, ids.select(F.col("id").alias("entity_id"), "doc_count"), F.lit(docs.count())))
+    drop(ids)
     return {"documents": docs, "entities": entities, "mentions": mentions, "edges": edges}
 
 
@@ -1017,7 +1027,8 @@ def all_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {_BOTH} SELECT cid AS corpus_id, count(*) AS documents, count(*)::BIGINT AS pages, min(year)::INT AS first_year, max(year)::INT AS last_year FROM d GROUP BY cid")
 def all_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _library(spark, sf_dir).library()
+    """Cards read documents alone: no index is built for them."""
+    return api.Library(HeldTables(spark, {k: {"documents": _orders_documents(spark, sf_dir, k)} for k in _TWO}), 1900, 2100).library()
 
 
 @_query(f"""WITH {_BOTH}, one AS (SELECT s_suppkey AS s, 'company:' || lower(s_name) AS gkey FROM supplier ORDER BY s_name LIMIT 1), t AS (SELECT year, count(*) AS total FROM d GROUP BY year),

@@ -13,7 +13,7 @@ from sextant.plans import staging, star
 from sextant.plans.catalog import HeldTables
 from sextant.plans.registry import _docs, _query
 from sextant.plans.registry_more import _orders_corpus
-from sextant.scratch import cut, fresh_path
+from sextant.scratch import fresh_path
 from sextant.sources import links, listers
 
 
@@ -48,7 +48,7 @@ per AS (SELECT cid, s, count(*) AS docs, min(year)::INT AS first_year, max(year)
 
 def _after_changes(spark: SparkSession, sf_dir: str) -> api.Library:
     """A global index after a corpus was added, one rebuilt and one removed."""
-    built = lambda *which: {name: cut(df) for name, df in _orders_corpus(spark, sf_dir, *which).items()}
+    built = lambda *which: _orders_corpus(spark, sf_dir, *which)
     library = api.Library(HeldTables(spark, {k: built(k) for k in ("1-URGENT", "2-HIGH")}), 1900, 2100)
     library.build_global()
     library.catalog.hold("3-MEDIUM", built("3-MEDIUM"))

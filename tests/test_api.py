@@ -156,3 +156,13 @@ def test_streams(spark, tmp_path):
     q.awaitTermination()
     batch = spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
     assert 0 < spark.table("by_day").agg(F.sum("n")).first()[0] <= batch
+
+
+def test_a_corpus_and_its_share_of_the_index_are_written_once(spark, sf):
+    """Tables that others follow from come from files, so none is made again for each."""
+    from sextant.plans import registry_more
+    from sextant.scratch import is_cut
+
+    tables = registry_more._orders_corpus(spark, sf, "2-HIGH")
+    library = api.Library(HeldTables(spark, {"2-HIGH": tables}), 1900, 2100)
+    assert all(is_cut(df) for df in [*tables.values(), *library._parts(["2-HIGH"]).values()])
