@@ -100,15 +100,17 @@ def stage_attachments(rows: DataFrame, root: str) -> None:
     """Contents that the store does not have are added, each once, and the manifest gets
     a row per attachment: relpath, n, name, sha1, size.  rows: relpath, n, name, content.
 
-    Which row brings a content is settled among hashes; contents are not shuffled."""
+    Which row brings a content is settled among hashes; contents are not shuffled.
+    Rows are written once, so that mails are taken apart once and not for every use."""
     spark = rows.sparkSession
-    hashed = rows.withColumn("sha1", F.sha1("content")).withColumn("size", F.octet_length("content").cast("bigint"))
+    hashed = cut(rows.withColumn("sha1", F.sha1("content")).withColumn("size", F.octet_length("content").cast("bigint")))
     first = hashed.groupBy("sha1").agg(F.min(F.struct("relpath", "n")).alias("by")).select("sha1", "by.relpath", "by.n")
     if (stored := _stored(spark, root, "contents")) is not None:
         first = first.join(stored.select("sha1"), "sha1", "left_anti")
     new = hashed.join(first, ["sha1", "relpath", "n"], "left_semi").dropDuplicates(["sha1"])
     new.select("sha1", "content", F.substring("sha1", 1, PREFIX).alias("prefix")).write.mode("append").partitionBy("prefix").parquet(f"{root}/contents")
     hashed.select("relpath", "n", "name", "sha1", "size").write.mode("append").parquet(f"{root}/manifest")
+    drop(hashed)
 
 
 def _stored(spark: SparkSession, root: str, table: str) -> DataFrame | None:

@@ -2,6 +2,7 @@
 
 import io
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +116,17 @@ def test_members_are_read_in_place(spark, tmp_path, monkeypatch):
         read.clear()
         (one,) = [(kind, *m) for m in archives.members_at(f"{tmp_path}/{name}", kind) if m[0] == "m5"]
         assert archives.contents_at(f"{tmp_path}/{name}", [one]) == {"m5": dict(members)["m5"]} and sum(read) < 400_000  # of 2,400,000
+
+
+def test_mails_are_taken_apart_once(spark, tmp_path):
+    """Staging reads each mail one time, whatever it settles about its attachments."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def attachments(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield pd.DataFrame({"relpath": batch["relpath"], "n": 1, "name": "a", "content": [b"x"] * len(batch)}).astype({"n": "int32"})
+
+    mails = spark.createDataFrame([(f"m{k}",) for k in range(20)], "relpath string")
+    staging.stage_attachments(mails.mapInPandas(attachments, "relpath string, n int, name string, content binary"), str(tmp_path))
+    assert seen.value == 20
