@@ -23,12 +23,14 @@ from pyspark.sql.window import Window
 
 from sextant.functions.porter import analyze
 from sextant.operators.documents import filter_documents
-from sextant.scratch import cut
+from sextant.scratch import cut, drop
 
 K1, B, TITLE_WEIGHT, MIN_IDF = 1.2, 0.75, 3.0, 1e-6
 NEAR_DISTANCE = 10
 #: Positions of a column; texts of a block.
 COLUMN, BLOCK_TEXTS = 1 << 24, 64
+#: Terms and places that Python holds before it hands rows on.
+HELD_PLACES = 200_000
 #: Blocks that are scored first, to learn what the k-th hit has at least, per hit asked for.
 FIRST_BLOCKS = 2
 
@@ -38,6 +40,29 @@ class QuerySyntaxError(ValueError):
 
 
 # ------------------------------------------------------------------ index
+def posting_frames(batches: Iterator[pd.DataFrame], keep: Callable[[str], bool] | None = None) -> Iterator[pd.DataFrame]:
+    """Postings of batches (uid, texts), handed on whenever HELD_PLACES have come together."""
+    names = ["uid", "term", "tf", "positions", "length"]
+    for batch in batches:
+        out, held = [], 0
+        for key, values in zip(batch["uid"], batch["texts"], strict=True):
+            at: dict[str, list[int]] = {}
+            length = 0
+            for column, value in enumerate(values):
+                terms = analyze(value)
+                length += len(terms)
+                for k, term in enumerate(terms, column * COLUMN):
+                    if keep is None or keep(term):
+                        at.setdefault(term, []).append(k)
+            out.append((key, None, 0, [], length))
+            out += [(key, term, len(places), places, length) for term, places in at.items()]
+            held += 1 + length
+            if held >= HELD_PLACES:
+                yield pd.DataFrame(out, columns=names)
+                out, held = [], 0
+        yield pd.DataFrame(out, columns=names)
+
+
 def postings(rows: DataFrame, uid: str, text: str | tuple[str, ...], keep: Callable[[str], bool] | None = None) -> DataFrame:
     """``uid, term, tf, positions, length`` of every text, and a row without a term for
     its length.  text: its column, or several, whose positions start COLUMN apart.
@@ -45,24 +70,8 @@ def postings(rows: DataFrame, uid: str, text: str | tuple[str, ...], keep: Calla
     named = (text,) if isinstance(text, str) else text
     source = rows.select(F.col(uid).alias("uid"), F.array(*[F.coalesce(F.col(c), F.lit("")) for c in named]).alias("texts"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for key, values in zip(batch["uid"], batch["texts"], strict=True):
-                at: dict[str, list[int]] = {}
-                length = 0
-                for column, value in enumerate(values):
-                    terms = analyze(value)
-                    length += len(terms)
-                    for k, term in enumerate(terms, column * COLUMN):
-                        if keep is None or keep(term):
-                            at.setdefault(term, []).append(k)
-                out.append((key, None, 0, [], length))
-                out += [(key, term, len(places), places, length) for term, places in at.items()]
-            yield pd.DataFrame(out, columns=["uid", "term", "tf", "positions", "length"])
-
     kind = source.schema["uid"].dataType.simpleString()
-    return source.mapInPandas(run, f"uid {kind}, term string, tf int, positions array<int>, length int")
+    return source.mapInPandas(lambda batches: posting_frames(batches, keep), f"uid {kind}, term string, tf int, positions array<int>, length int")
 
 
 def simple_postings(rows: DataFrame, uid: str, text: str) -> DataFrame:
@@ -362,13 +371,12 @@ class Index:
     @staticmethod
     def build(pages: DataFrame, documents: DataFrame, title_columns: tuple[str, ...] = ("title", "filename", "author")) -> Index:
         held = tuple(c for c in title_columns if c in documents.columns)
-        a, b = postings(pages, "page_uid", "text").cache(), postings(documents, "id", held).cache()
+        a, b = cut(postings(pages, "page_uid", "text")), cut(postings(documents, "id", held))
         return Index(pages, documents, a, b, statistics(a), statistics(b), held)
 
     def close(self) -> None:
-        """Release the postings that the session holds."""
-        self.page_postings.unpersist()
-        self.title_postings.unpersist()
+        """Delete the postings; nothing reads the index after it."""
+        drop(self.page_postings, self.title_postings)
 
 
 @dataclass

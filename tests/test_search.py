@@ -3,6 +3,7 @@
 import random
 import sqlite3
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,3 +69,15 @@ def test_snippets(spark, corpus):
     rows = S.snippets(hits.select("doc_id", "page_no", "text", "score"), "cats").collect()
     assert rows and all("[[[cat" in r["snippet"] for r in rows)
     assert index.pages.filter(F.col("text").contains("cat")).count() >= len(rows)
+
+
+def test_postings_hand_rows_on_by_their_size(spark):
+    """A worker holds a bounded number of places, however many texts a batch has, and an
+    index reads its postings from files."""
+    batch = pd.DataFrame({"uid": range(3000), "texts": [[" ".join(f"w{k}x{n}" for n in range(300))] for k in range(3000)]})
+    sizes = [len(f) for f in S.posting_frames(iter([batch]))]
+    assert sum(sizes) == 3000 * 301 and max(sizes) <= S.HELD_PLACES + 301 < len(batch) * 301
+    pages = spark.createDataFrame([(1, "d", 1, "one text")], "page_uid bigint, doc_id string, page_no int, text string")
+    index = S.Index.build(pages, spark.createDataFrame([("d", "t")], "id string, title string"))
+    assert index.page_postings.inputFiles() and not index.page_postings.is_cached
+    index.close()
