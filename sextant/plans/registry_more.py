@@ -3,6 +3,8 @@ with its SQL equivalent over the same tables."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -204,28 +206,37 @@ def mailbox_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT p_partkey AS id, p_name || p_brand AS text FROM part WHERE p_partkey % 4 = 1")
 def one_member(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One member of each archive, read where it lies."""
-    listed = archives.list_members(_part_archives(spark, sf_dir).filter("kind = 'zip'")).filter(F.col("member") == "1.txt")
+    listed = archives.list_members(_part_archives(spark, sf_dir, ("zip",))).filter(F.col("member") == "1.txt")
     found = archives.read_member(listed)
     return found.select((F.regexp_extract("path", r"(\d+)\.zip$", 1).cast("bigint") * 4 + 1).alias("id"), F.col("content").cast("string").alias("text"))
 
 
-def _part_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``path, kind``: archives in the shared folder, a zip, a tar and a packed tar for
-    every four parts."""
+#: Kind, and maker, of an archive by its ending.
+_PACKED = {"zip": ("zip", samples.zipped), "tar": ("tar", lambda m: samples.tarred(m, "w")), "tar.gz": ("tar", lambda m: samples.tarred(m, "w:gz"))}
+
+
+def _part_archives(spark: SparkSession, sf_dir: str, ends: tuple[str, ...] = tuple(_PACKED)) -> DataFrame:
+    """``path, kind``: archives in the shared folder, a zip, a tar and a packed tar (or
+    only those asked for) for every four parts."""
     root = fresh_path(spark, "archives")
 
-    def store(k: int, df: pd.DataFrame) -> pd.DataFrame:
-        members = [(f"{n}.txt", t.encode()) for n, t in zip(df["n"], df["text"], strict=True)]
-        made = (("zip", f"{root}/{k}.zip", samples.zipped(members)), ("tar", f"{root}/{k}.tar", samples.tarred(members, "w")), ("tar", f"{root}/{k}.tar.gz", samples.tarred(members, "w:gz")))
+    def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, folder = pyarrow.fs.FileSystem.from_uri(root)
         system.create_dir(folder, recursive=True)
-        for _, path, data in made:
-            with system.open_output_stream(pyarrow.fs.FileSystem.from_uri(path)[1], compression=None) as f:
-                f.write(data)
-        return pd.DataFrame([(path, kind) for kind, path, _ in made], columns=["path", "kind"])
+        for batch in batches:
+            rows = []
+            for k, held in zip(batch["k"], batch["members"], strict=True):
+                members = [(f"{m['n']}.txt", m["text"].encode()) for m in held]
+                for end in ends:
+                    kind, make = _PACKED[end]
+                    with system.open_output_stream(f"{folder}/{k}.{end}", compression=None) as f:
+                        f.write(make(members))
+                    rows.append((f"{root}/{k}.{end}", kind))
+            yield pd.DataFrame(rows, columns=["path", "kind"])
 
     rows = star.read(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 4).alias("k"), (F.col("p_partkey") % 4).alias("n"), F.concat("p_name", "p_brand").alias("text"))
-    return cut(_built(rows, "k", store, "path string, kind string"))
+    groups = archives.dealt(rows, "k").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("members"))
+    return cut(groups.mapInPandas(store, "path string, kind string"))
 
 
 @_query("SELECT p_partkey AS id, kind, p_name || p_brand AS text FROM part, (VALUES ('zip'), ('tar'), ('gz')) v(kind)")

@@ -118,6 +118,24 @@ def test_members_are_read_in_place(spark, tmp_path, monkeypatch):
         assert archives.contents_at(f"{tmp_path}/{name}", [one]) == {"m5": dict(members)["m5"]} and sum(read) < 400_000  # of 2,400,000
 
 
+def test_archives_are_dealt_out_and_opened_once(spark, tmp_path, monkeypatch):
+    """Tasks do not depend on how few bytes a row has, and a zip's directory is read once
+    for all of its members that are wanted."""
+    members = [(f"m{k}", bytes([k])) for k in range(8)]
+    (tmp_path / "a.zip").write_bytes(samples.zipped(members))
+    paths = spark.createDataFrame([(f"file://{tmp_path}/a.zip", "zip")], "path string, kind string").coalesce(1)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    listed = archives.list_members(paths)
+    found = archives.read_member(listed)
+    assert listed.rdd.getNumPartitions() == parts and found.rdd.getNumPartitions() == parts
+    assert {r["member"]: bytes(r["content"]) for r in found.collect()} == dict(members)
+
+    opened, real = [], archives.zipfile.ZipFile
+    wanted = [("zip", *m) for m in archives.members_at(f"file://{tmp_path}/a.zip", "zip")]
+    monkeypatch.setattr(archives.zipfile, "ZipFile", lambda f: opened.append(f) or real(f))
+    assert archives.contents_at(f"file://{tmp_path}/a.zip", wanted) == dict(members) and len(opened) == 1
+
+
 def test_mails_are_taken_apart_once(spark, tmp_path):
     """Staging reads each mail one time, whatever it settles about its attachments."""
     seen = spark.sparkContext.accumulator(0)
