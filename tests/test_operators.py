@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from sextant import scratch
 from sextant.functions import dates as DT
 from sextant.functions import fold as FO
 from sextant.functions import names as N
@@ -118,6 +119,19 @@ def test_windows_and_hubs(spark):
     assert got == {("d", 1, 2), ("d", 2, 3)}
 
 
+def test_tasks_of_pairs_follow_their_number(spark, monkeypatch):
+    """No task's share of mentions or pairs grows with the table, whatever the session
+    shuffles to; without page windows nothing is dealt a second time."""
+    monkeypatch.setattr(scratch, "TASK_ROWS", 10)
+    m = spark.createDataFrame([(f"d{k}", 1, e) for k in range(20) for e in range(4)], "doc_id string, page_no int, entity_id int")
+    windows = E.window_entities(m, None, rows=80)
+    assert windows.rdd.getNumPartitions() == 8
+    found = E.pairs(windows)
+    assert found.rdd.getNumPartitions() == 12 and found.count() == 120
+    counted = E.support(found)
+    assert counted.rdd.getNumPartitions() == 12 and {tuple(r) for r in counted.collect()} == {(a, b, 20) for a, b in itertools.combinations(range(4), 2)}
+
+
 def test_npmi(spark):
     one = spark.range(1).select(*[E.npmi(F.lit(a), F.lit(b), F.lit(c), F.lit(10)).alias(f"v{k}") for k, (a, b, c) in enumerate([(10, 10, 10), (2, 2, 2), (1, 5, 5)])]).first()
     assert list(one) == [1.0, 1.0, round(math.log(0.1 / 0.25) / -math.log(0.1), 4)]
