@@ -177,6 +177,25 @@ def test_measures(spark):
     assert '<node id="1"' in GR.gexf(nodes.withColumn("name", F.lit('a"b')), edges)
 
 
+def test_pagerank_rounds_leave_out_what_does_not_change(spark, monkeypatch):
+    """Links of nodes that nothing links to are summed once, not joined every round."""
+    links = [(a, 100 + a % 7, 1 + a % 3) for a in range(50)] + [(100, 101, 2), (101, 100, 1), (101, 105, 4), (102, 102, 1)]
+    total, nodes = {}, {x for a, b, _ in links for x in (a, b)}
+    for a, _, w in links:
+        total[a] = total.get(a, 0) + w
+    want = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(20):
+        given = dict.fromkeys(nodes, 0.0)
+        for a, b, w in links:
+            given[b] += want[a] * w / total[a]
+        want = {v: (0.15 + 0.85 * (1 - sum(given.values()))) / len(nodes) + 0.85 * given[v] for v in nodes}
+    written, real = [], GR.cut
+    monkeypatch.setattr(GR, "cut", lambda df: written.append(real(df)) or written[-1])
+    got = {r["node"]: r["rank"] for r in GR.pagerank(graph_of(spark, links)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-12 for v in want)
+    assert sorted(r["src"] for t in written if t.columns == ["src", "dst", "p"] for r in t.collect()) == [100, 101, 101, 102]
+
+
 def random_graph(seed, n, m):
     rnd = random.Random(seed)
     made = {}
