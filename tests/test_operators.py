@@ -177,6 +177,16 @@ def test_measures(spark):
     assert '<node id="1"' in GR.gexf(nodes.withColumn("name", F.lit('a"b')), edges)
 
 
+def test_tasks_of_strongest_links_follow_their_number(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "TASK_ROWS", 10)
+    links = [(a, b, 1 + a) for a, b in itertools.combinations(range(12), 2)]
+    dealt, real = [], GR.spread
+    monkeypatch.setattr(GR, "spread", lambda df, rows, *c: dealt.append((rows, c)) or real(df, rows, *c))
+    kept = GR.strongest_links(graph_of(spark, links), 1)
+    assert {(r["src"], r["dst"]) for r in kept.collect()} == {(a, a + 1) for a in range(11)}
+    assert dealt == [(132, ("node",)), (66, ("src", "dst"))]
+
+
 def test_pagerank_rounds_leave_out_what_does_not_change(spark, monkeypatch):
     """Links of nodes that nothing links to are summed once, not joined every round."""
     links = [(a, 100 + a % 7, 1 + a % 3) for a in range(50)] + [(100, 101, 2), (101, 100, 1), (101, 105, 4), (102, 102, 1)]
