@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sextant.scratch import is_cut, spread
+
 
 def local_entities(entities: DataFrame, gkey: str = "gkey") -> DataFrame:
     """``gkey, cid, key, name, doc_count, mention_count`` and what the merge needs.
@@ -74,7 +76,12 @@ def corpus_links(edges: DataFrame, local: DataFrame) -> DataFrame:
     k = local.select(F.col("cid").alias("corpus_id"), "key", "gkey")
     a = k.select("corpus_id", F.col("key").alias("src_key"), F.col("gkey").alias("ga"))
     b = k.select("corpus_id", F.col("key").alias("dst_key"), F.col("gkey").alias("gb"))
-    joined = edges.join(a, ["corpus_id", "src_key"]).join(b, ["corpus_id", "dst_key"]).filter("ga <> gb")
+    if is_cut(edges):  # written: their number is known, and tasks follow it
+        n = edges.count()
+        edges = spread(spread(edges, n, "corpus_id", "src_key").join(a, ["corpus_id", "src_key"]), n, "corpus_id", "dst_key")
+        joined = edges.join(b, ["corpus_id", "dst_key"]).filter("ga <> gb")
+    else:
+        joined = edges.join(a, ["corpus_id", "src_key"]).join(b, ["corpus_id", "dst_key"]).filter("ga <> gb")
     return joined.groupBy(F.col("corpus_id").alias("cid"), F.least("ga", "gb").alias("a"), F.greatest("ga", "gb").alias("b")).agg(F.max("docs").alias("docs"))
 
 
