@@ -914,8 +914,8 @@ SELECT l0.v::BIGINT AS id, round(coalesce(bc, 0) / ((nn.n - 1) * (nn.n - 2)), 9)
 @_query(_betweenness_sql())
 def bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, entities, _ = _edges(spark, sf_dir)
-    nodes, found = GR.analysis_graph(entities.select("id", "doc_count"), GR.strongest_links(edges, 3), 10**9, 3000, 1)
-    return GR.betweenness(nodes, found).select("id", F.round("betweenness", 9).alias("betweenness"), F.round("bridge", 9).alias("bridge"))
+    nodes, found = GR.analysis_graph(entities.select("id", "doc_count"), GR.strongest_links(edges, 3), 10**9, None, 1)
+    return GR.betweenness(nodes, found, None).select("id", F.round("betweenness", 9).alias("betweenness"), F.round("bridge", 9).alias("bridge"))
 
 
 # ------------------------------------------------------------------ views over a corpus and over all

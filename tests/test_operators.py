@@ -261,6 +261,54 @@ def test_betweenness_equals_brandes_by_hand(spark):
     assert all(r["betweenness"] == 0 for r in none) and len(none) == n
 
 
+def brandes(links):
+    near = {}
+    for a, b, _ in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    total = dict.fromkeys(near, 0.0)
+    for s in near:
+        depth, paths, order = {s: 0}, {s: 1.0}, [s]
+        for v in order:
+            for w in near[v]:
+                if w not in depth:
+                    depth[w], paths[w] = depth[v] + 1, 0.0
+                    order.append(w)
+                if depth[w] == depth[v] + 1:
+                    paths[w] += paths[v]
+        owed = dict.fromkeys(order, 0.0)
+        for w in reversed(order):
+            for v in near[w]:
+                if depth[v] == depth[w] - 1:
+                    owed[v] += paths[v] / paths[w] * (1 + owed[w])
+            total[w] += owed[w] if w != s else 0
+    n = len(near)
+    return {v: x / ((n - 1) * (n - 2)) for v, x in total.items()}
+
+
+def test_betweenness_of_over_400_sources(spark):
+    links = [(k, k + 1, 1) for k in range(450)] + [(0, 20, 1), (3, 17, 1), (1000, 1001, 1), (1001, 1002, 1), (5, 5, 1), (20, 0, 2)]
+    want = brandes([x for x in links if x[0] != x[1]])
+    nodes = spark.createDataFrame([(k, 4) for k in [*want, 9999]], "id int, doc_count bigint")
+    got = {r["id"]: r["betweenness"] for r in GR.betweenness(nodes, graph_of(spark, links), None).collect()}
+    assert got.keys() == {*want, 9999} and got[9999] == 0 and all(abs(got[v] - want[v]) < 1e-12 for v in want)
+
+
+@pytest.mark.parametrize("limits", [{"GROUP_SOURCES": 7}, {"GROUP_LINKS": 0, "BATCH_STEPS": 3000}, {"GROUP_LINKS": 10, "TASK_STEPS": 10}])
+def test_betweenness_in_groups_and_by_joins(spark, monkeypatch, limits):
+    """Groups of a few sources, batches of joins, and both beside each other give the same."""
+    links = random_graph(5, 40, 70) + [(k + 100, k + 101, 1) for k in range(5)] + [(200, 201, 1)]
+    for name, value in limits.items():
+        monkeypatch.setattr(GR, name, value)
+    by_joins, real = [], GR._owed_by_joins
+    monkeypatch.setattr(GR, "_owed_by_joins", lambda near, picked: by_joins.append(picked.count()) or real(near, picked))
+    want = brandes(links)
+    nodes = spark.createDataFrame([(k, 4) for k in want], "id int, doc_count bigint")
+    got = {r["id"]: r["betweenness"] for r in GR.betweenness(nodes, graph_of(spark, links), None).collect()}
+    assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-12 for v in want)
+    assert (sum(by_joins) > 0) == ("GROUP_LINKS" in limits) and (len(by_joins) > 1) == ("BATCH_STEPS" in limits)
+
+
 def test_exports_refuse_larger_graphs(spark):
     edges = graph_of(spark, [(1, 2, 1), (2, 3, 1), (3, 4, 1)])
     nodes = spark.createDataFrame([(k, 1, "n") for k in range(1, 5)], "id int, doc_count bigint, name string")

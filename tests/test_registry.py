@@ -39,6 +39,22 @@ def test_query_equals_sql(spark, sf, con, name):
     assert ours == sorted(repr([plain(r[c]) for c in order]) for r in want)
 
 
+def test_bridges_take_every_node_and_source(spark, tmp_path):
+    """Over 3,000 suppliers in chains of three: no chain is left out, and each one's middle counts."""
+    c, chains = duckdb.connect(), 1050
+    c.sql(f"create table link as select o, 3 * (o // 4) + (o // 2) % 2 as a, 3 * (o // 4) + (o // 2) % 2 + 1 as b from range({4 * chains}) r(o)")
+    c.sql(f"create table supplier as select s::bigint as s_suppkey, 'Supplier#' || s as s_name from range({3 * chains}) r(s)")
+    c.sql("create table orders as select o as o_orderkey, timestamp '1995-01-01' as o_orderdate, 'O' as o_orderstatus, '5-LOW' as o_orderpriority from link")
+    c.sql("create table lineitem as select o as l_orderkey, a as l_suppkey, 1::int as l_linenumber from link union all select o, b, 2 from link")
+    for name in ("supplier", "orders", "lineitem"):
+        c.sql(f"copy {name} to '{tmp_path}/{name}.parquet'")
+    got = {r["id"]: (r["betweenness"], r["bridge"]) for r in registry.QUERIES["bridges"](spark, str(tmp_path)).collect()}
+    want = {k: v for k, *v in c.sql(registry.ORACLE_SQL["bridges"]).fetchall()}
+    assert got.keys() == want.keys() and len(got) == 3 * chains
+    assert all(abs(x - y) < 1e-12 for k in want for x, y in zip(got[k], want[k], strict=True))
+    assert sum(x > 0 for x, _ in got.values()) == chains
+
+
 def test_engine_without_the_optional_part(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     shutil.copytree(f"{root}/sextant", tmp_path / "sextant", ignore=shutil.ignore_patterns("llm", "__pycache__"))
